@@ -94,6 +94,10 @@ def iso_text(c="timestamp") -> Column:
     return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def iso_micros(c="timestamp") -> Column:
+    return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def days_between(start, end) -> Column:
     """Array of every day from start to end, both included."""
     return F.sequence(F.to_date(_col(start)), F.to_date(_col(end)), F.expr("interval 1 day"))

@@ -98,29 +98,26 @@ def sort_keys(sort_by: str = "timestamp", sort_order: str = "desc", tie: str = "
 
 
 def newest_first(df: DataFrame, limit: int | None = None) -> DataFrame:
-    ordered = df.orderBy(*sort_keys())
-    return ordered if limit is None else ordered.limit(limit)
+    return df.orderBy(*sort_keys()) if limit is None else offset_page(df, limit)
 
 
-def offset_page(
-    df: DataFrame,
-    limit: int = 1000,
-    offset: int = 0,
-    sort_by: str = "timestamp",
-    sort_order: str = "desc",
-    top_k_rows: int = TOP_K_ROWS,
+def ordered_slice(
+    df: DataFrame, keys: list[Column], limit: int, offset: int = 0, top_k_rows: int = TOP_K_ROWS
 ) -> DataFrame:
-    """Filter -> sort -> offset -> limit, over the whole filtered set.
-
-    A shallow page is a top-k plan. A deep one is cut by rank from a sorted
-    table, so no task ever holds the rows that are skipped.
-    """
-    keys = sort_keys(sort_by, sort_order)
+    """Sort -> offset -> limit. A shallow slice is a top-k plan. A deep one is cut by
+    rank from a sorted table, so no task ever holds the rows that are skipped."""
     if offset + limit <= top_k_rows:
         return df.orderBy(*keys).offset(offset).limit(limit)
     return slice_by_rank(sorted_layout(df, keys), offset, offset + limit).orderBy(*keys)
 
 
+def offset_page(
+    df: DataFrame, limit: int = 1000, offset: int = 0, sort_by: str = "timestamp", sort_order: str = "desc", **kw
+) -> DataFrame:
+    """Offset paging over the whole filtered set."""
+    return ordered_slice(df, sort_keys(sort_by, sort_order), limit, offset, **kw)
+
+
 def page(df: DataFrame, page: int = 1, limit: int = 100, sort_by="timestamp", sort_order="desc", **kw) -> DataFrame:
     check_arguments(page=page, limit=limit)
     return offset_page(df, int(limit), (int(page) - 1) * int(limit), sort_by, sort_order, **kw)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import iso_micros, iso_text
+
 # event type -> reading type (fixed mapping of the adapter view)
 EVENT_TYPES = {
     "click": "temperature",
@@ -45,6 +47,60 @@ def readings_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def readings_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged readings as untyped text, with numbers and times that do not parse."""
+    dirty = readings_dirty(spark, sf_dir)
+    number = F.col("value").cast("decimal(20,4)").cast("string")
+    return dirty.withColumns(
+        {
+            "value": F.when(F.col("id") % 13 == 0, "n/a")
+            .when(F.col("id") % 17 == 0, F.concat(F.lit("  "), number, F.lit(" ")))
+            .otherwise(number),
+            "timestamp": F.when(F.col("id") % 19 == 0, "not a time")
+            .when(F.col("id") % 23 == 0, F.date_format("timestamp", "yyyy-MM-dd"))
+            .when(F.col("id") % 29 == 0, F.lit(None))
+            .otherwise(iso_text("timestamp")),
+            "reading_type": F.when(F.col("id") % 7 == 0, F.upper("reading_type")).otherwise(F.col("reading_type")),
+        }
+    )
+
+
+def nested(df: DataFrame) -> DataFrame:
+    """Readings in landing form, with the field inside a ``location`` struct."""
+    where = F.struct(
+        F.col("field"),
+        F.lit(28.5).cast("double").alias("latitude"),
+        F.lit(77.25).cast("double").alias("longitude"),
+    )
+    return df.select(
+        "id",
+        "sensor_id",
+        "timestamp",
+        "reading_type",
+        "value",
+        F.lit("unit").alias("unit"),
+        F.lit(None).cast("string").alias("field"),
+        where.alias("location"),
+        "battery_level",
+        F.lit(50).alias("signal_strength"),
+        F.lit(None).cast("string").alias("data_quality"),
+    )
+
+
+def land_parquet(df: DataFrame, path: str, mode: str = "append") -> str:
+    nested(df).write.mode(mode).parquet(path)
+    return path
+
+
+def land_json(df: DataFrame, path: str, rows_per_file: int = 1000) -> str:
+    """JSON files holding one array each. Ids are unique, so an array has at most ``rows_per_file`` rows."""
+    rows = nested(df).withColumn("timestamp", iso_micros("timestamp"))
+    part = F.floor(F.col("id") / rows_per_file)
+    arrays = rows.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(f"{path}/text")
+    return path
+
+
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as readings of one sensor per supplier, for volume runs."""
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(

@@ -12,7 +12,7 @@ from ..functions.validity import split_valid, validity, with_errors
 from ..operators import anomaly, cleaning
 from ..operators.lookup import with_rules
 from ..sources.readers import ingest, read_landing, typed
-from ..sources.writers import append_readings, write_readings
+from ..sources.writers import append_readings, with_defaults, write_readings
 
 
 def calibrate(df: DataFrame, profile: str = "config") -> DataFrame:
@@ -84,14 +84,15 @@ def enrich(df: DataFrame, profile: str = "config") -> DataFrame:
 
 
 def run_batch(
-    spark: SparkSession, raw_path: str, table_path: str, fill: str = "drop", profile: str = "config", start=None, end=None
+    spark: SparkSession, raw_path: str, table_path: str, fill: str = "drop", profile: str = "config", start=None, end=None,
+    json_glob: str | None = None,
 ) -> dict:
     """Folder in, partitioned table out: ingest, clean, enrich, validate and store.
 
     One write; its counters are observed on the way. Timings come from the driver clock.
     """
     began = time.monotonic()
-    raw = read_landing(spark, raw_path, start, end)
+    raw = read_landing(spark, raw_path, start, end, json_glob=json_glob)
     read, cleaned, out = Observation("read"), Observation("cleaned"), Observation("stored")
     ok = F.coalesce(validity(raw, "ingest"), F.lit(False))
     if "_corrupt_record" in raw.columns:
@@ -99,10 +100,12 @@ def run_batch(
     source = raw.observe(
         read, F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("ingested"), F.count_if(validity(raw, "basic")).alias("valid")
     )
-    accepted = ingest(source).drop("source_file")
-    unique = cleaning.drop_duplicates(accepted).observe(cleaned, F.count(F.lit(1)).alias("unique"))
+    # Raw rows may come without an id: then file name and value decide which copy stays.
+    accepted = ingest(source)
+    first = cleaning.drop_duplicates(accepted, order=("id", "source_file", "value")).drop("source_file")
+    unique = first.observe(cleaned, F.count(F.lit(1)).alias("unique"))
     filled = cleaning.drop_missing(unique) if fill == "drop" else cleaning.forward_fill(unique)
-    enriched = enrich(filled, profile).observe(
+    enriched = with_defaults(enrich(filled, profile)).observe(
         out, F.count(F.lit(1)).alias("stored"), F.count_if("anomalous_reading").alias("outliers")
     )
     planned = time.monotonic()

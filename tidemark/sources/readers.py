@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import flatten_location, report_type, to_number, to_timestamp_ntz
 from ..functions.validity import validity
+from ..operators.filters import ordered_slice
 from ..schema import MAX_LANDING_BYTES, RAW, RAW_PARQUET, READINGS, require_columns
 
 CORRUPT = "_corrupt_record"
@@ -58,13 +59,13 @@ def read_raw_parquet(
 
 
 def read_raw_json(
-    spark: SparkSession, path: str, schema: T.StructType = RAW, start=None, end=None, lines: bool = False
+    spark: SparkSession, path: str, schema: T.StructType = RAW, start=None, end=None, lines: bool = False, glob: str | None = None
 ) -> DataFrame:
     """Landing JSON files holding one object or an array; a broken file becomes one corrupt row."""
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     reader = spark.read.option("recursiveFileLookup", True).schema(with_corrupt).option("mode", "PERMISSIVE")
     reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", not lines)
-    reader = reader.option("pathGlobFilter", "*.jsonl" if lines else "*.json")
+    reader = reader.option("pathGlobFilter", glob or ("*.jsonl" if lines else "*.json"))
     return _in_window(reader.json(path), start, end).select("*", F.col("_metadata.file_path").alias("source_file"))
 
 
@@ -79,13 +80,15 @@ def typed(df: DataFrame) -> DataFrame:
     return out.withColumns(changes) if changes else out
 
 
-def read_landing(spark: SparkSession, path: str, start=None, end=None, skip_bad_files: bool = True) -> DataFrame:
+def read_landing(
+    spark: SparkSession, path: str, start=None, end=None, skip_bad_files: bool = True, json_glob: str | None = None
+) -> DataFrame:
     """All JSON and Parquet files of a mixed folder as typed rows; other files are not read.
 
     Broken JSON files stay visible as rows with a corrupt text.
     """
     columnar = read_raw_parquet(spark, path, start=start, end=end, skip_bad_files=skip_bad_files)
-    text = read_raw_json(spark, path, start=start, end=end)
+    text = read_raw_json(spark, path, start=start, end=end, glob=json_glob)
     return typed(columnar).unionByName(typed(text), allowMissingColumns=True)
 
 
@@ -149,8 +152,8 @@ def unread_files(spark: SparkSession, path: str, raw: DataFrame) -> DataFrame:
     return listed.join(raw.select("source_file").distinct(), "source_file", "left_anti")
 
 
-def read_logs(spark: SparkSession, path: str, level: str | None = None, lines: int = 100) -> DataFrame:
-    """Newest log entries. JSON lines match the level exactly, other lines when they contain it."""
+def read_logs(spark: SparkSession, path: str, level: str | None = None, lines: int | None = 100) -> DataFrame:
+    """Newest log entries, or all with ``lines=None``. JSON lines match the level exactly, other lines when they contain it."""
     shape = "level string, message string, timestamp string"
     entry = F.from_json("value", shape)
     text = spark.read.text(path).where(F.trim("value") != "").select("value", entry.alias("e"))
@@ -163,8 +166,9 @@ def read_logs(spark: SparkSession, path: str, level: str | None = None, lines: i
     if level is not None:
         hit = F.when(F.col("is_text"), F.lower("message").contains(level.lower())).otherwise(F.col("level") == level)
         parsed = parsed.where(hit)
-    ordered = parsed.orderBy(F.col("timestamp").desc_nulls_last(), F.col("message").desc())
-    return ordered.limit(lines).drop("is_text")
+    entries = parsed.drop("is_text")
+    newest = [F.col("timestamp").desc_nulls_last(), F.col("message").desc()]
+    return entries.orderBy(*newest) if lines is None else ordered_slice(entries, newest, lines)
 
 
 def report_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,9 @@ from ..operators.lookup import measured
 from ..schema import EXPORT_FORMATS, READINGS
 from .readers import read_readings
 
+# Text sinks cut times to milliseconds unless told otherwise.
+TEXT_TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def with_defaults(df: DataFrame) -> DataFrame:
     """Fill the insert defaults and fit the columns to the table; zero stays zero."""
@@ -107,11 +110,11 @@ def delete_readings(spark: SparkSession, path: str, ids: DataFrame) -> int:
 def write_daily_lines(df: DataFrame, path: str) -> None:
     """Append to one JSON-lines folder per day."""
     dated = df.withColumn("date", F.to_date("timestamp"))
-    dated.hint("rebalance", "date").write.mode("append").partitionBy("date").json(path)
+    dated.hint("rebalance", "date").write.mode("append").options(**TEXT_TIME).partitionBy("date").json(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    df.write.mode(mode).options(**TEXT_TIME).option("ignoreNullFields", False).json(path)
 
 
 def export(df: DataFrame, path: str, fmt: str) -> str:
@@ -119,7 +122,7 @@ def export(df: DataFrame, path: str, fmt: str) -> str:
     kind = fmt.lower()
     if kind not in EXPORT_FORMATS:
         raise ValueError(f"Unsupported export format: {fmt}")
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").options(**TEXT_TIME)
     if kind == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     elif kind == "json":
