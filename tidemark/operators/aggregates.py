@@ -16,6 +16,22 @@ MEDIAN_ROWS = 1_000_000
 STRENGTHS = (0.3, 0.7)
 
 
+def epoch_hours(c: str = "timestamp") -> Column:
+    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", origin, F.col(c)) / F.lit(3.6e9)
+
+
+def slope(y: Column, x: Column) -> Column:
+    """Least-squares slope; null for constant x. (The built-in raises in ANSI mode.)"""
+    return F.try_divide(F.covar_pop(y, x), F.var_pop(F.when(y.isNotNull(), x)))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of the complete pairs; null when either side is constant."""
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def table_stats(df: DataFrame) -> DataFrame:
     """Rows and latest time per reading type plus one total row (``is_total``).
 
@@ -168,15 +184,17 @@ def statistics(df: DataFrame, keys=(), max_rows: int = MEDIAN_ROWS) -> DataFrame
     return joined.select(*keys, "count", "mean", "median", "std_dev", "min", "max")
 
 
-def trend(df: DataFrame, keys=("sensor_id", "reading_type"), strengths=STRENGTHS) -> DataFrame:
-    """Slope per hour and correlation with time, with direction and strength labels."""
+def trend(df: DataFrame, keys=("sensor_id", "reading_type"), strengths=STRENGTHS, extra=()) -> DataFrame:
+    """Slope per hour and correlation with time, with direction and strength labels.
+
+    ``extra`` aggregates ride on the same pass."""
     weak, moderate = strengths
-    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    hours = F.timestamp_diff("MICROSECOND", origin, F.col("timestamp")) / F.lit(3.6e9)
+    hours = epoch_hours()
     out = df.groupBy(*keys).agg(
         F.count("value").alias("count"),
-        F.regr_slope(F.col("value"), hours).alias("slope"),
-        F.corr(F.col("value"), hours).alias("correlation"),
+        slope(F.col("value"), hours).alias("slope"),
+        correlation(F.col("value"), hours).alias("correlation"),
+        *extra,
     )
     size = F.abs(F.col("correlation"))
     return out.withColumns(
@@ -200,7 +218,7 @@ def type_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     hourly = rows.groupBy("field", hour).agg(
         *[F.avg(F.when(F.col("reading_type") == t, F.col("value"))).alias(t) for t in types]
     )
-    wide = hourly.agg(*[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs])
+    wide = hourly.agg(*[correlation(F.col(a), F.col(b)).alias(f"{a}_{b}") for a, b in pairs])
     names = [f"{a}_{b}" for a, b in pairs]
     return wide.unpivot([], names, "pair", "correlation")
 
@@ -211,7 +229,7 @@ METRIC_AGGREGATES = {
     "minimum": lambda v, h: F.min(v),
     "sum": lambda v, h: F.sum(v),
     "count": lambda v, h: F.count(v),
-    "trend": lambda v, h: F.regr_slope(v, h),
+    "trend": slope,
 }
 GROUP_UNITS = {"hourly": "hour", "daily": "day", "weekly": "week", "monthly": "month"}
 
@@ -227,8 +245,7 @@ def custom_report(
         raise ValueError(f"Invalid custom report parameters: unknown period {group_by}")
     if sensors:
         df = df.where(F.col("sensor_id").isin(*sensors))
-    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    hours: Column = F.timestamp_diff("MICROSECOND", origin, F.col("timestamp")) / F.lit(3.6e9)
+    hours = epoch_hours()
     period = F.date_trunc(GROUP_UNITS[group_by], F.col("timestamp")).cast("timestamp_ntz")
     return df.groupBy(*keys, period.alias("period")).agg(
         *[METRIC_AGGREGATES[name](F.col("value"), hours).alias(name) for name in metrics]

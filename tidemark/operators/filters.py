@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..schema import READING_TYPES, SORT_COLUMNS
 from .layout import slice_by_rank, sorted_layout
+from .lookup import measured
 
 # A top-k plan keeps offset + limit rows per task; deeper pages use a sorted table.
 TOP_K_ROWS = 100_000
@@ -112,10 +113,24 @@ def ordered_slice(
 
 
 def offset_page(
-    df: DataFrame, limit: int = 1000, offset: int = 0, sort_by: str = "timestamp", sort_order: str = "desc", **kw
+    df: DataFrame,
+    limit: int = 1000,
+    offset: int = 0,
+    sort_by: str = "timestamp",
+    sort_order: str = "desc",
+    top_k_rows: int = TOP_K_ROWS,
 ) -> DataFrame:
-    """Offset paging over the whole filtered set."""
-    return ordered_slice(df, sort_keys(sort_by, sort_order), limit, offset, **kw)
+    """Offset paging over the whole filtered set.
+
+    A deep page sorts only its keys and ids, and fetches the page's rows by them.
+    """
+    keys = sort_keys(sort_by, sort_order)
+    if offset + limit <= top_k_rows:
+        return ordered_slice(df, keys, limit, offset, top_k_rows)
+    page_keys = ordered_slice(df.select(sort_by, "id"), keys, limit, offset, top_k_rows)
+    wanted = measured(page_keys.select(F.col(sort_by).alias("_key"), F.col("id").alias("_id")))
+    same = (F.col("id") == F.col("_id")) & F.col(sort_by).eqNullSafe(F.col("_key"))
+    return df.join(wanted, same, "left_semi").orderBy(*keys)
 
 
 def page(df: DataFrame, page: int = 1, limit: int = 100, sort_by="timestamp", sort_order="desc", **kw) -> DataFrame:

@@ -101,84 +101,83 @@ def _span(df: DataFrame, start, end) -> tuple:
     return hour(lo), hour(hi)
 
 
+def _hours_in_span(df: DataFrame, start, end, keys) -> tuple:
+    """Hourly rows inside the span, and its first and last hour."""
+    lo, hi = _span(df, start, end)
+    if start is not None or end is not None:
+        df = df.where(F.date_trunc("hour", "timestamp").cast("timestamp_ntz").between(lo, hi))
+    return hourly_series(df, keys), lo, hi
+
+
+def _percentage(actual, expected):
+    return round_half_up(F.lit(100.0) * actual / expected, 1)
+
+
 def coverage(df: DataFrame, start=None, end=None, keys=SERIES) -> DataFrame:
     """Expected against actual reading hours of each series, in percent.
 
     The expected number is arithmetic (hours in the range); no spine is built.
     """
-    lo, hi = _span(df, start, end)
-    rows = df if start is None and end is None else df.where(F.date_trunc("hour", "timestamp").between(lo, hi))
-    hours = hourly_series(rows, keys)
-    per_series = hours.groupBy(*keys).agg(F.count("*").alias("actual_readings"))
-    expected = F.timestamp_diff("HOUR", lo, hi) + 1
-    return per_series.withColumn("expected_readings", expected).withColumn(
-        "coverage_percentage",
-        round_half_up(F.lit(100.0) * F.col("actual_readings") / F.col("expected_readings"), 1),
-    )
+    hours, lo, hi = _hours_in_span(df, start, end, keys)
+    counted = hours.groupBy(*keys).agg(F.count("*").alias("actual_readings"))
+    rows = counted.withColumn("expected_readings", F.timestamp_diff("HOUR", lo, hi) + 1)
+    share = _percentage(F.col("actual_readings"), F.col("expected_readings"))
+    return rows.withColumn("coverage_percentage", share)
 
 
 def coverage_summary(df: DataFrame, start=None, end=None, keys=SERIES) -> DataFrame:
-    """Overall coverage, total and longest gap, sensors with gaps, as one row."""
-    cover = coverage(df, start, end, keys)
-    rows = df
-    if start is not None or end is not None:
-        lo, hi = _span(df, start, end)
-        rows = df.where(F.date_trunc("hour", "timestamp").between(lo, hi))
-    holes = gaps(rows, keys).groupBy(*keys).agg(
-        F.count("*").alias("gap_count"), F.max("gap_hours").alias("longest")
+    """Overall coverage, total and longest gap, sensors with gaps, as one row.
+
+    Hours and gaps of a series come from the same hourly rows.
+    """
+    hours, lo, hi = _hours_in_span(df, start, end, keys)
+    previous = F.lag("last_ts").over(W.partitionBy(*keys).orderBy("hour"))
+    pairs = hours.select(*keys, "first_ts", previous.alias("previous"))
+    is_gap = F.col("first_ts") > F.col("previous") + F.expr("interval 1 hour")
+    length = F.timestamp_diff("HOUR", F.col("previous"), F.col("first_ts"))
+    series = pairs.groupBy(*keys).agg(
+        F.count("*").alias("actual"), F.count_if(is_gap).alias("gaps"), F.max(F.when(is_gap, length)).alias("longest")
     )
-    return cover.join(holes, list(keys), "left").agg(
-        round_half_up(
-            F.lit(100.0) * F.sum("actual_readings") / F.sum("expected_readings"), 1
-        ).alias("overall_coverage"),
-        F.coalesce(F.sum("gap_count"), F.lit(0)).alias("total_gaps"),
+    return series.agg(
+        F.sum("actual").alias("actual"),
+        F.count("*").alias("series"),
+        F.coalesce(F.sum("gaps"), F.lit(0)).alias("total_gaps"),
         F.coalesce(F.max("longest"), F.lit(0)).alias("longest_gap_hours"),
-        F.count_distinct(F.when(F.col("gap_count") > 0, F.col("sensor_id"))).alias("sensors_with_gaps"),
+        F.count_distinct(F.when(F.col("gaps") > 0, F.col("sensor_id"))).alias("sensors_with_gaps"),
+    ).select(
+        _percentage(F.col("actual"), F.col("series") * (F.timestamp_diff("HOUR", lo, hi) + 1)).alias("overall_coverage"),
+        "total_gaps",
+        "longest_gap_hours",
+        "sensors_with_gaps",
     )
 
 
 def hourly_spine(df: DataFrame, start=None, end=None, keys=SERIES) -> DataFrame:
-    """Every expected hour of every series with its number of readings (0 when missing).
+    """Every expected hour of every series with its number of readings, 0 when it has none.
 
-    Each series is expanded by an array of hours; the join key holds the hour,
-    so a hot series is spread over all its hours.
+    Each hour with readings also brings the empty hours before it (the last one
+    those after it, too), so the spine needs no join with the actual hours.
     """
-    lo, hi = _span(df, start, end)
-    actual = hourly_series(df, keys).select(*keys, "hour", "readings")
-    series = actual.select(*keys).distinct()
-    spine = series.select(*keys, F.explode(F.sequence(lo, hi, F.expr("interval 1 hour"))).alias("hour"))
-    same = F.lit(True)
-    right = actual.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "hour")], "readings")
-    for c in (*keys, "hour"):
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return spine.join(right, same, "left").select(
-        *keys, "hour", F.coalesce("readings", F.lit(0)).cast("bigint").alias("readings")
-    )
-
-
-def missing_hours(df: DataFrame, start=None, end=None, keys=SERIES) -> DataFrame:
-    """Only the expected hours without a reading.
-
-    They are generated between neighbouring hours that have readings, so the
-    work follows the number of missing hours and no spine is joined.
-    """
-    lo, hi = _span(df, start, end)
+    hours, lo, hi = _hours_in_span(df, start, end, keys)
     one = F.expr("interval 1 hour")
-    hours = hourly_series(df, keys).where(F.col("hour").between(lo, hi))
     order = W.partitionBy(*keys).orderBy("hour")
-    edges = hours.select(
+    here = hours.select(
         *keys,
         "hour",
+        "readings",
         F.coalesce(F.lag("hour").over(order) + one, lo).alias("from_hour"),
         F.lead("hour").over(order).isNull().alias("is_last"),
     )
-    before = F.when(
-        F.col("from_hour") < F.col("hour"), F.sequence("from_hour", F.col("hour") - one, one)
-    ).otherwise(F.array().cast("array<timestamp_ntz>"))
-    after = F.when(
-        F.col("is_last") & (F.col("hour") < hi), F.sequence(F.col("hour") + one, hi, one)
-    ).otherwise(F.array().cast("array<timestamp_ntz>"))
-    return edges.select(*keys, F.explode(F.concat(before, after)).alias("missing_hour"))
+    last = F.when(F.col("is_last"), hi).otherwise(F.col("hour"))
+    spread = here.withColumn("slot", F.explode(F.sequence("from_hour", last, one)))
+    found = F.when(F.col("slot") == F.col("hour"), F.col("readings")).otherwise(F.lit(0).cast("bigint"))
+    return spread.select(*keys, F.col("slot").alias("hour"), found.alias("readings"))
+
+
+def missing_hours(df: DataFrame, start=None, end=None, keys=SERIES) -> DataFrame:
+    """Only the expected hours without a reading."""
+    empty = hourly_spine(df, start, end, keys).where(F.col("readings") == 0)
+    return empty.select(*keys, F.col("hour").alias("missing_hour"))
 
 
 def latest_per_series(df: DataFrame, keys=SERIES) -> DataFrame:

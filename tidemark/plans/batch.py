@@ -11,8 +11,8 @@ from ..functions import scalar as S
 from ..functions.validity import split_valid, validity, with_errors
 from ..operators import anomaly, cleaning
 from ..operators.lookup import with_rules
-from ..sources.readers import ingest, read_landing, typed
-from ..sources.writers import append_readings, with_defaults, write_readings
+from ..sources.readers import ingest, landing_files, read_landing, typed, unread_files
+from ..sources.writers import append_readings, observed, with_defaults, write_readings
 
 
 def calibrate(df: DataFrame, profile: str = "config") -> DataFrame:
@@ -56,13 +56,13 @@ def process_and_store(df: DataFrame | None, path: str, strict: bool = False) ->
     )
     kept = marked.where("is_valid") if strict else marked
     stored = append_readings(transform_records(kept).drop("processed_at"), path)
-    totals = seen.get
+    totals = observed(seen, rows=0, passed=0, errors=0)
     return {
-        "processed": int(stored),
-        "stored": int(stored),
-        "passed": int(totals["passed"]),
-        "failed": int(totals["rows"] - totals["passed"]),
-        "errors": int(totals["errors"] or 0),
+        "processed": stored,
+        "stored": stored,
+        "passed": totals["passed"],
+        "failed": totals["rows"] - totals["passed"],
+        "errors": totals["errors"],
     }
 
 
@@ -111,8 +111,13 @@ def run_batch(
     planned = time.monotonic()
     write_readings(enriched, table_path, mode="overwrite")
     done = time.monotonic()
-    r, c, o = read.get, cleaned.get, out.get
+    r = observed(read, rows=0, ingested=0, valid=0)
+    c, o = observed(cleaned, unique=0), observed(out, stored=0, outliers=0)
+    files = landing_files(spark, raw_path, "*.{parquet,json}").count()
+    unread = unread_files(spark, raw_path, raw).count()
     return {
+        "files_processed": files - unread,
+        "files_failed": unread,
         "records_read": r["rows"],
         "records_ingested": r["ingested"],
         "records_skipped": r["rows"] - r["ingested"],

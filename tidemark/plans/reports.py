@@ -9,6 +9,7 @@ from ..functions.scalar import is_blank
 from ..functions.validity import validity, with_errors
 from ..operators import aggregates, timeseries
 from ..schema import MAX_ANOMALY_PCT, MAX_MISSING_PCT, OUTLIER_VALUE
+from ..session import written
 
 ACTIVE_HOURS = 24
 
@@ -182,8 +183,8 @@ def alerts(df: DataFrame, flag: str = "anomalous_reading") -> DataFrame:
 def summary(df: DataFrame, flag: str = "anomalous_reading", active_hours: int = ACTIVE_HOURS) -> DataFrame:
     """Overview metrics in long form (metric, key, value).
 
-    Readings are reduced to one row per (sensor, type, field); every figure of
-    the summary comes from that reduction.
+    Readings are reduced to one row per (sensor, type, field). That reduction is
+    written once, so the readings are scanned once for all figures.
     """
     parts = df.groupBy("sensor_id", "reading_type", "field").agg(
         F.count("*").alias("n"),
@@ -193,7 +194,8 @@ def summary(df: DataFrame, flag: str = "anomalous_reading", active_hours: int =
         F.count_if(flag).alias("flagged"),
         F.max("timestamp").alias("latest"),
     )
-    newest = df.agg(F.max("timestamp").alias("m")).scalar()
+    parts = written(parts, "summary")
+    newest = parts.agg(F.max("latest").alias("m")).scalar()
     sensors = parts.groupBy("sensor_id").agg(F.max("latest").alias("latest"), F.sum("flagged").alias("flagged"))
     active = F.col("latest") >= newest - F.expr(f"interval {active_hours} hours")
     states = sensors.agg(
@@ -237,34 +239,42 @@ def summary(df: DataFrame, flag: str = "anomalous_reading", active_hours: int =
     return state_rows.unionByName(set_rows)
 
 
-def insights(flagged: DataFrame, types=None) -> DataFrame:
-    """Trend, pattern and anomaly findings per reading type with confidence and impact."""
-    direction = aggregates.trend(flagged, keys=("reading_type",)).select(
-        "reading_type",
-        F.lit("trend").alias("type"),
-        F.abs("correlation").alias("confidence"),
-        F.concat(F.col("reading_type"), F.lit(" is "), F.col("direction"), F.lit(", "), F.col("strength")).alias("description"),
-        F.when(F.col("direction") == "stable", "neutral").otherwise("positive").alias("impact"),
-    )
-    shares = flagged.groupBy("reading_type").agg(
-        (F.count_if(~F.col("is_range")) / F.count("*")).alias("in_range"),
-        (F.count_if(F.col("anomaly_class").isNotNull()) / F.count("*")).alias("anomalous"),
+def insights(flagged: DataFrame) -> DataFrame:
+    """Trend, pattern and anomaly findings per reading type with confidence and impact.
+
+    One aggregate per type feeds all three findings.
+    """
+    shares = aggregates.trend(
+        flagged,
+        ("reading_type",),
+        extra=[
+            (F.count_if(~F.col("is_range")) / F.count("*")).alias("in_range"),
+            (F.count_if(F.col("anomaly_class").isNotNull()) / F.count("*")).alias("anomalous"),
+        ],
     )
+    name, anomalous = F.col("reading_type"), F.col("anomalous")
+
+    def finding(kind, confidence, description, impact):
+        return F.struct(
+            F.lit(kind).alias("type"),
+            confidence.alias("confidence"),
+            description.alias("description"),
+            impact.alias("impact"),
+        )
+
     found = F.array(
-        F.struct(
-            F.lit("pattern").alias("type"),
-            F.col("in_range").alias("confidence"),
-            F.concat(F.col("reading_type"), F.lit(" readings within range")).alias("description"),
-            F.lit("neutral").alias("impact"),
+        finding(
+            "trend",
+            F.abs("correlation"),
+            F.concat(name, F.lit(" is "), F.col("direction"), F.lit(", "), F.col("strength")),
+            F.when(F.col("direction") == "stable", "neutral").otherwise("positive"),
         ),
-        F.struct(
-            F.lit("anomaly").alias("type"),
-            (F.lit(1.0) - F.col("anomalous")).alias("confidence"),
-            F.when(F.col("anomalous") > 0, F.concat(F.col("reading_type"), F.lit(" has anomalies")))
-            .otherwise(F.concat(F.col("reading_type"), F.lit(" has no anomalies")))
-            .alias("description"),
-            F.when(F.col("anomalous") > 0, "negative").otherwise("positive").alias("impact"),
+        finding("pattern", F.col("in_range"), F.concat(name, F.lit(" readings within range")), F.lit("neutral")),
+        finding(
+            "anomaly",
+            F.lit(1.0) - anomalous,
+            F.concat(name, F.when(anomalous > 0, " has anomalies").otherwise(" has no anomalies")),
+            F.when(anomalous > 0, "negative").otherwise("positive"),
         ),
     )
-    rest = shares.select("reading_type", F.explode(found).alias("f")).select("reading_type", "f.*")
-    return direction.unionByName(rest)
+    return shares.select("reading_type", F.explode(found).alias("f")).select("reading_type", "f.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE sizes shuffles, splits skewed joins and skewed write partitions at run time.
 SETTINGS = {
@@ -40,3 +40,10 @@ def scratch_dir(spark: SparkSession, label: str = "stage") -> str:
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str = "stage") -> DataFrame:
+    """``df`` as a table in the scratch folder: short lineage, known size, safe when executors are lost."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

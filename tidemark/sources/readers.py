@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,10 +50,10 @@ def _in_window(df: DataFrame, start, end) -> DataFrame:
 
 
 def read_raw_parquet(
-    spark: SparkSession, path: str, schema: T.StructType = RAW_PARQUET, start=None, end=None, skip_bad_files: bool = True
+    spark: SparkSession, path: str, schema: T.StructType = RAW_PARQUET, start=None, end=None, skip_bad_files: bool = False
 ) -> DataFrame:
-    """Landing Parquet files with their names. Bad files are skipped unless told otherwise;
-    ``unread_files`` lists them."""
+    """Landing Parquet files with their names. A bad file fails the read, or is skipped on request;
+    ``unread_files`` lists the skipped ones."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
     df = reader.schema(schema).option("ignoreCorruptFiles", skip_bad_files).parquet(path)
     return _in_window(df, start, end).select("*", F.col("_metadata.file_path").alias("source_file"))
@@ -85,7 +86,9 @@ def read_landing(
 ) -> DataFrame:
     """All JSON and Parquet files of a mixed folder as typed rows; other files are not read.
 
-    Broken JSON files stay visible as rows with a corrupt text.
+    A bad file does not stop the run: broken JSON stays visible as a row with a
+    corrupt text, broken Parquet in ``unread_files``. Where storage may fail for
+    a moment, read with ``skip_bad_files=False``, so that nothing is left out unseen.
     """
     columnar = read_raw_parquet(spark, path, start=start, end=end, skip_bad_files=skip_bad_files)
     text = read_raw_json(spark, path, start=start, end=end, glob=json_glob)
@@ -146,9 +149,9 @@ def landing_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: in
     )
 
 
-def unread_files(spark: SparkSession, path: str, raw: DataFrame) -> DataFrame:
-    """Parquet files of the folder that gave no row (corrupt or empty)."""
-    listed = landing_files(spark, path, "*.parquet").select(F.col("path").alias("source_file"))
+def unread_files(spark: SparkSession, path: str, raw: DataFrame, glob: str = "*.parquet") -> DataFrame:
+    """Files of the folder that gave no row (corrupt or empty). Only footers are read for it."""
+    listed = landing_files(spark, path, glob).select(F.col("path").alias("source_file"))
     return listed.join(raw.select("source_file").distinct(), "source_file", "left_anti")
 
 
@@ -187,13 +190,13 @@ def report_catalog(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_report(spark: SparkSession, path: str, report_id: str) -> DataFrame:
+def read_report(spark: SparkSession, path: str, report_id: str, schema: str | T.StructType | None = None) -> DataFrame:
     """The rows of one saved report; a missing report is an error."""
-    rows = spark.read.option("recursiveFileLookup", True).json(f"{path}/{report_id}")
-    found = rows.where(F.col("report_id") == report_id)
-    if not found.limit(1).count():
-        raise ValueError(f"Report {report_id} not found")
-    return found
+    reader = spark.read.option("recursiveFileLookup", True)
+    try:
+        return (reader.schema(schema) if schema else reader).json(f"{path}/{report_id}")
+    except AnalysisException as error:
+        raise ValueError(f"Report {report_id} not found") from error
 
 
 def read_stored_json(spark: SparkSession, path: str, schema: T.StructType = RAW, lines: bool = True) -> DataFrame:

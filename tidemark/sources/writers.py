@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +53,23 @@ def write_readings(
     writer.parquet(path)
 
 
+def observed(seen: Observation, **defaults) -> dict:
+    """Observed counters as integers. A plan that Spark folds to an empty one leaves no counters."""
+    try:
+        found = {k: v for k, v in seen.get.items() if v is not None}
+    except Py4JJavaError as error:
+        if "toPyRow" not in str(error):
+            raise
+        found = {}
+    return {k: int(v) for k, v in {**defaults, **found}.items()}
+
+
 def append_readings(df: DataFrame, path: str) -> int:
     """Insert with defaults; returns the number of rows written."""
     seen = Observation("append")
     rows = with_defaults(df).observe(seen, F.count(F.lit(1)).alias("rows"))
     write_readings(rows, path)
-    return int(seen.get["rows"])
+    return observed(seen, rows=0)["rows"]
 
 
 def _hits_per_date(table: DataFrame, keys: DataFrame) -> dict:
