@@ -164,11 +164,9 @@ def test_top_anomalies_shape(spark):
     assert (top.sensor_id, top.expected_range, top.severity) == ("S9", "-10.0-50.0", "high")
 
 
-def test_skewed_temporal_join_is_split(spark):
-    """AQE splits the hot day of a hot series instead of leaving it to one task."""
-    hot = [("HOT", f"2025-07-02T10:{i // 60 % 60:02d}:{i % 60:02d}", "t", float(i % 7)) for i in range(3000)]
-    cold = [(f"S{i}", "2025-07-02T10:00:00", "t", 1.0) for i in range(200)]
-    df = readings(spark, hot + cold).repartition(8)
+@pytest.fixture
+def tiny_skew_limits(spark):
+    """Lower the AQE limits so that small fixtures show how a skewed join is treated."""
     settings = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
@@ -177,15 +175,34 @@ def test_skewed_temporal_join_is_split(spark):
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     }
     old = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        out = anomaly.with_temporal_flag(df)
-        assert len(out.collect()) == 3200
-        assert "skew=true" in plan(out)
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot_day(spark):
+    hot = [("HOT", f"2025-07-02T10:{i // 60 % 60:02d}:{i % 60:02d}", "t", float(i % 7)) for i in range(3000)]
+    cold = [(f"S{i}", "2025-07-02T10:00:00", "t", 1.0) for i in range(200)]
+    return readings(spark, hot + cold).repartition(8)
+
+
+def test_skewed_temporal_join_is_split(spark, tiny_skew_limits):
+    """AQE splits the hot day of a hot series instead of leaving it to one task."""
+    out = anomaly.with_temporal_flag(hot_day(spark))
+    assert len(out.collect()) == 3200
+    assert "skew=true" in plan(out)
+
+
+def test_skewed_join_of_many_statistics_is_split(spark, tiny_skew_limits):
+    from tidemark.operators.lookup import join_statistics
+
+    df = hot_day(spark)
+    stats = df.groupBy("sensor_id").agg(F.avg("value").alias("m"))
+    out = join_statistics(df, stats, ["sensor_id"], max_rows=50)
+    assert len(out.collect()) == 3200
+    assert "skew=true" in plan(out)
 
 
 def test_latest_per_series_is_a_hash_aggregate(spark, skewed):

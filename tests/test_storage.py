@@ -225,7 +225,7 @@ def test_batch_run_counts(spark, tmp_path):
     run = batch.run_batch(spark, raw, out)
     assert (run["records_read"], run["records_ingested"], run["records_skipped"]) == (6, 5, 1)
     assert (run["duplicates_removed"], run["records_stored"], run["invalid_records"]) == (1, 3, 2)
-    assert run["files_failed"] == 0 and run["files_processed"] >= 1
+    assert run["records_broken"] == 0 and run["files_processed"] >= 1
     stored = R.read_readings(spark, out)
     assert stored.count() == 3 and stored.where("calibrated_value IS NULL").count() == 0
     filled = batch.run_batch(spark, raw, str(tmp_path / "out2"), fill="forward", profile="code")

@@ -42,12 +42,16 @@ def chunk_offsets(layout: DataFrame, keys: list[str] = ()) -> DataFrame:
 def slice_by_rank(layout: DataFrame, start: int, stop: int) -> DataFrame:
     """Rows with global rank in [start, stop), rank counted from 0.
 
-    Only the files that hold a part of the slice take part in the join.
+    Only the files that hold a part of the slice are read: their list is at most
+    one entry per range partition, and prunes the scan by file name.
     """
     hit = chunk_offsets(layout).where(
         (F.col("rows_before") < stop) & (F.col("rows_before") + F.col("rows") > start)
     )
-    rank = F.col("rows_before") + F.col(POS)
-    # One row per file of the slice: bounded by the number of range partitions.
-    joined = layout.join(F.broadcast(hit.select(CHUNK, "rows_before")), CHUNK)
-    return joined.where((rank >= start) & (rank < stop)).drop(CHUNK, POS, "rows_before")
+    before = {r[CHUNK]: r["rows_before"] for r in hit.collect()}
+    if not before:
+        return layout.drop(CHUNK, POS).limit(0)
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col(CHUNK))
+    rank = offset + F.col(POS)
+    part = layout.where(F.col(CHUNK).isin(list(before)))
+    return part.where((rank >= start) & (rank < stop)).drop(CHUNK, POS)

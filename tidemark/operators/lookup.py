@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CALIBRATION, THRESHOLDS
+from ..session import written
 
 # Rows a measured statistics table may have to be sent to every executor.
 BROADCAST_ROWS = 100_000
@@ -32,14 +33,15 @@ def with_rules(df: DataFrame, calibration=CALIBRATION, thresholds=THRESHOLDS) ->
 
 
 def measured(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` as a broadcast table if it has at most ``max_rows`` rows, else unchanged.
+    """``small`` as a broadcast table if it has at most ``max_rows`` rows, else as a written table.
 
-    At most ``max_rows + 1`` rows reach the driver. An unchanged table is joined
-    through the shuffle, where AQE splits hot keys.
+    At most ``max_rows + 1`` rows reach the driver. A written table goes through its
+    own shuffle in the join, which is what AQE needs to split hot keys of the other side
+    (an aggregate straight below the join would be joined without one).
     """
     head = small.limit(max_rows + 1).collect()
     if len(head) > max_rows:
-        return small
+        return written(small, "lookup")
     return F.broadcast(small.sparkSession.createDataFrame(head, small.schema))
 
 

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.validity import split_valid, validity, with_errors
+from ..functions.validity import split_valid, validity
 from ..operators import anomaly, cleaning
+from ..operators.aggregates import validation_counters
 from ..operators.lookup import with_rules
-from ..sources.readers import ingest, landing_files, read_landing, typed, unread_files
-from ..sources.writers import append_readings, observed, with_defaults, write_readings
+from ..session import written
+from ..sources.readers import ingest, ingest_summary, read_landing, typed
+from ..sources.writers import append_readings, with_defaults, write_readings
 
 
 def calibrate(df: DataFrame, profile: str = "config") -> DataFrame:
@@ -44,24 +46,17 @@ def process_records(df: DataFrame | None, strict: bool = False) -> tuple[DataFra
 
 
 def process_and_store(df: DataFrame | None, path: str, strict: bool = False) -> dict:
-    """Validate, transform and append a record batch; the counters ride on the write itself."""
+    """Validate, transform and append a record batch; returns the counters."""
     if df is None:
         raise ValueError("no records given")
-    seen = Observation("validation")
-    marked = with_errors(df).observe(
-        seen,
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if("is_valid").alias("passed"),
-        F.sum(F.size("errors").cast("bigint")).alias("errors"),
-    )
-    kept = marked.where("is_valid") if strict else marked
-    stored = append_readings(transform_records(kept).drop("processed_at"), path)
-    totals = observed(seen, rows=0, passed=0, errors=0)
+    out, _ = process_records(df, strict)
+    stored = append_readings(out.drop("processed_at"), path)
+    totals = validation_counters(df).first()
     return {
         "processed": stored,
         "stored": stored,
         "passed": totals["passed"],
-        "failed": totals["rows"] - totals["passed"],
+        "failed": totals["failed"],
         "errors": totals["errors"],
     }
 
@@ -84,50 +79,54 @@ def enrich(df: DataFrame, profile: str = "config") -> DataFrame:
 
 
 def run_batch(
-    spark: SparkSession, raw_path: str, table_path: str, fill: str = "drop", profile: str = "config", start=None, end=None,
+    spark: SparkSession,
+    raw_path: str,
+    table_path: str,
+    fill: str = "drop",
+    profile: str = "config",
+    start=None,
+    end=None,
     json_glob: str | None = None,
 ) -> dict:
     """Folder in, partitioned table out: ingest, clean, enrich, validate and store.
 
-    One write; its counters are observed on the way. Timings come from the driver clock.
+    The unique rows are written once and shared by the steps behind them (fill,
+    group statistics, final write), so the landing files are parsed and shuffled once.
+    Counters are aggregates or observed on the final write; times are the driver's clock.
     """
-    began = time.monotonic()
+    clock = [time.monotonic()]
     raw = read_landing(spark, raw_path, start, end, json_glob=json_glob)
-    read, cleaned, out = Observation("read"), Observation("cleaned"), Observation("stored")
-    ok = F.coalesce(validity(raw, "ingest"), F.lit(False))
-    if "_corrupt_record" in raw.columns:
-        ok = ok & F.col("_corrupt_record").isNull()
-    source = raw.observe(
-        read, F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("ingested"), F.count_if(validity(raw, "basic")).alias("valid")
-    )
+    counts = ingest_summary(raw, F.count_if(validity(raw, "basic")).alias("valid")).first()
+    clock.append(time.monotonic())
     # Raw rows may come without an id: then file name and value decide which copy stays.
-    accepted = ingest(source)
-    first = cleaning.drop_duplicates(accepted, order=("id", "source_file", "value")).drop("source_file")
-    unique = first.observe(cleaned, F.count(F.lit(1)).alias("unique"))
+    first = cleaning.drop_duplicates(ingest(raw), order=("id", "source_file", "value"))
+    unique = written(first.drop("source_file"), "unique")
+    n_unique = unique.count()
+    clock.append(time.monotonic())
     filled = cleaning.drop_missing(unique) if fill == "drop" else cleaning.forward_fill(unique)
-    enriched = with_defaults(enrich(filled, profile)).observe(
-        out, F.count(F.lit(1)).alias("stored"), F.count_if("anomalous_reading").alias("outliers")
+    enriched = with_defaults(enrich(filled, profile))
+    stored = write_readings(
+        enriched, table_path, mode="overwrite", counters={"outliers": F.count_if("anomalous_reading")}
     )
-    planned = time.monotonic()
-    write_readings(enriched, table_path, mode="overwrite")
-    done = time.monotonic()
-    r = observed(read, rows=0, ingested=0, valid=0)
-    c, o = observed(cleaned, unique=0), observed(out, stored=0, outliers=0)
-    files = landing_files(spark, raw_path, "*.{parquet,json}").count()
-    unread = unread_files(spark, raw_path, raw).count()
+    clock.append(time.monotonic())
+    total = counts["processed"] + counts["skipped"] + counts["errors"]
+    seconds = clock[-1] - clock[0]
     return {
-        "files_processed": files - unread,
-        "files_failed": unread,
-        "records_read": r["rows"],
-        "records_ingested": r["ingested"],
-        "records_skipped": r["rows"] - r["ingested"],
-        "invalid_records": r["rows"] - r["valid"],
-        "duplicates_removed": r["ingested"] - c["unique"],
-        "records_stored": o["stored"],
-        "outliers_detected": o["outliers"],
-        "planning_seconds": planned - began,
-        "processing_time_seconds": done - began,
-        "average_records_per_second": o["stored"] / (done - began),
+        "files_processed": counts["files"],
+        "records_read": total,
+        "records_ingested": counts["processed"],
+        "records_skipped": counts["skipped"],
+        "records_broken": counts["errors"],
+        "invalid_records": total - counts["valid"],
+        "duplicates_removed": counts["processed"] - n_unique,
+        "records_transformed": n_unique,
+        "records_stored": stored["rows"],
+        "outliers_detected": stored["outliers"],
+        "validation_seconds": clock[1] - clock[0],
+        "cleaning_seconds": clock[2] - clock[1],
+        "storage_seconds": clock[3] - clock[2],
+        "processing_time_seconds": seconds,
+        "average_records_per_second": stored["rows"] / seconds,
     }
 
 

@@ -48,11 +48,12 @@ def _per_series(df: DataFrame, flag: str) -> DataFrame:
 def quality_rows(df: DataFrame, flag: str = "anomalous_reading") -> DataFrame:
     """Missing and anomalous percentage per type and sensor, and the overall score, as metric rows.
 
-    ``rollup`` on the per-series counts gives the overall row from the same aggregate.
+    The overall row is a second grouping set over the per-series counts.
     """
     series = _per_series(df, flag)
     level = F.grouping_id("reading_type", "sensor_id")
-    rolled = series.rollup("reading_type", "sensor_id").agg(
+    both = [F.col("reading_type"), F.col("sensor_id")]
+    rolled = series.groupingSets([both, []], *both).agg(
         level.alias("level"),
         F.sum("n").alias("n"),
         F.sum("missing").alias("missing"),
@@ -69,8 +70,7 @@ def quality_rows(df: DataFrame, flag: str = "anomalous_reading") -> DataFrame:
         F.struct(F.lit("quality_score").alias("metric"), (hundred * F.col("valid") / F.col("n")).alias("value"))
     )
     overall = F.col("level") == 3
-    # Level 1 is the per-type subtotal of the rollup, which the report does not list.
-    rows = rolled.where(F.col("level").isin(0, 3)).withColumn("m", F.explode(F.when(overall, score).otherwise(pair)))
+    rows = rolled.withColumn("m", F.explode(F.when(overall, score).otherwise(pair)))
     return rows.select(
         F.col("m.metric").alias("metric"),
         F.when(overall, "overall").otherwise(F.col("reading_type")).alias("reading_type"),

@@ -102,7 +102,7 @@ def ingest(raw: DataFrame) -> DataFrame:
     return typed(good.where(validity(good, "ingest"))).drop(CORRUPT)
 
 
-def ingest_summary(raw: DataFrame) -> DataFrame:
+def ingest_summary(raw: DataFrame, *extra: Column) -> DataFrame:
     """Processed, skipped and broken rows and the number of files, in one pass."""
     broken = F.col(CORRUPT).isNotNull() if CORRUPT in raw.columns else F.lit(False)
     ok = validity(raw, "ingest") & ~broken
@@ -111,6 +111,7 @@ def ingest_summary(raw: DataFrame) -> DataFrame:
         F.count_if(~ok & ~broken).alias("skipped"),
         F.count_if(broken).alias("errors"),
         F.count_distinct(F.when(~broken, F.col("source_file"))).alias("files"),
+        *extra,
     )
 
 

@@ -31,13 +31,20 @@ def with_defaults(df: DataFrame) -> DataFrame:
     fill["created_at"] = F.coalesce(fill["created_at"], now_ntz())
     fill["quality_score"] = F.coalesce(fill["quality_score"], F.lit(100.0))
     out = flat.select(*[c.alias(name) for name, c in fill.items()])
+    # Rows that bring no id get one from their key. A 64-bit hash is stable, but among n rows
+    # about n^2 / 2^65 pairs share a value: tables of trillions of rows should bring their ids.
     key = F.xxhash64("sensor_id", "timestamp", "reading_type")
     return out.withColumn("id", F.coalesce("id", key))
 
 
 def write_readings(
-    df: DataFrame, path: str, mode: str = "append", partition_by=("date",), overwrite_dates: bool = False
-) -> None:
+    df: DataFrame,
+    path: str,
+    mode: str = "append",
+    partition_by=("date",),
+    overwrite_dates: bool = False,
+    counters: dict | None = None,
+) -> dict:
     """Date-partitioned snappy Parquet, sorted by sensor and time within each file.
 
     The rebalance step gathers the rows of a date and lets AQE cut a large date
@@ -46,11 +53,14 @@ def write_readings(
     dated = df.withColumn("date", F.to_date("timestamp"))
     keys = list(partition_by)
     order = keys + [c for c in ("sensor_id", "timestamp") if c not in keys]
+    seen, named = Observation(), {"rows": F.count(F.lit(1)), **(counters or {})}
     laid_out = dated.hint("rebalance", *keys).sortWithinPartitions(*order)
+    laid_out = laid_out.observe(seen, *[c.alias(k) for k, c in named.items()])
     writer = laid_out.write.mode(mode).partitionBy(*keys).option("compression", "snappy")
     if overwrite_dates:
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
+    return observed(seen, **dict.fromkeys(named, 0))
 
 
 def observed(seen: Observation, **defaults) -> dict:
@@ -66,10 +76,7 @@ def observed(seen: Observation, **defaults) -> dict:
 
 def append_readings(df: DataFrame, path: str) -> int:
     """Insert with defaults; returns the number of rows written."""
-    seen = Observation("append")
-    rows = with_defaults(df).observe(seen, F.count(F.lit(1)).alias("rows"))
-    write_readings(rows, path)
-    return observed(seen, rows=0)["rows"]
+    return write_readings(with_defaults(df), path)["rows"]
 
 
 def _hits_per_date(table: DataFrame, keys: DataFrame) -> dict:

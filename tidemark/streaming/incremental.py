@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import timedelta
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +73,22 @@ def load_new_files(
     query.awaitTermination()
 
 
+def date_bands(dates: list, before: int, after: int) -> list[tuple]:
+    """Merge ``[d - before, d + after]`` of all dates into few non-overlapping ranges."""
+    bands: list[list] = []
+    for d in sorted(set(dates)):
+        lo, hi = d - timedelta(days=before), d + timedelta(days=after)
+        if bands and lo <= bands[-1][1] + timedelta(days=1):
+            bands[-1][1] = hi
+        else:
+            bands.append([lo, hi])
+    return [tuple(b) for b in bands]
+
+
+def _within(bands: list[tuple]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col("date").between(lo, hi) for lo, hi in bands])
+
+
 def refresh_daily_averages(spark: SparkSession, table_path: str, out_path: str, dates: list) -> None:
     """Recompute daily and rolling averages of the dates that changed and overwrite those days.
 
@@ -78,16 +97,9 @@ def refresh_daily_averages(spark: SparkSession, table_path: str, out_path: str,
     """
     if not dates:
         return
-    table = read_readings(spark, table_path)
-    day = F.col("date")
     reach = ROLLING_DAYS - 1
-    changed = [F.lit(d) for d in dates]
-    near = F.lit(False)
-    affected = F.lit(False)
-    for d in changed:
-        near = near | day.between(F.date_sub(d, reach), F.date_add(d, reach))
-        affected = affected | day.between(d, F.date_add(d, reach))
-    averages = rolling_average(table.where(near)).where(affected)
+    near = read_readings(spark, table_path).where(_within(date_bands(dates, reach, reach)))
+    averages = rolling_average(near).where(_within(date_bands(dates, 0, reach)))
     averages.hint("rebalance", "date").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("date").parquet(out_path)
