@@ -60,6 +60,18 @@ def test_delete_empties_a_date(spark, table):
     assert sorted(r.id for r in R.read_readings(spark, table).collect()) == [3, 4]
 
 
+def test_table_by_date_and_sensor(spark, tmp_path):
+    path, keys = str(tmp_path / "t"), ("date", "sensor_id")
+    rows = K.with_defaults(readings(spark, SAMPLE + [("S 4/x", "2025-07-18T11:00:00", "humidity", 1.0)]))
+    assert K.write_readings(rows, path, partition_by=keys)["rows"] == 5
+    assert sorted(p for p in os.listdir(f"{path}/date=2025-07-17") if "=" in p) == ["sensor_id=S1", "sensor_id=S2"]
+    one = spark.createDataFrame([(3, 9.5)], "id long, value double")
+    assert K.update_readings(spark, path, one, keys) == 1
+    assert K.delete_readings(spark, path, spark.createDataFrame([(2,), (5,)], "id long"), keys) == 2
+    got = {r.id: (r.sensor_id, r.value) for r in R.read_readings(spark, path).collect()}
+    assert got == {1: ("S1", 0.0), 3: ("S2", 9.5), 4: ("S3", 61.5)}
+
+
 def test_absent_ids_change_nothing(spark, table):
     ids = spark.createDataFrame([(999999,)], "id long")
     assert K.delete_readings(spark, table, ids) == 0
@@ -158,11 +170,12 @@ def test_logs(spark, tmp_path):
 def test_reports_are_saved_listed_fetched_and_exported(spark, tmp_path):
     path = str(tmp_path / "r")
     flagged = anomaly.with_range_flag(readings(spark, SAMPLE)).withColumnRenamed("is_range", "anomalous_reading")
-    K.save_report(reports.quality_rows(flagged), path, "quality_1")
-    K.save_report(TS.coverage(flagged), path, "coverage_2")
-    listed = {r.report_id: r.type for r in R.report_catalog(spark, path).collect()}
-    assert listed == {"quality_1": "Quality Report", "coverage_2": "Coverage Report"}
-    assert R.read_report(spark, path, "quality_1").count() == 7
+    K.save_report(reports.quality_report(flagged), path, "quality_1")
+    K.save_report(reports.coverage_report(flagged), path, "coverage_2")
+    listed = {r.report_id: r for r in R.report_catalog(spark, path).collect()}
+    assert {k: r.type for k, r in listed.items()} == {"quality_1": "Quality Report", "coverage_2": "Coverage Report"}
+    assert listed["quality_1"].file_path.endswith("/r/quality_1") and listed["quality_1"].file_size_mb > 0
+    assert R.read_report(spark, path, "quality_1", "metrics").count() == 8
     with pytest.raises(ValueError, match="Report none_1 not found"):
         R.read_report(spark, path, "none_1")
     K.export_report(spark, path, "quality_1", str(tmp_path / "q"), "csv")
@@ -170,10 +183,28 @@ def test_reports_are_saved_listed_fetched_and_exported(spark, tmp_path):
     assert head == "metric,reading_type,sensor_id,value,timestamp"
     K.export_report(spark, path, "coverage_2", str(tmp_path / "c"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["report_id", "generated_at", "type"]
+    K.export_report(spark, path, "coverage_2", str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j" / "coverage")).count() == 3
     with pytest.raises(ValueError, match="Unsupported export format"):
         K.export_report(spark, path, "quality_1", str(tmp_path / "z"), "pdf")
 
 
+def test_report_sections_run(spark, tmp_path):
+    rows = [("S%d" % (i % 3), f"2025-07-{1 + i // 24:02d}T{i % 24:02d}:00:00", ("temperature", "humidity")[i % 2], 20.0 + i % 5) for i in range(96)]
+    rows.append(("S1", "2025-07-04T23:30:00", "temperature", 99.0))
+    flagged = anomaly.classify(readings(spark, rows)).withColumn("anomalous_reading", F.col("is_range"))
+    kinds = {
+        "anomaly_1": reports.anomaly_report(flagged),
+        "analytics_1": reports.analytics_report(flagged, [("temperature", "humidity")]),
+        "summary_1": reports.summary_report(flagged),
+    }
+    for name, sections in kinds.items():
+        K.save_report(sections, str(tmp_path), name)
+    top = R.read_report(spark, str(tmp_path), "anomaly_1", "top_anomalies").first()
+    assert (top.sensor_id, top.value, top.expected_range) == ("S1", 99.0, "-10.0-50.0")
+    assert R.report_catalog(spark, str(tmp_path)).count() == 3
+
+
 def test_quality_metrics(spark):
     df = readings(spark, [("S1", "2025-07-16T10:00:00", "t", v) for v in (25.5, None, 150.0, 65.0)])
     q = reports.quality_metrics(df).first()

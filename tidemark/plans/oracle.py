@@ -256,8 +256,8 @@ ORACLE = {
     "log_query": LOGS + " WHERE NOT is_text AND lvl = 'warn' ORDER BY t DESC LIMIT 200",
     "log_query_all_errors": LOGS + " WHERE CASE WHEN is_text THEN contains(lower(message), 'error') ELSE lvl = 'error' END",
     "report_catalog": f"""WITH {PERCENT}, hours AS (SELECT DISTINCT sensor_id, reading_type FROM flags)
-        SELECT 'quality_1704067200000' AS report_id, 'Quality Report' AS type, count(*) AS "rows" FROM qrows
-        UNION ALL SELECT 'coverage_1704067200001', 'Coverage Report', count(*) FROM hours""",
+        SELECT 'quality_1704067200000' AS report_id, 'Quality Report' AS type, count(*) AS "rows", 'metrics' AS section FROM qrows
+        UNION ALL SELECT 'coverage_1704067200001', 'Coverage Report', count(*), 'coverage' FROM hours""",
     "stored_files": f'WITH {TEXT} SELECT id, sensor_id, "timestamp", reading_type, value FROM txt',
     # sinks and table changes
     "append_defaults": f"""WITH {DIRTY} SELECT {BASE}, 'unknown' AS data_quality, 100.0::DOUBLE AS quality_score,
@@ -275,7 +275,14 @@ ORACLE = {
     "export_csv": ALL_DIRTY,
     "export_json": ALL_DIRTY,
     "export_parquet": ALL_DIRTY,
-    "report_export": f'WITH {PERCENT} SELECT metric, reading_type, sensor_id, round(value, 6) AS value, "timestamp" FROM qrows',
+    "report_export": f"""WITH {PERCENT}, st AS (
+          SELECT sensor_id, reading_type, "timestamp" AS gap_end,
+                 lag("timestamp") OVER (PARTITION BY sensor_id, reading_type ORDER BY "timestamp", id) AS gap_start FROM flags),
+        g AS (SELECT 'gap_hours' AS metric, reading_type, sensor_id,
+              CAST(max(floor(epoch_us(gap_end - gap_start) / 3600000000.0)) AS DOUBLE) AS value, max(gap_end) AS "timestamp"
+              FROM st WHERE gap_end > gap_start + INTERVAL 1 HOUR GROUP BY ALL)
+        SELECT metric, reading_type, sensor_id, round(value, 6) AS value, "timestamp" FROM qrows
+        UNION ALL SELECT metric, reading_type, sensor_id, value, "timestamp" FROM g""",
     "validation_saved": f"""WITH {DIRTY} SELECT count(*) AS total_records,
         count(*) FILTER (sensor_id <> '' AND value IS NOT NULL) AS valid_records,
         count(*) FILTER (NOT (sensor_id <> '' AND value IS NOT NULL)) AS invalid_records,

@@ -143,12 +143,17 @@ def log_query_all_errors(spark, d):
 def report_catalog(spark, d):
     path = scratch_dir(spark, "reports")
     df = flags(spark, d)
-    K.save_report(reports.quality_rows(df), path, "quality_1704067200000")
-    K.save_report(TS.coverage(df), path, "coverage_1704067200001")
-    rows = spark.read.option("recursiveFileLookup", True).schema("report_id string").json(path)
-    counted = rows.groupBy("report_id").agg(F.count("*").alias("rows"))
-    listed = R.report_catalog(spark, path).select("report_id", "type").distinct()
-    return listed.join(counted, "report_id")
+    K.save_report({"metrics": reports.quality_rows(df)}, path, "quality_1704067200000")
+    K.save_report({"coverage": TS.coverage(df)}, path, "coverage_1704067200001")
+    listed = R.report_catalog(spark, path).select("report_id", "type", F.explode("sections").alias("section"))
+    rows = R.read_report(spark, path, "quality_1704067200000", "metrics").select(
+        F.lit("quality_1704067200000").alias("report_id")
+    ).unionByName(
+        R.read_report(spark, path, "coverage_1704067200001", "coverage").select(
+            F.lit("coverage_1704067200001").alias("report_id")
+        )
+    )
+    return listed.join(rows.groupBy("report_id").agg(F.count("*").alias("rows")), "report_id")
 
 
 @query
@@ -251,7 +256,7 @@ def export_parquet(spark, d):
 @query
 def report_export(spark, d):
     path, out = scratch_dir(spark, "reports"), scratch_dir(spark, "export")
-    K.save_report(reports.quality_rows(flags(spark, d)), path, "quality_1704067200000")
+    K.save_report(reports.quality_report(flags(spark, d)), path, "quality_1704067200000")
     K.export_report(spark, path, "quality_1704067200000", out, "csv")
     shape = "metric string, reading_type string, sensor_id string, value double, timestamp timestamp_ntz"
     back = r6(spark.read.schema(shape).option("header", True).csv(out), "value")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import is_blank
 from ..functions.validity import validity, with_errors
-from ..operators import aggregates, timeseries
+from ..operators import aggregates, anomaly, timeseries
 from ..schema import MAX_ANOMALY_PCT, MAX_MISSING_PCT, OUTLIER_VALUE
 from ..session import written
 
@@ -278,3 +278,46 @@ def insights(flagged: DataFrame) -> DataFrame:
         ),
     )
     return shares.select("reading_type", F.explode(found).alias("f")).select("reading_type", "f.*")
+
+
+def quality_report(df: DataFrame, flag: str = "anomalous_reading") -> dict[str, DataFrame]:
+    return {
+        "quality_metrics": quality_metrics(df),
+        "metrics": quality_rows(df, flag).unionByName(gap_rows(df)),
+        "issues": issue_rows(df),
+        "recommendations": recommendations(df, flag),
+    }
+
+
+def coverage_report(df: DataFrame, start=None, end=None) -> dict[str, DataFrame]:
+    return {
+        "coverage": timeseries.coverage(df, start, end),
+        "gaps": timeseries.gaps(df),
+        "summary": timeseries.coverage_summary(df, start, end),
+    }
+
+
+def anomaly_report(flagged: DataFrame, k: int = 10) -> dict[str, DataFrame]:
+    """Sections over rows from ``anomaly.classify``, which are written once and shared."""
+    rows = written(flagged, "classified")
+    return {
+        "totals": anomaly.anomaly_totals(rows),
+        "breakdown": anomaly.anomaly_breakdown(rows),
+        "sensors": anomaly.affected_sensors(rows),
+        "top_anomalies": anomaly.top_anomalies(rows, k),
+    }
+
+
+def analytics_report(flagged: DataFrame, pairs: list[tuple[str, str]]) -> dict[str, DataFrame]:
+    """Sections over rows from ``anomaly.classify``, which are written once and shared."""
+    rows = written(flagged, "classified")
+    return {
+        "statistics": aggregates.statistics(rows),
+        "trends": aggregates.trend(rows),
+        "correlations": aggregates.type_correlations(rows, pairs),
+        "insights": insights(rows),
+    }
+
+
+def summary_report(df: DataFrame, flag: str = "anomalous_reading") -> dict[str, DataFrame]:
+    return {"summary": summary(df, flag), "alerts": alerts(df, flag)}

@@ -30,6 +30,7 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **setti
 def scratch_dir(spark: SparkSession, label: str = "stage") -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
+    One folder per application, so that a finished run can be cleared as a whole.
     Only a local master may fall back to a temporary folder: on a cluster the
     executors would not see the driver's disk.
     """
@@ -39,7 +40,7 @@ def scratch_dir(spark: SparkSession, label: str = "stage") -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import flatten_location, report_type, to_number, to_timestamp_ntz
+from ..functions.scalar import flatten_location, to_number, to_timestamp_ntz
 from ..functions.validity import validity
 from ..operators.filters import ordered_slice
 from ..schema import MAX_LANDING_BYTES, RAW, RAW_PARQUET, READINGS, require_columns
@@ -175,27 +175,34 @@ def read_logs(spark: SparkSession, path: str, level: str | None = None, lines: i
     return entries.orderBy(*newest) if lines is None else ordered_slice(entries, newest, lines)
 
 
+HEADER = "header"
+
+
 def report_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Saved reports with type, time, path and size, newest first."""
-    df = spark.read.schema("report_id string, generated_at string").option("recursiveFileLookup", True).json(path)
-    return (
-        df.groupBy(
-            "report_id",
-            F.col("_metadata.file_path").alias("file_path"),
-            (F.col("_metadata.file_size") / F.lit(1048576.0)).alias("file_size_mb"),
-        )
-        .agg(F.max("generated_at").alias("generated_at"))
-        .where(F.col("report_id").isNotNull())
-        .select("report_id", report_type().alias("type"), "generated_at", "file_path", "file_size_mb")
-        .orderBy(F.col("generated_at").desc(), "report_id")
+    """Saved reports with type, time, path and size, newest first.
+
+    Reads the one-row headers and the file listing; report rows are not read.
+    """
+    shape = "report_id string, type string, generated_at string, sections array<string>"
+    heads = spark.read.schema(shape).json(f"{path}/*/{HEADER}")
+    files = landing_files(spark, path, "*.json")
+    # <path>/<report id>/<section>/<file>
+    sizes = files.groupBy(F.element_at(F.split("path", "/"), -3).alias("report_id")).agg(
+        F.min(F.regexp_replace("path", "/[^/]+/[^/]+$", "")).alias("file_path"),
+        F.sum("size_mb").alias("file_size_mb"),
+    )
+    listed = heads.join(sizes, "report_id")
+    return listed.select("report_id", "type", "generated_at", "sections", "file_path", "file_size_mb").orderBy(
+        F.col("generated_at").desc(), "report_id"
     )
 
 
-def read_report(spark: SparkSession, path: str, report_id: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """The rows of one saved report; a missing report is an error."""
-    reader = spark.read.option("recursiveFileLookup", True)
+def read_report(
+    spark: SparkSession, path: str, report_id: str, section: str = HEADER, schema: str | T.StructType | None = None
+) -> DataFrame:
+    """One section of a saved report; a missing report is an error."""
     try:
-        return (reader.schema(schema) if schema else reader).json(f"{path}/{report_id}")
+        return (spark.read.schema(schema) if schema else spark.read).json(f"{path}/{report_id}/{section}")
     except AnalysisException as error:
         raise ValueError(f"Report {report_id} not found") from error
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import flatten_location, now_ntz
+from ..functions.scalar import flatten_location, now_ntz, report_type
 from ..operators.lookup import measured
-from ..schema import EXPORT_FORMATS, READINGS
-from .readers import read_readings
+from ..schema import EXPORT_FORMATS, METRICS, READINGS
+from .readers import HEADER, read_readings, read_report
 
 # Text sinks cut times to milliseconds unless told otherwise.
 TEXT_TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -79,50 +81,58 @@ def append_readings(df: DataFrame, path: str) -> int:
     return write_readings(with_defaults(df), path)["rows"]
 
 
-def _hits_per_date(table: DataFrame, keys: DataFrame) -> dict:
-    """Rows to change per date: at most one entry per table partition reaches the driver."""
-    hit = table.select("id", "date").join(measured(keys), "id", "left_semi")
-    return {r["date"]: r["n"] for r in hit.groupBy("date").agg(F.count("*").alias("n")).collect()}
+def _hits(table: DataFrame, keys: DataFrame, partition_by: list[str]) -> dict[tuple, int]:
+    """Rows to change per partition: at most one entry per table partition reaches the driver."""
+    columns = list(dict.fromkeys(["id", "date", *partition_by]))
+    hit = table.select(*columns).join(measured(keys), "id", "left_semi")
+    return {tuple(r)[:-1]: r["n"] for r in hit.groupBy(*partition_by).agg(F.count("*").alias("n")).collect()}
+
 
+def _dates(hits: dict[tuple, int], partition_by: list[str]) -> list:
+    return sorted({key[partition_by.index("date")] for key in hits})
 
-def update_readings(spark: SparkSession, path: str, updates: DataFrame) -> int:
+
+def update_readings(spark: SparkSession, path: str, updates: DataFrame, partition_by=("date",)) -> int:
     """Set the columns of ``updates`` on rows with the same id; a null keeps the old value.
 
     Only the date partitions that hold such rows are rewritten. The ids of
     ``updates`` must be unique. Returns the number of rows changed.
     """
-    if "timestamp" in updates.columns:
-        raise ValueError("the timestamp decides the partition: delete and append instead")
+    fixed = {"timestamp", *partition_by} & set(updates.columns)
+    if fixed:
+        raise ValueError(f"{sorted(fixed)} decide the partition: delete and append instead")
+    keys = list(partition_by)
     table = read_readings(spark, path)
-    hits = _hits_per_date(table, updates.select("id"))
+    hits = _hits(table, updates.select("id"), keys)
     if not hits:
         return 0
     columns = [c for c in updates.columns if c != "id"]
     new = updates.select("id", *[F.col(c).alias(f"_new_{c}") for c in columns])
-    joined = table.where(F.col("date").isin(list(hits))).join(measured(new), "id", "left")
+    joined = table.where(F.col("date").isin(_dates(hits, keys))).join(measured(new), "id", "left")
     changed = joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).select(*table.columns)
-    write_readings(changed, path, overwrite_dates=True)
+    write_readings(changed, path, partition_by=keys, overwrite_dates=True)
     return sum(hits.values())
 
 
-def delete_readings(spark: SparkSession, path: str, ids: DataFrame) -> int:
-    """Remove rows by id; rewrites the touched date partitions and empties those left without rows."""
+def delete_readings(spark: SparkSession, path: str, ids: DataFrame, partition_by=("date",)) -> int:
+    """Remove rows by id; rewrites the touched dates and empties partitions left without rows."""
+    keys = list(partition_by)
     table = read_readings(spark, path)
-    keys = ids.select("id").distinct()
-    hits = _hits_per_date(table, keys)
+    doomed = ids.select("id").distinct()
+    hits = _hits(table, doomed, keys)
     if not hits:
         return 0
-    touched = table.where(F.col("date").isin(list(hits)))
-    # A count per partition reads file footers only.
-    rows = {r["date"]: r["n"] for r in touched.groupBy("date").agg(F.count("*").alias("n")).collect()}
-    emptied = sorted(d for d in hits if hits[d] == rows[d])
-    rest = [d for d in hits if d not in emptied]
-    if rest:
-        kept = table.where(F.col("date").isin(rest)).join(measured(keys), "id", "left_anti")
-        write_readings(kept, path, overwrite_dates=True)
-    for date in emptied:
+    touched = table.where(F.col("date").isin(_dates(hits, keys)))
+    # Rows per partition come from file footers.
+    folder = F.min(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", ""))
+    held = touched.groupBy(*keys).agg(folder.alias("folder"), F.count("*").alias("n")).collect()
+    emptied = [unquote(r["folder"]) for r in held if hits.get(tuple(r)[:-2]) == r["n"]]
+    if len(emptied) < len(held):
+        kept = touched.join(measured(doomed), "id", "left_anti")
+        write_readings(kept, path, partition_by=keys, overwrite_dates=True)
+    for folder in emptied:
         # A partition without rows is not part of a dynamic overwrite.
-        table.drop("date").limit(0).write.mode("overwrite").parquet(f"{path}/date={date}")
+        table.drop(*keys).limit(0).write.mode("overwrite").parquet(folder)
     return sum(hits.values())
 
 
@@ -172,26 +182,29 @@ def master_index(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     )
 
 
-def save_report(report: DataFrame, path: str, report_id: str) -> None:
-    """One folder of JSON lines per report, each row stamped with the report id."""
-    stamped = report.select(
+def save_report(sections: dict[str, DataFrame], path: str, report_id: str) -> None:
+    """One folder per report: a one-row header and one folder of JSON lines per section."""
+    for name, rows in sections.items():
+        write_json(rows, f"{path}/{report_id}/{name}")
+    spark = next(iter(sections.values())).sparkSession
+    head = spark.range(1).select(
         F.lit(report_id).alias("report_id"),
+        report_type(F.lit(report_id)).alias("type"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generated_at"),
-        *report.columns,
+        F.array(*[F.lit(name) for name in sections]).alias("sections"),
     )
-    write_json(stamped, f"{path}/{report_id}")
+    write_json(head.coalesce(1), f"{path}/{report_id}/{HEADER}")
 
 
 def export_report(spark: SparkSession, path: str, report_id: str, out: str, fmt: str = "json") -> str:
-    """A saved report as JSON, or as CSV of its metric rows (else id, time and type)."""
-    from ..functions.scalar import report_type
-    from .readers import read_report
-
-    report = read_report(spark, path, report_id)
+    """A saved report as JSON sections, or as CSV of its metric rows (else id, time and type)."""
+    head = read_report(spark, path, report_id)
     if fmt.lower() == "csv":
-        names = ["metric", "reading_type", "sensor_id", "value", "timestamp"]
-        if set(names) <= set(report.columns):
-            report = report.select(*names)
-        else:
-            report = report.select("report_id", "generated_at", report_type().alias("type")).distinct()
-    return export(report, out, fmt)
+        if "metrics" in head.first()["sections"]:
+            return export(read_report(spark, path, report_id, "metrics", METRICS), out, fmt)
+        return export(head.select("report_id", "generated_at", "type"), out, fmt)
+    if fmt.lower() != "json":
+        raise ValueError(f"Unsupported export format: {fmt}")
+    for name in head.first()["sections"]:
+        export(read_report(spark, path, report_id, name), f"{out}/{name}", "json")
+    return out
