@@ -24,20 +24,36 @@ def is_blank(c) -> Column:
     return _col(c).isNull() | (_col(c).cast("string") == "")
 
 
+def number_or_null(c) -> Column:
+    """NaN is not a reading."""
+    x = _col(c)
+    return F.when(~F.isnan(x), x)
+
+
 def to_number(c) -> Column:
-    """Text to double; junk, blank and null become null, never 0."""
-    return F.trim(_col(c).cast("string")).try_cast("double")
+    """Text to double; junk, blank, NaN and null become null, never 0."""
+    text = F.trim(_col(c).cast("string"))
+    # The cast also takes Java suffixes such as 25.5d, which are no numbers here.
+    return number_or_null(F.when(~text.rlike("[dDfF]$"), text).try_cast("double"))
+
+
+# ISO-8601 dates with an optional time. The cast alone would also take a bare time of day.
+ISO_SHAPE = r"^\d{4}(-\d{2}(-\d{2}([T ]\S+)?)?)?$"
+ISO_STRICT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+
+
+def parse_time(c) -> Column:
+    text = _col(c)
+    return F.when(text.rlike(ISO_SHAPE), F.try_to_timestamp(text))
 
 
 def to_timestamp_ntz(c) -> Column:
     """ISO-8601 text to a zone-less UTC timestamp; null when it does not parse."""
-    return F.to_utc_timestamp(F.try_to_timestamp(_col(c)), F.current_timezone()).cast("timestamp_ntz")
+    return F.to_utc_timestamp(parse_time(c), F.current_timezone()).cast("timestamp_ntz")
 
 
 def is_iso_timestamp(c) -> Column:
-    text = _col(c)
-    shape = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
-    return F.coalesce(shape & F.try_to_timestamp(text).isNotNull(), F.lit(False))
+    return F.coalesce(_col(c).rlike(ISO_STRICT) & parse_time(c).isNotNull(), F.lit(False))
 
 
 def calibrate_by_code(value="value", reading_type="reading_type", sensor_type=None) -> Column:

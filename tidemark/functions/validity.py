@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import READING_TYPES, REQUIRED_FIELDS
-from .scalar import is_blank, is_iso_timestamp, to_number
+from .scalar import is_blank, is_iso_timestamp, parse_time, to_number
 
 RULE_SETS = ("ingest", "basic", "pipeline", "strict")
 
 
 def _timestamp_parses(df: DataFrame) -> Column:
     if isinstance(df.schema["timestamp"].dataType, T.StringType):
-        return F.try_to_timestamp(F.col("timestamp")).isNotNull()
+        return parse_time("timestamp").isNotNull()
     return F.col("timestamp").isNotNull()
 
 
@@ -71,7 +71,7 @@ def split_valid(df: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFra
 
 
 def is_valid_timestamp(c) -> Column:
-    return F.coalesce(F.try_to_timestamp(F.col(c)).isNotNull(), F.lit(False))
+    return parse_time(c).isNotNull()
 
 
 def is_valid_reading(c) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import to_timestamp_ntz
 from ..schema import READING_TYPES, SORT_COLUMNS
 from .layout import slice_by_rank, sorted_layout
 from .lookup import measured
@@ -64,7 +65,7 @@ def filter_stored(df: DataFrame, start=None, end=None, reading_type=None, field=
     """Filter of stored files: rows without a timestamp pass the time range."""
     ts = F.col("timestamp")
     if isinstance(df.schema["timestamp"].dataType, T.StringType):
-        ts = ts.try_cast("timestamp_ntz")
+        ts = to_timestamp_ntz(ts)
     if start is not None:
         df = df.where(ts.isNull() | (ts >= _moment(start)))
     if end is not None:

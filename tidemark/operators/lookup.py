@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,18 @@ BROADCAST_ROWS = 100_000
 def rule_table(spark: SparkSession, calibration=CALIBRATION, thresholds=THRESHOLDS) -> DataFrame:
     """Calibration and threshold values, one row per configured reading type."""
     kinds = sorted(set(calibration) | set(thresholds))
-    rows = [(k, *calibration.get(k, (None, None)), *thresholds.get(k, (None, None))) for k in kinds]
-    return spark.createDataFrame(
-        rows, "reading_type string, multiplier double, offset double, min_value double, max_value double"
+    none = (None, None)
+    table = pa.table(
+        {
+            "reading_type": pa.array(kinds, pa.string()),
+            "multiplier": pa.array([calibration.get(k, none)[0] for k in kinds], pa.float64()),
+            "offset": pa.array([calibration.get(k, none)[1] for k in kinds], pa.float64()),
+            "min_value": pa.array([thresholds.get(k, none)[0] for k in kinds], pa.float64()),
+            "max_value": pa.array([thresholds.get(k, none)[1] for k in kinds], pa.float64()),
+        }
     )
+    # From Arrow this is a local table in the plan: no tasks are started for it.
+    return spark.createDataFrame(table)
 
 
 def with_rules(df: DataFrame, calibration=CALIBRATION, thresholds=THRESHOLDS) -> DataFrame:
@@ -39,8 +48,8 @@ def measured(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     own shuffle in the join, which is what AQE needs to split hot keys of the other side
     (an aggregate straight below the join would be joined without one).
     """
-    head = small.limit(max_rows + 1).collect()
-    if len(head) > max_rows:
+    head = small.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
         return written(small, "lookup")
     return F.broadcast(small.sparkSession.createDataFrame(head, small.schema))
 

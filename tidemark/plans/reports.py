@@ -203,7 +203,7 @@ def summary(df: DataFrame, flag: str = "anomalous_reading", active_hours: int =
         F.count_if(active).cast("double").alias("active_sensors"),
         F.count_if(~active).cast("double").alias("inactive_sensors"),
         F.count_if(F.col("flagged") > 0).cast("double").alias("sensors_with_issues"),
-        (F.count_if(active) / F.count("*")).alias("timeliness"),
+        F.try_divide(F.count_if(active), F.count("*")).alias("timeliness"),
     )
     names = ["total_sensors", "active_sensors", "inactive_sensors", "sensors_with_issues", "timeliness"]
     state_rows = states.unpivot([], names, "metric", "value").select("metric", F.lit("all").alias("key"), "value")
@@ -222,15 +222,15 @@ def summary(df: DataFrame, flag: str = "anomalous_reading", active_hours: int =
     def item(name, value):
         return F.struct(F.lit(name).alias("metric"), value.alias("value"))
 
-    mean = F.col("value_sum") / F.col("present")
+    mean = F.try_divide("value_sum", "present")
     per_type = F.array(
         item("sensors_by_type", F.col("sensors")), item("readings_by_type", F.col("n")), item("avg_by_type", mean)
     )
     per_field = F.array(item("sensors_by_field", F.col("sensors")))
     whole = F.array(
         item("data_points", F.col("n")),
-        item("completeness", F.col("present") / F.col("n")),
-        item("accuracy", F.lit(1.0) - F.col("outliers") / F.col("present")),
+        item("completeness", F.try_divide("present", "n")),
+        item("accuracy", F.lit(1.0) - F.try_divide("outliers", "present")),
     )
     level = F.col("level")
     picked = F.when(level == 3, whole).when(level == 1, per_type).otherwise(per_field)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import flatten_location, to_number, to_timestamp_ntz
+from ..functions.scalar import flatten_location, number_or_null, to_number, to_timestamp_ntz
 from ..functions.validity import validity
 from ..operators.filters import ordered_slice
 from ..schema import MAX_LANDING_BYTES, RAW, RAW_PARQUET, READINGS, require_columns
@@ -78,7 +78,9 @@ def typed(df: DataFrame) -> DataFrame:
         changes["timestamp"] = to_timestamp_ntz("timestamp")
     if isinstance(out.schema["value"].dataType, T.StringType):
         changes["value"] = to_number("value")
-    return out.withColumns(changes) if changes else out
+    elif isinstance(out.schema["value"].dataType, T.DoubleType):
+        changes["value"] = number_or_null("value")
+    return out.withColumns(changes)
 
 
 def read_landing(
