@@ -32,6 +32,7 @@ def test_time_range_is_inclusive_and_prunes_the_date_partition(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "t"))
     out = filters.time_range(table, "2025-07-03T10:00:00", "2025-07-05T10:00:00")
     assert out.count() == 3
+    assert filters.time_range(table, at("2025-07-03T10:00:00"), at("2025-07-05T10:00:00")).count() == 3
     text = plan(out)
     assert "PartitionFilters: [isnotnull(date" in text and "PushedFilters: [IsNotNull(timestamp)" in text
 

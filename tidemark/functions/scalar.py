@@ -119,6 +119,12 @@ def days_between(start, end) -> Column:
     return F.sequence(F.to_date(_col(start)), F.to_date(_col(end)), F.expr("interval 1 day"))
 
 
+def moment(value) -> Column:
+    """A UTC time given as text, date or naive datetime. It travels as text, since a datetime
+    literal would be shifted by the zone of the Python process."""
+    return F.lit(value.isoformat() if hasattr(value, "isoformat") else str(value)).cast("timestamp_ntz")
+
+
 def now_ntz() -> Column:
     return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
 

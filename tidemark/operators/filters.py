@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import to_timestamp_ntz
+from ..functions.scalar import moment, to_timestamp_ntz
 from ..schema import READING_TYPES, SORT_COLUMNS
 from .layout import slice_by_rank, sorted_layout
 from .lookup import measured
@@ -17,21 +17,17 @@ from .lookup import measured
 TOP_K_ROWS = 100_000
 
 
-def _moment(value) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
-
-
 def time_range(df: DataFrame, start=None, end=None, column: str = "timestamp") -> DataFrame:
     """Both ends inclusive, either end open. Adds the ``date`` partition filter when there is one."""
     dated = "date" in df.columns
     if start is not None:
-        df = df.where(F.col(column) >= _moment(start))
+        df = df.where(F.col(column) >= moment(start))
         if dated:
-            df = df.where(F.col("date") >= _moment(start).cast("date"))
+            df = df.where(F.col("date") >= moment(start).cast("date"))
     if end is not None:
-        df = df.where(F.col(column) <= _moment(end))
+        df = df.where(F.col(column) <= moment(end))
         if dated:
-            df = df.where(F.col("date") <= _moment(end).cast("date"))
+            df = df.where(F.col("date") <= moment(end).cast("date"))
     return df
 
 
@@ -67,9 +63,9 @@ def filter_stored(df: DataFrame, start=None, end=None, reading_type=None, field=
     if isinstance(df.schema["timestamp"].dataType, T.StringType):
         ts = to_timestamp_ntz(ts)
     if start is not None:
-        df = df.where(ts.isNull() | (ts >= _moment(start)))
+        df = df.where(ts.isNull() | (ts >= moment(start)))
     if end is not None:
-        df = df.where(ts.isNull() | (ts <= _moment(end)))
+        df = df.where(ts.isNull() | (ts <= moment(end)))
     return filter_readings(df, reading_type=reading_type, field=field)
 
 
@@ -113,6 +109,12 @@ def ordered_slice(
     return slice_by_rank(sorted_layout(df, keys), offset, offset + limit).orderBy(*keys)
 
 
+def _key_range(df: DataFrame, column: str, lo, hi) -> DataFrame:
+    if column == "timestamp":
+        return time_range(df, lo, hi)
+    return df.where(F.col(column).between(F.lit(lo), F.lit(hi)))
+
+
 def offset_page(
     df: DataFrame,
     limit: int = 1000,
@@ -129,6 +131,11 @@ def offset_page(
     if offset + limit <= top_k_rows:
         return ordered_slice(df, keys, limit, offset, top_k_rows)
     page_keys = ordered_slice(df.select(sort_by, "id"), keys, limit, offset, top_k_rows)
+    key = F.col(sort_by)
+    ends = page_keys.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count_if(key.isNull()).alias("n")).first()
+    if not ends["n"]:
+        # The page's first and last key reach the scan, and prune dates when sorted by time.
+        df = _key_range(df, sort_by, ends["lo"], ends["hi"])
     wanted = measured(page_keys.select(F.col(sort_by).alias("_key"), F.col("id").alias("_id")))
     same = (F.col("id") == F.col("_id")) & F.col(sort_by).eqNullSafe(F.col("_key"))
     return df.join(wanted, same, "left_semi").orderBy(*keys)

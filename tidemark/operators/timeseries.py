@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_half_up
+from ..functions.scalar import moment, round_half_up
 from ..schema import ROLLING_DAYS
 
 SERIES = ("sensor_id", "reading_type")
@@ -96,8 +96,8 @@ def _span(df: DataFrame, start, end) -> tuple:
         return F.date_trunc("hour", c).cast("timestamp_ntz")
 
     bounds = df.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
-    lo = F.lit(start).cast("timestamp_ntz") if start is not None else bounds.select("lo").scalar()
-    hi = F.lit(end).cast("timestamp_ntz") if end is not None else bounds.select("hi").scalar()
+    lo = moment(start) if start is not None else bounds.select("lo").scalar()
+    hi = moment(end) if end is not None else bounds.select("hi").scalar()
     return hour(lo), hour(hi)
 
 

@@ -16,7 +16,7 @@ from ..operators import anomaly, cleaning, filters
 from ..operators import timeseries as TS
 from ..operators.lookup import with_rules
 from ..schema import RAW_PARQUET, require_columns
-from ..session import scratch_dir
+from ..session import scratch_dir, written
 from ..sources import readers as R
 from ..sources import writers as K
 from ..streaming import incremental
@@ -50,7 +50,8 @@ def flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return batch.clean(V.readings_dirty(spark, d))
+    """Unique readings with values. Written once: the anomaly steps read it three times."""
+    return written(batch.clean(V.readings_dirty(spark, d)), "clean")
 
 
 # --- sources ----------------------------------------------------------------
