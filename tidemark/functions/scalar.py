@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import HARD_LIMITS, LOCAL_ZONE, PROCESSING_VERSION, REPORT_TYPES
+from ..schema import (
+    BATTERY_LIMIT,
+    CODE_CALIBRATION,
+    FULL_SCORE,
+    HARD_LIMITS,
+    HUMIDITY_RANGE,
+    LOCAL_ZONE,
+    LOST_SENSOR,
+    LOST_TIMESTAMP,
+    LOST_VALUE,
+    LOW_BATTERY,
+    PROCESSING_VERSION,
+    REPORT_TYPES,
+)
 
 
 def _col(c) -> Column:
@@ -62,10 +75,15 @@ def calibrate_by_code(value="value", reading_type="reading_type", sensor_type=No
     kind = F.nullif(_col(reading_type), F.lit(""))
     if sensor_type is not None:
         kind = F.coalesce(kind, _col(sensor_type))
-    warm = round_half_up(v * 1.02 - 0.5)
-    damp = F.greatest(F.lit(0.0), F.least(F.lit(100.0), round_half_up(v * 0.98 + 1.5)))
     # greatest and least skip nulls, so a null value is settled first.
-    return F.when(v.isNull(), v).when(kind == "temperature", warm).when(kind == "humidity", damp).otherwise(v)
+    out = F.when(v.isNull(), v)
+    for name, (multiplier, offset) in CODE_CALIBRATION.items():
+        curve = round_half_up(v * multiplier + offset)
+        if name == "humidity":
+            low, high = HUMIDITY_RANGE
+            curve = F.greatest(F.lit(low), F.least(F.lit(high), curve))
+        out = out.when(kind == name, curve)
+    return out.otherwise(v)
 
 
 def calibrate_linear(value="value", multiplier="multiplier", offset="offset") -> Column:
@@ -75,13 +93,14 @@ def calibrate_linear(value="value", multiplier="multiplier", offset="offset") ->
 
 
 def quality_score(timestamp="timestamp", value="value", sensor_id="sensor_id", battery="battery_level") -> Column:
+    """Full score less the points for what is missing, never below 0. An unknown battery loses nothing."""
     lost = (
-        F.when(is_blank(timestamp), 20).otherwise(0)
-        + F.when(_col(value).isNull(), 30).otherwise(0)
-        + F.when(is_blank(sensor_id), 15).otherwise(0)
-        + F.when(_col(battery) < 20, 10).otherwise(0)
+        F.when(is_blank(timestamp), LOST_TIMESTAMP).otherwise(0)
+        + F.when(_col(value).isNull(), LOST_VALUE).otherwise(0)
+        + F.when(is_blank(sensor_id), LOST_SENSOR).otherwise(0)
+        + F.when(_col(battery) < BATTERY_LIMIT, LOW_BATTERY).otherwise(0)
     )
-    return F.greatest(F.lit(0), F.lit(100) - lost).cast("double")
+    return F.greatest(F.lit(0), F.lit(FULL_SCORE) - lost).cast("double")
 
 
 def outside_range(value="value", low="min_value", high="max_value") -> Column:

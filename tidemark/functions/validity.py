@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import READING_TYPES, REQUIRED_FIELDS
+from ..schema import ERROR_MISSING, ERROR_NUMBER, ERROR_SENSOR, ERROR_TIME, READING_TYPES, REQUIRED_FIELDS
 from .scalar import is_blank, is_iso_timestamp, parse_time, to_number
 
 RULE_SETS = ("ingest", "basic", "pipeline", "strict")
@@ -49,13 +49,13 @@ def validity(df: DataFrame, rules: str) -> Column:
 
 def error_list(df: DataFrame) -> Column:
     """Error texts of the ``pipeline`` rule set, in their fixed order."""
-    checks = [(is_blank(name), f"Missing required field: {name}") for name in REQUIRED_FIELDS]
+    checks = [(is_blank(name), f"{ERROR_MISSING}{name}") for name in REQUIRED_FIELDS]
     # An empty text counts as missing only: it reads as the number 0 in the source format.
     junk = ~is_blank("value") & to_number("value").isNull()
-    checks.append((junk, "value must be numeric"))
-    checks.append((~is_blank("timestamp") & ~_timestamp_parses(df), "Invalid timestamp format"))
+    checks.append((junk, ERROR_NUMBER))
+    checks.append((~is_blank("timestamp") & ~_timestamp_parses(df), ERROR_TIME))
     if not isinstance(df.schema["sensor_id"].dataType, T.StringType):
-        checks.append((F.col("sensor_id").isNotNull(), "Sensor ID must be a string"))
+        checks.append((F.col("sensor_id").isNotNull(), ERROR_SENSOR))
     return F.array_compact(F.array(*[F.when(bad, F.lit(text)) for bad, text in checks]))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import is_blank
 from ..functions.validity import validity, with_errors
 from ..operators import aggregates, anomaly, timeseries
-from ..schema import MAX_ANOMALY_PCT, MAX_MISSING_PCT, OUTLIER_VALUE
+from ..schema import ALL_NORMAL, MAX_ANOMALY_PCT, MAX_MISSING_PCT, OUTLIER_VALUE
 from ..session import written
 
 ACTIVE_HOURS = 24
@@ -174,7 +174,7 @@ def alerts(df: DataFrame, flag: str = "anomalous_reading") -> DataFrame:
         F.lit("info").alias("level"),
         F.lit("low").alias("severity"),
         F.lit("status").alias("type"),
-        F.lit("All sensors operating normally").alias("message"),
+        F.lit(ALL_NORMAL).alias("message"),
         "timestamp",
     )
     return found.unionByName(status)

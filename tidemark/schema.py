@@ -91,6 +91,26 @@ THRESHOLDS = {
     "battery_level": (0.0, 100.0),
 }
 
+# Profile "code": reading type -> (multiplier, offset), rounded to two decimals; humidity stays within 0-100.
+CODE_CALIBRATION = {"temperature": (1.02, -0.5), "humidity": (0.98, 1.5)}
+HUMIDITY_RANGE = (0.0, 100.0)
+
+# Points a row loses for what it lacks.
+FULL_SCORE = 100
+LOST_TIMESTAMP = 20
+LOST_VALUE = 30
+LOST_SENSOR = 15
+LOW_BATTERY = 10
+BATTERY_LIMIT = 20
+
+ERROR_MISSING = "Missing required field: "
+ERROR_NUMBER = "value must be numeric"
+ERROR_TIME = "Invalid timestamp format"
+ERROR_SENSOR = "Sensor ID must be a string"
+ERROR_COLUMN = "Missing required column: "
+ERROR_EXPORT = "Unsupported export format: "
+ALL_NORMAL = "All sensors operating normally"
+
 HARD_LIMITS = (-100.0, 1000.0)
 OUTLIER_Z = 3.0
 OUTLIER_VALUE = 100.0
@@ -121,5 +141,5 @@ def require_columns(columns, required=REQUIRED_COLUMNS) -> bool:
     present = set(columns)
     for name in required:
         if name not in present:
-            raise ValueError(f"Missing required column: {name}")
+            raise ValueError(f"{ERROR_COLUMN}{name}")
     return True

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,12 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **setti
     return builder.getOrCreate()
 
 
+@cache
+def _local_scratch() -> str:
+    """One temporary folder per process, for local runs without a configured folder."""
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
 def scratch_dir(spark: SparkSession, label: str = "stage") -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
@@ -38,8 +45,7 @@ def scratch_dir(spark: SparkSession, label: str = "stage") -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_scratch()
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import flatten_location, now_ntz, report_type
 from ..operators.lookup import measured
-from ..schema import EXPORT_FORMATS, METRICS, READINGS
+from ..schema import ERROR_EXPORT, EXPORT_FORMATS, METRICS, READINGS
 from .readers import HEADER, read_readings, read_report
 
 # Text sinks cut times to milliseconds unless told otherwise.
@@ -150,7 +150,7 @@ def export(df: DataFrame, path: str, fmt: str) -> str:
     """Write as csv, json or parquet. Files are written in parallel, one per partition."""
     kind = fmt.lower()
     if kind not in EXPORT_FORMATS:
-        raise ValueError(f"Unsupported export format: {fmt}")
+        raise ValueError(f"{ERROR_EXPORT}{fmt}")
     writer = df.write.mode("overwrite").options(**TEXT_TIME)
     if kind == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
@@ -204,7 +204,7 @@ def export_report(spark: SparkSession, path: str, report_id: str, out: str, fmt:
             return export(read_report(spark, path, report_id, "metrics", METRICS), out, fmt)
         return export(head.select("report_id", "generated_at", "type"), out, fmt)
     if fmt.lower() != "json":
-        raise ValueError(f"Unsupported export format: {fmt}")
+        raise ValueError(f"{ERROR_EXPORT}{fmt}")
     for name in head.first()["sections"]:
         export(read_report(spark, path, report_id, name), f"{out}/{name}", "json")
     return out
