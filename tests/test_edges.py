@@ -83,10 +83,10 @@ def test_values_on_edge_series(spark):
 
 
 def test_text_that_only_looks_like_numbers_and_times(spark):
-    df = spark.createDataFrame([("NaN", "T10:00:00"), ("25.5d", "10:00:00"), ("1e3", "2025-07"), ("Infinity", "2025")], "value string, timestamp string")
+    df = spark.createDataFrame([("NaN", "T10:00:00"), ("25.5d", "10:00:00"), ("1e3", "2025-07"), ("Infinity", "2025"), ("1", "1:30-08:00"), ("2", "9:00")], "value string, timestamp string")
     rows = R.typed(df).collect()
-    assert [r.value for r in rows] == [None, None, 1000.0, float("inf")]
-    assert [str(r.timestamp) for r in rows] == ["None", "None", "2025-07-01 00:00:00", "2025-01-01 00:00:00"]
+    assert [r.value for r in rows] == [None, None, 1000.0, float("inf"), 1.0, 2.0]
+    assert [str(r.timestamp) for r in rows] == ["None", "None", "2025-07-01 00:00:00", "2025-01-01 00:00:00", "None", "None"]
     nan = spark.createDataFrame([(float("nan"), None)], "value double, timestamp timestamp_ntz")
     assert R.typed(nan).first().value is None
 

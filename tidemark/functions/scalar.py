@@ -47,17 +47,19 @@ def to_number(c) -> Column:
     """Text to double; junk, blank, NaN and null become null, never 0."""
     text = F.trim(_col(c).cast("string"))
     # The cast also takes Java suffixes such as 25.5d, which are no numbers here.
-    return number_or_null(F.when(~text.rlike("[dDfF]$"), text).try_cast("double"))
+    return number_or_null(F.when(~F.substring(text, -1, 1).isin("d", "D", "f", "F"), text).try_cast("double"))
 
 
-# ISO-8601 dates with an optional time. The cast alone would also take a bare time of day.
-ISO_SHAPE = r"^\d{4}(-\d{2}(-\d{2}([T ]\S+)?)?)?$"
 ISO_STRICT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 
 
 def parse_time(c) -> Column:
+    """Text that starts with a year. The cast alone would also take a bare time of day and put it
+    on the current date, so the first characters are looked at (cheaper than a pattern)."""
     text = _col(c)
-    return F.when(text.rlike(ISO_SHAPE), F.try_to_timestamp(text))
+    year = ~F.substring(text, 1, 4).contains(":")
+    dated = year & ((F.substring(text, 5, 1) == "-") | (F.length(text) == 4))
+    return F.when(dated, F.try_to_timestamp(text))
 
 
 def to_timestamp_ntz(c) -> Column:
