@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op2_bpe
 from tidemark.llm.language import op7_language_id
+from tidemark.llm.neighbours import op9_nn_descent
 from tidemark.llm.postings import op10_decontaminate
 from tidemark.llm.secrets import op1_secret_scan
+from tidemark.llm.toxicity import op8_toxicity
+from tidemark.llm.urls import op4_url_filter
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe": op2_bpe,
+    "op4_url_filter": op4_url_filter,
     "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
+    "op9_nn_descent": op9_nn_descent,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE: dict[str, str] = {}
