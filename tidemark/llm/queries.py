@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op2_bpe
+from tidemark.llm.jaccard import op5_jaccard_join
 from tidemark.llm.language import op7_language_id
 from tidemark.llm.neighbours import op9_nn_descent
 from tidemark.llm.postings import op10_decontaminate
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe": op2_bpe,
     "op4_url_filter": op4_url_filter,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_nn_descent": op9_nn_descent,
