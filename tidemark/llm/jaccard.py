@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 from tidemark.llm.components import components
 from tidemark.llm.tables import table
+from tidemark.llm.wordhash import MIX, folded, mixed, word_hashes
 from tidemark.session import written
 
 WORDS = 5
@@ -29,39 +29,34 @@ NEAR, FAR = 75, 100
 FREQUENT = 400_000  # frequent tokens sent to the tasks: at most so many, as their share of all tokens is over 1/FREQUENT
 SEEN = 4  # times in one task
 HELD = 4_000_000  # tokens that a task counts at once
-LARGEST_BOUNDARY = 24
+LARGEST_BOUNDARY = 16
 HUBS = 2
-MIX = np.uint64(0x9E3779B97F4A7C15)
+EXTRA = 24  # for so many tokens of a set its prefix has one token more, and a pair must share one more there
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def word_list(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split() if text else []
-
-
-def tokens(words: list[bytes]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; fewer words than WORDS are one shingle."""
-    n = len(words)
+def tokens(data: bytes) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of folded text; fewer words than WORDS are one shingle."""
+    h = word_hashes(data)
+    n = len(h)
     if not n:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=n)
+        return h
     size = min(n, WORDS)
-    total = np.zeros(n - size + 1, dtype=np.uint64)
+    total = np.full(n - size + 1, size, dtype=np.uint64)
     for k in range(size):
         total = total * MIX + h[k : n - size + 1 + k]
-    return np.unique(mixed(total + np.uint64(size)))
+    total = mixed(total)
+    total.sort()
+    fresh = np.ones(len(total), dtype=bool)
+    np.not_equal(total[1:], total[:-1], out=fresh[1:])
+    return total[fresh]
 
 
 def class_of(own: np.ndarray) -> int:
     """One number for the whole set, whatever its order."""
     if not len(own):
         return 0
-    total = mixed(own * MIX).sum(dtype=np.uint64) ^ (np.uint64(len(own)) * MIX)
-    return int(mixed(np.array([total], dtype=np.uint64)).view(np.int64)[0])
+    total = np.add.reduce(own, keepdims=True) ^ mixed(np.array([len(own)], dtype=np.uint64))
+    return int(mixed(total).view(np.int64)[0])
 
 
 def least_shared(n: int) -> int:
@@ -69,6 +64,11 @@ def least_shared(n: int) -> int:
     return -(-NEAR * n // FAR)
 
 
+def demanded(n):
+    """Tokens that similar sets have in common inside both prefixes: of two sets the smaller demand holds."""
+    return 1 + n // EXTRA
+
+
 def keys(own: np.ndarray, weights: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of a set and, for each, how many tokens it may share with a set that has the key too."""
     n = len(own)
@@ -82,7 +82,7 @@ def keys(own: np.ndarray, weights: np.ndarray, boundary: int) -> tuple[np.ndarra
         found.append(mixed(ordered[a] * MIX + mixed(ordered[b])))
         reach.append(n - b + 1)
     if FAR * n > NEAR * boundary:
-        at = np.arange(slack + 1)
+        at = np.arange(min(n, slack + demanded(n)))
         found.append(ordered[at])
         reach.append(n - at)
     return np.concatenate(found), np.concatenate(reach).astype(np.int64)
@@ -103,7 +103,7 @@ def sets_and_frequent(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             doc_type, sizes, marks = batch.column(0).type, [], []
             for text in batch.column(1):
-                own = tokens(word_list(text.as_py()))
+                own = tokens(folded(text.as_py()))
                 sizes.append(len(own))
                 marks.append(class_of(own))
                 held.append(own)
@@ -149,7 +149,7 @@ def inverted_lists(docs: DataFrame, text_col: str, frequent: tuple[np.ndarray, n
         for batch in batches:
             parts = []
             for text in batch.column(0):
-                own = tokens(word_list(text.as_py()))
+                own = tokens(folded(text.as_py()))
                 mark = class_of(own)
                 if len(own) < 2 or mark in done:
                     continue
@@ -186,18 +186,21 @@ def inverted_lists(docs: DataFrame, text_col: str, frequent: tuple[np.ndarray, n
             stays = np.concatenate([[company], same]) | np.concatenate([same, [False]])
             end = len(token) - 1
             out = np.flatnonzero(stays[:end])
-            hubs = np.empty(len(out), dtype=np.int64)
-            for k, i in enumerate(out):
-                if hub is None or hub[0] != token[i] or FAR * hub[2] < NEAR * n[i]:
-                    hub = (token[i], cls[i], n[i])
-                hubs[k] = hub[1]
+            # The hub is the first of the list if sizes allow, else the row before.
+            begin = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(token)), 0))
+            head_cls, head_n = cls[begin], n[begin]
+            if hub is not None and hub[0] == token[0]:
+                first = begin == 0
+                head_cls, head_n = np.where(first, hub[1], head_cls), np.where(first, hub[2], head_n)
+            before = np.concatenate([cls[:1], np.where(same, cls[:-1], cls[1:])])
+            hubs = np.where(FAR * head_n >= NEAR * n, head_cls, before)
+            hub = (token[end], head_cls[end], head_n[end])
+            tail, hubs = hubs[end], hubs[out]
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (token, cls, n, reach)] + [pa.array(hubs)], names)
-            last = (token[end], cls[end], n[end], reach[end], bool(stays[end]))
+            last = (token[end], cls[end], n[end], reach[end], bool(stays[end]), tail)
         if last is not None and last[4]:
-            token, cls, n = last[:3]
-            own = hub[1] if hub is not None and hub[0] == token and FAR * hub[2] >= NEAR * n else cls
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*last[:4], own), kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*last[:4], last[5]), kinds, strict=True)], names)
 
     names, kinds = ["token", "cls", "n", "reach", "hub"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
     return ordered.mapInArrow(keep, "token long, cls long, n int, reach int, hub long")
@@ -205,7 +208,9 @@ def inverted_lists(docs: DataFrame, text_col: str, frequent: tuple[np.ndarray, n
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
     """(u, v): each class with the HUBS hubs that it meets most often."""
-    met = lists.where("hub <> cls").groupBy("cls", "hub").count()
+    met = lists.where("hub <> cls").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("count"), F.max("n").alias("n"))
+    # Which hub a list has is chance, so half of what is demanded of a pair will do; this step need not find all.
+    met = met.where(F.col("count") * 2 >= 1 + F.floor(F.col("n") * NEAR / FAR / EXTRA))
     order = Window.partitionBy("cls").orderBy(F.desc("count"), "hub")
     best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS)
     return best.select(F.least("cls", "hub").alias("u"), F.greatest("cls", "hub").alias("v")).distinct()
@@ -227,31 +232,35 @@ def open_pairs(lists: DataFrame, members: DataFrame) -> DataFrame:
             columns = [batch.column(i).to_numpy() for i in range(5)]
             if held is not None:
                 columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
-            token, n, cls, reach, component = columns
-            # Rows that only smaller sets or other lists precede are done once they met all rows up to 4/3 of their size.
+            token, n = columns[:2]
+            # Rows of ended lists, and of sizes that no later row is similar to, have met all their partners.
             done = np.flatnonzero((token != token[-1]) | (FAR * n < NEAR * n[-1]))
             stop = int(done[-1]) + 1 if len(done) else 0
-            for i in range(stop):
-                yield from meet(columns, i)
+            yield from meet(columns, stop)
             held = [c[stop:] for c in columns]
         if held is not None:
-            for i in range(len(held[0])):
-                yield from meet(held, i)
+            yield from meet(held, len(held[0]))
 
-    def meet(columns, i):
+    def meet(columns, stop):
         token, n, cls, reach, component = columns
-        j = i + 1
-        end = j + int(np.searchsorted(np.where(token[j:] == token[i], 0, 1), 1))
-        end = j + int(np.searchsorted(n[j:end], FAR * n[i] // NEAR, side="right"))
-        if end == j:
-            return
-        other = slice(j, end)
-        open_ = (component[other] != component[i]) & (7 * np.minimum(reach[other], reach[i]) >= 3 * (n[other].astype(np.int64) + n[i]))
-        if open_.any():
-            found = cls[other][open_]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, cls[i])), pa.array(np.maximum(found, cls[i]))], ["u", "v"])
-
-    return rows.mapInArrow(pairs, "u long, v long").distinct()
+        i, d = np.arange(stop), 0
+        while len(i):
+            d += 1
+            i = i[i + d < len(token)]
+            j = i + d
+            i = i[(token[j] == token[i]) & (FAR * n[i].astype(np.int64) >= NEAR * n[j].astype(np.int64))]
+            j = i + d
+            common = demanded(n[i])
+            room = np.minimum(reach[i], reach[j]) + common - 1
+            open_ = (component[i] != component[j]) & (7 * room >= 3 * (n[i].astype(np.int64) + n[j]))
+            if open_.any():
+                a, b = cls[i[open_]], cls[j[open_]]
+                low = pa.array(np.minimum(a, b))
+                yield pa.RecordBatch.from_arrays([low, pa.array(np.maximum(a, b)), pa.array(common[open_].astype(np.int32))], ["u", "v", "common"])
+
+    met = rows.mapInArrow(pairs, "u long, v long, common int")
+    # Sets small enough for subsets are small enough to demand one meeting only.
+    return met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists"), F.max("common").alias("common")).where("lists >= common").select("u", "v")
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -267,7 +276,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             if x not in memo:
                 if len(memo) > 64:
                     memo.clear()
-                memo[x] = tokens(zlib.decompress(x).split(b" "))
+                memo[x] = tokens(zlib.decompress(x))
             return memo[x]
 
         for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
@@ -285,7 +294,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
 
     def pack(batches):
         for batch in batches:
-            packed = [zlib.compress(b" ".join(word_list(t.as_py())), 1) for t in batch.column(1)]
+            packed = [zlib.compress(folded(t.as_py()), 1) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["cls", "packed"])
 
     return rows.mapInArrow(pack, "cls long, packed binary").dropDuplicates(["cls"])
