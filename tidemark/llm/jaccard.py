@@ -30,7 +30,7 @@ FREQUENT = 400_000  # frequent tokens sent to the tasks: at most so many, as the
 SEEN = 4  # times in one task
 HELD = 4_000_000  # tokens that a task counts at once
 LARGEST_BOUNDARY = 16
-HUBS = 2
+HUBS = 3
 EXTRA = 24  # for so many tokens of a set its prefix has one token more, and a pair must share one more there
 
 
@@ -141,7 +141,8 @@ def boundary_by_cost(sizes: dict[int, int], scan: float) -> int:
 
 
 def inverted_lists(docs: DataFrame, text_col: str, frequent: tuple[np.ndarray, np.ndarray], boundary: int) -> DataFrame:
-    """(token, cls, n, reach, hub): the lists with two classes or more. ``hub``: the smallest set of the list that may be similar."""
+    """(token, cls, n, reach, hub): the lists with two classes or more. ``hub``: the set in front of
+    the list if its size allows similarity, else the one before."""
     values, weight = frequent
 
     def post(batches):
@@ -167,7 +168,8 @@ def inverted_lists(docs: DataFrame, text_col: str, frequent: tuple[np.ndarray, n
     rows = docs.select(text_col).mapInArrow(post, "token long, cls long, n long, reach long")
     rows = rows.select("token", "cls", F.col("n").cast("int").alias("n"), F.col("reach").cast("int").alias("reach"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(parts, "token").sortWithinPartitions("token", "n", "cls")
+    # In front: sets with few rarer tokens before this one. In a group of copies that is the one with the fewest own edits.
+    ordered = rows.repartition(parts, "token").sortWithinPartitions("token", F.col("n") - F.col("reach"), "cls")
 
     def keep(batches):
         """Streams: a row stays if a neighbour has its token and another class; memory is one batch."""
@@ -193,7 +195,8 @@ def inverted_lists(docs: DataFrame, text_col: str, frequent: tuple[np.ndarray, n
                 first = begin == 0
                 head_cls, head_n = np.where(first, hub[1], head_cls), np.where(first, hub[2], head_n)
             before = np.concatenate([cls[:1], np.where(same, cls[:-1], cls[1:])])
-            hubs = np.where(FAR * head_n >= NEAR * n, head_cls, before)
+            fits = (FAR * head_n.astype(np.int64) >= NEAR * n.astype(np.int64)) & (FAR * n.astype(np.int64) >= NEAR * head_n.astype(np.int64))
+            hubs = np.where(fits, head_cls, before)
             hub = (token[end], head_cls[end], head_n[end])
             tail, hubs = hubs[end], hubs[out]
             if len(out):
