@@ -208,3 +208,17 @@ def test_skewed_join_of_many_statistics_is_split(spark, tiny_skew_limits):
 def test_latest_per_series_is_a_hash_aggregate(spark, skewed):
     text = plan(TS.latest_per_series(skewed))
     assert "HashAggregate" in text and "SortAggregate" not in text and "ObjectHash" not in text
+
+
+def test_statistics_of_large_values_and_of_null_types(spark):
+    from datetime import datetime, timedelta
+
+    from tidemark.operators import anomaly, timeseries
+
+    start = datetime(2025, 7, 1)
+    data = [("S", "t", start + timedelta(days=d, hours=h), 1e8 + (0.01 if h % 2 else -0.01)) for d in range(9) for h in range(4)]
+    df = spark.createDataFrame(data, "sensor_id string, reading_type string, timestamp timestamp_ntz, value double")
+    spread = [r.baseline_std for r in timeseries.rolling_baseline(df).orderBy("date").collect()][1:]
+    assert all(0.009 < x < 0.012 for x in spread)
+    nulls = spark.createDataFrame([(i, None, 10.0 + i % 3 if i else 100_000.0) for i in range(50)], "id int, reading_type string, value double")
+    assert anomaly.with_zscore(nulls).where("is_statistical").count() == 1

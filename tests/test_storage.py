@@ -127,7 +127,9 @@ def test_landing_folder_with_all_kinds_of_files(spark, tmp_path):
     (raw / "notes.txt").write_text("not data")
     adapters.land_parquet(readings(spark, SAMPLE).coalesce(1), str(raw / "p"))
     (raw / "bad.parquet").write_bytes(b"this is not parquet")
-    landed = R.read_landing(spark, str(raw))
+    with pytest.raises(Exception):
+        R.read_landing(spark, str(raw)).count()
+    landed = R.read_landing(spark, str(raw), skip_bad_files=True)
     good = R.ingest(landed)
     assert good.count() == 6
     assert {(r.value, r.field) for r in good.where("source_file LIKE '%json'").collect()} == {(25.5, "f9"), (7.0, "f9")}
@@ -289,3 +291,35 @@ def test_incremental_load_equals_batch(spark, tmp_path):
     incremental.load_new_files(spark, raw, table, str(tmp_path / "again"), RAW_PARQUET)
     assert sorted(r.id for r in R.read_readings(spark, table).collect())[:3] == [1001, 1002, 1003]
     assert R.read_readings(spark, table).count() == 361
+
+
+def test_side_columns_never_cost_a_json_row(spark, tmp_path):
+    record = {"sensor_id": "S1", "timestamp": "2025-07-16T10:00:00Z", "reading_type": "temperature", "value": 1}
+    batteries = [87.5, "42", "junk", None, 90]
+    rows = [{**record, "sensor_id": f"S{i}", "battery_level": b} for i, b in enumerate(batteries)]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    landed = R.read_landing(spark, str(tmp_path))
+    got = {r.sensor_id: r.battery_level for r in R.ingest(landed).collect()}
+    assert got == {"S0": 88, "S1": 42, "S2": None, "S3": None, "S4": 90}
+    assert R.ingest_summary(landed).first().processed == len(got)
+
+
+def test_a_second_batch_keeps_what_the_first_stored(spark, tmp_path):
+    from tidemark.plans.batch import run_batch
+
+    def folder(name, day):
+        (tmp_path / name).mkdir()
+        record = {"sensor_id": "S1", "reading_type": "temperature", "value": 20.5}
+        rows = [{**record, "timestamp": f"2025-07-{day}T{h:02}:00:00Z"} for h in range(3)]
+        (tmp_path / name / "a.json").write_text(json.dumps(rows))
+        return str(tmp_path / name)
+
+    for name, day in (("one", 16), ("two", 17), ("again", 16)):
+        assert run_batch(spark, folder(name, day), str(tmp_path / "table"))["records_stored"] == 3
+    assert R.read_readings(spark, str(tmp_path / "table")).count() == 6
+
+
+def test_updates_need_unique_ids(spark, tmp_path):
+    updates = spark.createDataFrame([(1, 2.0), (1, 3.0)], "id long, value double")
+    with pytest.raises(ValueError):
+        K.update_readings(spark, str(tmp_path / "none"), updates)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.validity import validity, with_errors
 from .layout import CHUNK, POS, chunk_offsets, sorted_layout
-from .lookup import measured
+from .lookup import measured, null_safe_join
 
 # Values one exact-median buffer may hold.
 MEDIAN_ROWS = 1_000_000
@@ -178,7 +178,7 @@ def statistics(df: DataFrame, keys=(), max_rows: int = MEDIAN_ROWS) -> DataFrame
     )
     middle = median(df, keys, max_rows=max_rows)
     if keys:
-        joined = base.join(middle, keys, "left")
+        joined = null_safe_join(base, middle, keys)
     else:
         joined = base.withColumn("median", middle.scalar())
     return joined.select(*keys, "count", "mean", "median", "std_dev", "min", "max")

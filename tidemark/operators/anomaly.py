@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import outside_range
 from ..schema import OUTLIER_Z, ROLLING_DAYS
-from .lookup import join_statistics, with_rules
+from .lookup import join_statistics, null_safe_join, with_rules
 from .timeseries import SERIES, rolling_baseline
 
 TEMPORAL_K = 3.0
@@ -40,9 +40,7 @@ def with_temporal_flag(df: DataFrame, days: int = ROLLING_DAYS, k: float = TEMPO
     """
     keys = list(keys)
     base = rolling_baseline(df, days, keys)
-    joined = df.withColumn("_day", F.to_date("timestamp")).join(
-        base.withColumnRenamed("date", "_day"), [*keys, "_day"], "left"
-    )
+    joined = null_safe_join(df.withColumn("_day", F.to_date("timestamp")), base.withColumnRenamed("date", "_day"), [*keys, "_day"])
     far = F.abs(F.col("value") - F.col("baseline_avg")) > F.lit(k) * F.col("baseline_std")
     flag = F.coalesce(far & (F.col("baseline_std") > 0), F.lit(False))
     return joined.withColumn("is_temporal", flag).drop("_day")

@@ -58,6 +58,13 @@ def join_statistics(df: DataFrame, stats: DataFrame, keys: list[str], max_rows:
     """Left join of an aggregate onto its own rows.
 
     Planned blindly, this join would shuffle every row by a key with a few hot
-    values, so the aggregate is measured before the join is planned.
+    values, so the aggregate is measured before the join is planned. A null key is a group like any other.
     """
-    return df.join(measured(stats, max_rows), keys, "left")
+    return null_safe_join(df, measured(stats, max_rows), keys)
+
+
+def null_safe_join(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which equal keys include nulls; the keys appear once."""
+    renamed = other.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return df.join(renamed, on, "left").drop(*[f"_key_{k}" for k in keys])

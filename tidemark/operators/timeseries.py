@@ -25,7 +25,7 @@ def daily_series(df: DataFrame, keys=SERIES) -> DataFrame:
         F.count(v).alias("n_values"),
         F.avg(v).alias("daily_avg"),
         F.sum(v).alias("value_sum"),
-        F.sum(v * v).alias("value_sq_sum"),
+        (F.var_pop(v) * F.count(v)).alias("value_m2"),
     )
 
 
@@ -44,15 +44,19 @@ def rolling_baseline(df: DataFrame, days: int = ROLLING_DAYS, keys=SERIES) -> Da
     The current day is left out, so that an unusual day cannot hide itself.
     """
     frame = W.partitionBy(*keys).orderBy("day_number").rangeBetween(-days, -1)
-    n, s, q = (F.sum(c).over(frame) for c in ("n_values", "value_sum", "value_sq_sum"))
-    sums = daily_series(df, keys).withColumn("day_number", F.unix_date("date")).select(
-        *keys, "date", n.alias("n"), s.alias("s"), q.alias("q")
-    )
+    daily = daily_series(df, keys).withColumn("day_number", F.unix_date("date"))
+    # Days are merged around the mean of their series, so that large values with a small spread lose no digits.
+    whole = W.partitionBy(*keys)
+    centre = F.sum("value_sum").over(whole) / F.sum("n_values").over(whole)
+    daily = daily.withColumn("centre", centre).withColumn("shift", F.col("daily_avg") - F.col("centre"))
+    n, s = F.sum("n_values").over(frame), F.sum(F.col("n_values") * F.col("shift")).over(frame)
+    q = F.sum(F.col("value_m2") + F.col("n_values") * F.col("shift") * F.col("shift")).over(frame)
+    sums = daily.select(*keys, "date", n.alias("n"), s.alias("s"), q.alias("q"), "centre")
     spread = F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0))
     return sums.select(
         *keys,
         "date",
-        F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("baseline_avg"),
+        F.when(F.col("n") > 0, F.col("centre") + F.col("s") / F.col("n")).alias("baseline_avg"),
         F.when(F.col("n") > 1, F.sqrt(spread / (F.col("n") - 1))).alias("baseline_std"),
     )
 

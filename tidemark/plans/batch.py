@@ -14,7 +14,8 @@ from ..operators.aggregates import validation_counters
 from ..operators.lookup import with_rules
 from ..session import written
 from ..sources.readers import ingest, ingest_summary, read_landing, typed
-from ..sources.writers import append_readings, with_defaults, write_readings
+from ..sources.writers import append_readings, with_defaults
+from ..streaming.incremental import merge_rows
 
 
 def calibrate(df: DataFrame, profile: str = "config") -> DataFrame:
@@ -88,10 +89,12 @@ def run_batch(
     end=None,
     json_glob: str | None = None,
 ) -> dict:
-    """Folder in, partitioned table out: ingest, clean, enrich, validate and store.
+    """Folder in, partitioned table out: ingest, clean, enrich, validate and merge into the table.
+
+    Dates without new rows stay as they are. Of equal keys the smallest id stays, of equal ids the newest load.
 
     The unique rows are written once and shared by the steps behind them (fill,
-    group statistics, final write), so the landing files are parsed and shuffled once.
+    group statistics, final write), so the landing files are shuffled once (and parsed twice, for counters and rows).
     Counters are aggregates or observed on the final write; times are the driver's clock.
     """
     clock = [time.monotonic()]
@@ -105,9 +108,10 @@ def run_batch(
     clock.append(time.monotonic())
     filled = cleaning.drop_missing(unique) if fill == "drop" else cleaning.forward_fill(unique)
     enriched = with_defaults(enrich(filled, profile))
-    stored = write_readings(
-        enriched, table_path, mode="overwrite", counters={"outliers": F.count_if("anomalous_reading")}
-    )
+    # Written first: the merge reads it twice, and replaces only the dates that it touches.
+    ready = written(enriched, "ready")
+    merge_rows(ready, table_path)
+    stored = ready.agg(F.count(F.lit(1)).alias("rows"), F.count_if("anomalous_reading").alias("outliers")).first()
     clock.append(time.monotonic())
     total = counts["processed"] + counts["skipped"] + counts["errors"]
     seconds = clock[-1] - clock[0]

@@ -48,14 +48,16 @@ RAW = T.StructType(
         T.StructField("unit", T.StringType()),
         T.StructField("field", T.StringType()),
         T.StructField("location", LOCATION),
-        T.StructField("battery_level", T.IntegerType()),
-        T.StructField("signal_strength", T.IntegerType()),
+        T.StructField("battery_level", T.StringType()),
+        T.StructField("signal_strength", T.StringType()),
         T.StructField("data_quality", T.StringType()),
     ]
 )
 
 # Landing Parquet files carry typed columns.
-_TYPED = {"value": T.DoubleType(), "timestamp": T.TimestampNTZType()}
+_TYPED = {
+    "value": T.DoubleType(), "timestamp": T.TimestampNTZType(), "battery_level": T.IntegerType(), "signal_strength": T.IntegerType()
+}
 RAW_PARQUET = T.StructType([T.StructField(f.name, _TYPED.get(f.name, f.dataType)) for f in RAW.fields])
 
 METRICS = T.StructType(

@@ -80,17 +80,20 @@ def typed(df: DataFrame) -> DataFrame:
         changes["value"] = to_number("value")
     elif isinstance(out.schema["value"].dataType, T.DoubleType):
         changes["value"] = number_or_null("value")
+    for name in ("battery_level", "signal_strength"):
+        # A side column never costs the row: what is no number becomes null, fractions are rounded.
+        if name in out.columns and isinstance(out.schema[name].dataType, T.StringType):
+            changes[name] = F.expr(f"try_cast(floor(try_cast({name} as double) + 0.5) as int)")
     return out.withColumns(changes)
 
 
 def read_landing(
-    spark: SparkSession, path: str, start=None, end=None, skip_bad_files: bool = True, json_glob: str | None = None
+    spark: SparkSession, path: str, start=None, end=None, skip_bad_files: bool = False, json_glob: str | None = None
 ) -> DataFrame:
     """All JSON and Parquet files of a mixed folder as typed rows; other files are not read.
 
-    A bad file does not stop the run: broken JSON stays visible as a row with a
-    corrupt text, broken Parquet in ``unread_files``. Where storage may fail for
-    a moment, read with ``skip_bad_files=False``, so that nothing is left out unseen.
+    Broken JSON stays visible as a row with a corrupt text. Broken Parquet stops the run, so that
+    nothing is left out unseen; with ``skip_bad_files`` it is skipped and ``unread_files`` lists it.
     """
     columnar = read_raw_parquet(spark, path, start=start, end=end, skip_bad_files=skip_bad_files)
     text = read_raw_json(spark, path, start=start, end=end, glob=json_glob)

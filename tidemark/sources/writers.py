@@ -101,6 +101,8 @@ def update_readings(spark: SparkSession, path: str, updates: DataFrame, partitio
     fixed = {"timestamp", *partition_by} & set(updates.columns)
     if fixed:
         raise ValueError(f"{sorted(fixed)} decide the partition: delete and append instead")
+    if updates.groupBy("id").count().where("count > 1").take(1):
+        raise ValueError("several updates have the same id")
     keys = list(partition_by)
     table = read_readings(spark, path)
     hits = _hits(table, updates.select("id"), keys)

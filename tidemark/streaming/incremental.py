@@ -37,15 +37,24 @@ def merge_batch(batch: DataFrame, table_path: str) -> list:
     Running it again with the same rows changes nothing, so a batch that is
     replayed after a failure is harmless. Returns the dates written.
     """
-    spark = batch.sparkSession
-    rows = with_defaults(ingest(batch)).where(F.col("timestamp").isNotNull())
+    return merge_rows(with_defaults(ingest(batch)), table_path)
+
+
+def merge_rows(rows: DataFrame, table_path: str) -> list:
+    """``merge_batch`` for rows that have the table's columns already."""
+    spark = rows.sparkSession
+    rows = rows.where(F.col("timestamp").isNotNull())
     dates = touched_dates(rows)
     if not dates:
         return []
     if _table_exists(spark, table_path):
         stored = read_readings(spark, table_path).where(F.col("date").isin(dates)).drop("date")
-        rows = stored.unionByName(rows)
-    write_readings(drop_duplicates(rows), table_path, overwrite_dates=True)
+        # Of equal keys the smallest id stays; of equal ids, as derived ones are, the newest load.
+        both = rows.withColumn("_load", F.lit(0)).unionByName(stored.withColumn("_load", F.lit(1)))
+        rows = drop_duplicates(both, order=("id", "_load", "value")).drop("_load")
+    else:
+        rows = drop_duplicates(rows, order=("id", "value"))
+    write_readings(rows, table_path, overwrite_dates=True)
     return dates
 
 
