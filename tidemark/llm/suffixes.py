@@ -148,9 +148,12 @@ def later_windows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     index = suffix_index([c.as_py() for c in rows.column("context")], n)
     owner = np.repeat(np.arange(len(n)), n)
     window = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    age = np.lexsort((at[owner] + window, doc[owner]))
+    place, paper = at[owner] + window, doc[owner]
+    age = np.lexsort((place, paper))
+    # A window that a repeated row brings twice has one age.
+    older = np.concatenate([[0], np.cumsum((np.diff(place[age]) != 0) | (paper[age][1:] != paper[age][:-1]))])
     rank = np.empty(len(owner), dtype=np.int64)
-    rank[age] = np.arange(len(owner))
+    rank[age] = older[: len(age)]
     # The outermost intervals of the tree hold all suffixes with LENGTH bytes in common; all but the earliest are repeats.
     group = np.cumsum(index.common < LENGTH) - 1
     earliest = np.minimum.reduceat(rank[index.order], np.flatnonzero(index.common < LENGTH)) if len(group) else group
