@@ -12,7 +12,7 @@ from .scalar import is_blank, is_iso_timestamp, parse_time, to_number
 RULE_SETS = ("ingest", "basic", "pipeline", "strict")
 
 
-def _timestamp_parses(df: DataFrame) -> Column:
+def timestamp_parses(df: DataFrame) -> Column:
     if isinstance(df.schema["timestamp"].dataType, T.StringType):
         return parse_time("timestamp").isNotNull()
     return F.col("timestamp").isNotNull()
@@ -28,7 +28,7 @@ def validity(df: DataFrame, rules: str) -> Column:
     """Null-safe Boolean for one rule set."""
     keyed = ~is_blank("timestamp") & ~is_blank("sensor_id")
     if rules == "ingest":
-        ok = keyed & _timestamp_parses(df)
+        ok = keyed & timestamp_parses(df)
     elif rules == "basic":
         ok = keyed & F.col("value").isNotNull()
     elif rules == "pipeline":
@@ -53,7 +53,7 @@ def error_list(df: DataFrame) -> Column:
     # An empty text counts as missing only: it reads as the number 0 in the source format.
     junk = ~is_blank("value") & to_number("value").isNull()
     checks.append((junk, ERROR_NUMBER))
-    checks.append((~is_blank("timestamp") & ~_timestamp_parses(df), ERROR_TIME))
+    checks.append((~is_blank("timestamp") & ~timestamp_parses(df), ERROR_TIME))
     if not isinstance(df.schema["sensor_id"].dataType, T.StringType):
         checks.append((F.col("sensor_id").isNotNull(), ERROR_SENSOR))
     return F.array_compact(F.array(*[F.when(bad, F.lit(text)) for bad, text in checks]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.validity import validity, with_errors
-from .layout import CHUNK, POS, chunk_offsets, sorted_layout
+from .layout import CHUNK, COPIES, POS, chunk_offsets, counted_layout
 from .lookup import measured, null_safe_join
 
 # Values one exact-median buffer may hold.
@@ -138,17 +138,17 @@ def validation_counters(df: DataFrame) -> DataFrame:
 
 
 def _median_large(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact medians read by rank from a sorted table."""
-    layout = sorted_layout(df.select(*keys, value), [*[F.col(k) for k in keys], F.col(value)])
-    size = W.partitionBy(*keys)
-    parts = chunk_offsets(layout, keys).withColumn("n", F.sum("rows").over(size))
-    # The middle one or two ranks, counted from 0.
-    ranks = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
-    wanted = parts.withColumn("rank", F.explode(ranks)).where(
-        (F.col("rank") >= F.col("rows_before")) & (F.col("rank") < F.col("rows_before") + F.col("rows"))
-    )
-    address = wanted.select(CHUNK, (F.col("first_pos") + F.col("rank") - F.col("rows_before")).alias(POS))
-    return layout.join(measured(address), [CHUNK, POS]).groupBy(*keys).agg(F.avg(value).alias("median"))
+    """Exact medians by rank. Equal values are counted first, so the sort key is unique and a frequent value is one row."""
+    layout = counted_layout(df.select(*keys, value), [])
+    parts = chunk_offsets(layout, keys, F.sum(COPIES)).withColumn("n", F.sum("rows").over(W.partitionBy(*keys)))
+    # The middle one or two ranks, counted from 0, and the files that hold them.
+    parts = parts.withColumns({"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)})
+    hit = parts.where((F.col("low") < F.col("rows_before") + F.col("rows")) & (F.col("high") >= F.col("rows_before")))
+    inside = null_safe_join(layout, measured(hit.select(*keys, CHUNK, "rows_before", "low", "high")), [*keys, CHUNK])
+    upto = F.col("rows_before") + F.sum(COPIES).over(W.partitionBy(*keys, CHUNK).orderBy(POS))
+    ranked = inside.where(F.col("low").isNotNull()).withColumn("upto", upto)
+    held = [(F.col("upto") > F.col(r)) & (F.col("upto") - F.col(COPIES) <= F.col(r)) for r in ("low", "high")]
+    return ranked.where(held[0] | held[1]).groupBy(*keys).agg(F.avg(value).alias("median"))
 
 
 def median(df: DataFrame, keys=(), value: str = "value", max_rows: int = MEDIAN_ROWS) -> DataFrame:

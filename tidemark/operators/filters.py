@@ -10,11 +10,13 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import moment, to_timestamp_ntz
 from ..schema import READING_TYPES, SORT_COLUMNS
-from .layout import slice_by_rank, sorted_layout
+from ..session import written
+from .layout import COPIES, counted_layout, slice_by_rank
 from .lookup import measured
 
 # A top-k plan keeps offset + limit rows per task; deeper pages use a sorted table.
 TOP_K_ROWS = 100_000
+TAIL = "_row_hash"
 
 
 def time_range(df: DataFrame, start=None, end=None, column: str = "timestamp") -> DataFrame:
@@ -103,10 +105,18 @@ def ordered_slice(
     df: DataFrame, keys: list[Column], limit: int, offset: int = 0, top_k_rows: int = TOP_K_ROWS
 ) -> DataFrame:
     """Sort -> offset -> limit. A shallow slice is a top-k plan. A deep one is cut by
-    rank from a sorted table, so no task ever holds the rows that are skipped."""
+    rank from a sorted table, so no task ever holds the rows that are skipped.
+
+    Both orders end in all columns, so equal keys give the same rows either way."""
     if offset + limit <= top_k_rows:
-        return df.orderBy(*keys).offset(offset).limit(limit)
-    return slice_by_rank(sorted_layout(df, keys), offset, offset + limit).orderBy(*keys)
+        return df.orderBy(*keys, *[F.col(c).asc() for c in df.columns]).offset(offset).limit(limit)
+    return slice_by_rank(counted_layout(df, keys), offset, offset + limit).orderBy(*keys)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a whole row; null flags are part of it, since the hash itself skips nulls."""
+    columns = [F.col(c) for c in df.columns]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
 def _key_range(df: DataFrame, column: str, lo, hi) -> DataFrame:
@@ -125,20 +135,28 @@ def offset_page(
 ) -> DataFrame:
     """Offset paging over the whole filtered set.
 
-    A deep page sorts only its keys and ids, and fetches the page's rows by them.
+    Ties of key and id are ordered by a hash of the row. A deep page sorts only keys, ids and hashes, and
+    fetches the page's rows by them; of repeated rows it gives as many as fall on the page.
     """
     keys = sort_keys(sort_by, sort_order)
+    full = [*keys, F.col(TAIL).asc()]
+    marked = df.withColumn(TAIL, row_hash(df))
     if offset + limit <= top_k_rows:
-        return ordered_slice(df, keys, limit, offset, top_k_rows)
-    page_keys = ordered_slice(df.select(sort_by, "id"), keys, limit, offset, top_k_rows)
-    key = F.col(sort_by)
-    ends = page_keys.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count_if(key.isNull()).alias("n")).first()
+        return marked.orderBy(*full).offset(offset).limit(limit).drop(TAIL)
+    found = ordered_slice(marked.select(sort_by, "id", TAIL), full, limit, offset, top_k_rows)
+    page_keys = found.groupBy(F.col(sort_by).alias("_key"), F.col("id").alias("_id"), F.col(TAIL).alias("_hash")).agg(
+        F.count("*").alias(COPIES)
+    )
+    wanted = written(page_keys, "page")
+    key = F.col("_key")
+    ends = wanted.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count_if(key.isNull()).alias("n")).first()
     if not ends["n"]:
         # The page's first and last key reach the scan, and prune dates when sorted by time.
-        df = _key_range(df, sort_by, ends["lo"], ends["hi"])
-    wanted = measured(page_keys.select(F.col(sort_by).alias("_key"), F.col("id").alias("_id")))
-    same = (F.col("id") == F.col("_id")) & F.col(sort_by).eqNullSafe(F.col("_key"))
-    return df.join(wanted, same, "left_semi").orderBy(*keys)
+        marked = _key_range(marked, sort_by, ends["lo"], ends["hi"])
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col(sort_by).eqNullSafe(key) & (F.col(TAIL) == F.col("_hash"))
+    rows = marked.join(measured(wanted), same).dropDuplicates([sort_by, "id", TAIL])
+    rows = rows.withColumn(COPIES, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(COPIES))))
+    return rows.orderBy(*full).select(*df.columns)
 
 
 def page(df: DataFrame, page: int = 1, limit: int = 100, sort_by="timestamp", sort_order="desc", **kw) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.validity import split_valid, validity
+from ..functions.scalar import is_blank
+from ..functions.validity import split_valid, timestamp_parses, validity
 from ..operators import anomaly, cleaning
 from ..operators.aggregates import validation_counters
 from ..operators.lookup import with_rules
@@ -31,6 +32,8 @@ def calibrate(df: DataFrame, profile: str = "config") -> DataFrame:
 def transform_records(df: DataFrame) -> DataFrame:
     """Per-row changes: numeric value, lower-case type, score, hard-limit flag, metadata."""
     out = df.drop("extra_field", "errors", "is_valid")
+    if "battery_level" not in out.columns:  # flat records may come without one
+        out = out.withColumn("battery_level", F.lit(None).cast("string"))
     scored = out.withColumn("quality_score", S.quality_score())
     ready = typed(scored).withColumns(
         {"reading_type": S.normal_type(), "anomalous_reading": S.outside_hard_limits()}
@@ -47,12 +50,18 @@ def process_records(df: DataFrame | None, strict: bool = False) -> tuple[DataFra
 
 
 def process_and_store(df: DataFrame | None, path: str, strict: bool = False) -> dict:
-    """Validate, transform and append a record batch; returns the counters."""
+    """Validate, transform and append a record batch; returns the counters.
+
+    The batch is written once for both. A missing time becomes the current one; a row whose time does not
+    parse is not stored, it stays in the quarantine of ``process_records``.
+    """
     if df is None:
         raise ValueError("no records given")
-    out, _ = process_records(df, strict)
+    batch = written(df, "records")
+    timed = batch.where(is_blank("timestamp") | timestamp_parses(batch))
+    out, _ = process_records(timed, strict)
     stored = append_readings(out.drop("processed_at"), path)
-    totals = validation_counters(df).first()
+    totals = validation_counters(batch).first()
     return {
         "processed": stored,
         "stored": stored,

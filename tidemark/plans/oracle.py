@@ -510,6 +510,8 @@ ORACLE = {
     # flows
     "process_records": f"WITH {TEXT} {PROCESSED}, '2.0' AS processing_version FROM txt",
     "process_records_strict": f"WITH {TEXT} {PROCESSED} FROM txt WHERE len({ERRORS}) = 0",
+    "process_records_lenient": f"""WITH {TEXT} {PROCESSED} FROM txt
+        WHERE coalesce("timestamp", '') = '' OR ts IS NOT NULL""",
     "batch_run": BATCH,
     "incremental_load": f"""WITH {DIRTY} SELECT {BASE}, CAST("timestamp" AS DATE) AS date FROM dirty WHERE sensor_id <> ''
         QUALIFY row_number() OVER (PARTITION BY sensor_id, "timestamp", reading_type ORDER BY id) = 1""",

@@ -24,21 +24,16 @@ def read_readings(spark: SparkSession, path: str) -> DataFrame:
 def read_parquet(
     spark: SparkSession, path: str, where: str | None = None, order_by: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Ad-hoc scan: filter, then order, then limit, each optional."""
+    """Ad-hoc scan: filter, then order (any SQL sort list), then limit, each optional."""
     df = spark.read.parquet(path)
     if where:
         df = df.where(F.expr(where))
     if order_by:
-        df = df.orderBy(*[_order(part) for part in order_by.split(",")])
+        clause = order_by.replace("{", "{{").replace("}", "}}")
+        df = spark.sql("SELECT * FROM {found} ORDER BY " + clause, found=df)
     return df if limit is None else df.limit(limit)
 
 
-def _order(text: str) -> Column:
-    words = text.split()
-    column = F.col(words[0])
-    return column.desc() if len(words) > 1 and words[1].lower() == "desc" else column.asc()
-
-
 def _in_window(df: DataFrame, start, end) -> DataFrame:
     """Files by modification time, both ends inclusive; open ends take everything."""
     changed = F.col("_metadata.file_modification_time")
@@ -158,7 +153,10 @@ def landing_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: in
 def unread_files(spark: SparkSession, path: str, raw: DataFrame, glob: str = "*.parquet") -> DataFrame:
     """Files of the folder that gave no row (corrupt or empty). Only footers are read for it."""
     listed = landing_files(spark, path, glob).select(F.col("path").alias("source_file"))
-    return listed.join(raw.select("source_file").distinct(), "source_file", "left_anti")
+    # The row metadata encodes blanks and other signs in names, the listing does not.
+    plain = F.expr("url_decode(replace(source_file, '+', '%2B'))")
+    seen = raw.select(plain.alias("source_file")).distinct()
+    return listed.join(seen, "source_file", "left_anti")
 
 
 def read_logs(spark: SparkSession, path: str, level: str | None = None, lines: int | None = 100) -> DataFrame:
@@ -176,7 +174,7 @@ def read_logs(spark: SparkSession, path: str, level: str | None = None, lines: i
         hit = F.when(F.col("is_text"), F.lower("message").contains(level.lower())).otherwise(F.col("level") == level)
         parsed = parsed.where(hit)
     entries = parsed.drop("is_text")
-    newest = [F.col("timestamp").desc_nulls_last(), F.col("message").desc()]
+    newest = [F.col("timestamp").desc_nulls_last(), F.col("message").desc(), F.col("level").asc()]
     return entries.orderBy(*newest) if lines is None else ordered_slice(entries, newest, lines)
 
 
