@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import table
+from tidemark.session import written
 
 ALLOW, BLOCK = "allow", "block"
 # Rule -> verdict. A rule is a host, which fits its subdomains too, and the beginning of a path.
@@ -115,7 +116,7 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, id_col: str = "page_i
     # Pages that differ only in digits and punctuation share a shape and are scored once.
     shapes = judged.groupBy("shape").agg(F.count_if(listed == BLOCK).alias("blocked"), F.count_if(listed == ALLOW).alias("allowed"))
     each = shapes.where("shape <> ''").select("shape", "blocked", "allowed", F.posexplode(F.split("shape", " ")).alias("at", "run"))
-    words = segmented(each.select("run").distinct(), word_counts(pages, html_col))
+    words = segmented(each.select("run").distinct(), written(word_counts(pages, html_col), "words"))
     # Words such as www stand in most shapes: salted, so that no task gets them all.
     salted = words.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     met = each.withColumn("salt", F.pmod(F.hash("shape"), F.lit(SALTS))).join(salted, ["run", "salt"])
