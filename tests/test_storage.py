@@ -293,6 +293,17 @@ def test_incremental_load_equals_batch(spark, tmp_path):
     assert R.read_readings(spark, table).count() == 361
 
 
+def test_incremental_run_cleans_and_enriches_sub_folders(spark, tmp_path):
+    raw, table = str(tmp_path / "raw"), str(tmp_path / "table")
+    rows = readings(spark, [("S1", "2025-07-01T01:00:00", "temperature", 20.0), ("S1", "2025-07-01T02:00:00", "temperature", 900.0), ("S1", "2025-07-01T03:00:00", "temperature", None)])
+    adapters.land_parquet(rows, raw)
+    adapters.land_parquet(rows.withColumn("timestamp", F.col("timestamp") + F.expr("interval 1 day")), raw + "/july/more")
+    batch.run_incremental(spark, raw, table, str(tmp_path / "seen"), RAW_PARQUET, bytes_per_batch=1)
+    stored = R.read_readings(spark, table)
+    assert stored.count() == 4 and stored.where("calibrated_value is null").count() == 0
+    assert [r.value for r in stored.where("anomalous_reading").collect()] == [900.0, 900.0]
+
+
 def test_side_columns_never_cost_a_json_row(spark, tmp_path):
     record = {"sensor_id": "S1", "timestamp": "2025-07-16T10:00:00Z", "reading_type": "temperature", "value": 1}
     batteries = [87.5, "42", "junk", None, 90]

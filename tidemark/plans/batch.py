@@ -16,7 +16,7 @@ from ..operators.lookup import with_rules
 from ..session import written
 from ..sources.readers import ingest, ingest_summary, read_landing, typed
 from ..sources.writers import append_readings, with_defaults
-from ..streaming.incremental import merge_rows
+from ..streaming.incremental import load_new_files, merge_rows
 
 
 def calibrate(df: DataFrame, profile: str = "config") -> DataFrame:
@@ -81,6 +81,19 @@ def clean(df: DataFrame, fill: str = "drop") -> DataFrame:
     raise ValueError(f"Unknown fill policy: {fill}")
 
 
+def fill_and_enrich(unique: DataFrame, fill: str = "drop", profile: str = "config") -> DataFrame:
+    """The steps behind duplicate removal, for batch and incremental runs alike. ``unique`` is read twice."""
+    filled = cleaning.drop_missing(unique) if fill == "drop" else cleaning.forward_fill(unique)
+    return enrich(filled, profile)
+
+
+def run_incremental(
+    spark: SparkSession, raw_path: str, table_path: str, checkpoint: str, schema, fill: str = "drop", profile: str = "config", **options
+) -> None:
+    """``run_batch`` for the files that the checkpoint has not seen; z-scores are those of each batch."""
+    load_new_files(spark, raw_path, table_path, checkpoint, schema, prepare=lambda rows: fill_and_enrich(rows, fill, profile), **options)
+
+
 def enrich(df: DataFrame, profile: str = "config") -> DataFrame:
     """Calibrated value, quality score and the range and z-score flags of cleaned rows."""
     scored = calibrate(df, profile).withColumn("quality_score", S.quality_score())
@@ -115,8 +128,7 @@ def run_batch(
     unique = written(first.drop("source_file"), "unique")
     n_unique = unique.count()
     clock.append(time.monotonic())
-    filled = cleaning.drop_missing(unique) if fill == "drop" else cleaning.forward_fill(unique)
-    enriched = with_defaults(enrich(filled, profile))
+    enriched = with_defaults(fill_and_enrich(unique, fill, profile))
     # Written first: the merge reads it twice, and replaces only the dates that it touches.
     ready = written(enriched, "ready")
     merge_rows(ready, table_path)

@@ -513,7 +513,16 @@ ORACLE = {
     "process_records_lenient": f"""WITH {TEXT} {PROCESSED} FROM txt
         WHERE coalesce("timestamp", '') = '' OR ts IS NOT NULL""",
     "batch_run": BATCH,
-    "incremental_load": f"""WITH {DIRTY} SELECT {BASE}, CAST("timestamp" AS DATE) AS date FROM dirty WHERE sensor_id <> ''
+    "incremental_load": f"""WITH {DIRTY}, {RULES},
+        loads AS (SELECT *, id >= 1000000000 AS is_second FROM dirty WHERE sensor_id <> ''
+          QUALIFY row_number() OVER (PARTITION BY id >= 1000000000, sensor_id, "timestamp", reading_type ORDER BY id) = 1),
+        good AS (SELECT * FROM loads WHERE value IS NOT NULL),
+        stats AS (SELECT is_second, reading_type, avg(value) AS m, stddev_samp(value) AS sd FROM good GROUP BY 1, 2),
+        both_loads AS (SELECT {BASE}, value * multiplier + "offset" AS calibrated_value, {SCORE} AS quality_score,
+          coalesce(value < min_value OR value > max_value, false) OR coalesce(abs((value - m) / sd) > 3.0, false) AS anomalous_reading,
+          CAST("timestamp" AS DATE) AS date
+          FROM good LEFT JOIN rules USING (reading_type) LEFT JOIN stats USING (is_second, reading_type))
+        SELECT * FROM both_loads
         QUALIFY row_number() OVER (PARTITION BY sensor_id, "timestamp", reading_type ORDER BY id) = 1""",
     "incremental_averages": f"WITH {UNIQUE}, loaded AS (SELECT * FROM uniq WHERE sensor_id <> ''), {_rolling('loaded')}",
     "volume_daily": f"""WITH {VOLUME} SELECT reading_type, CAST("timestamp" AS DATE) AS date, {DAY_AGGS} FROM vol GROUP BY 1, 2""",

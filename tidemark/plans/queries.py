@@ -825,27 +825,28 @@ def batch_run(spark, d):
     return R.read_readings(spark, table).select(*BASE, "calibrated_value", "quality_score", "anomalous_reading", "date")
 
 
-def _load_twice(spark, d, on_dates=None):
+def _load_twice(spark, d, load, **options):
     raw, table, seen = (scratch_dir(spark, n) for n in ("landing", "table", "progress"))
     rows = V.readings_dirty(spark, d)
     V.land_parquet(rows.where(F.col("id") < V.COPY_ID), raw)
-    incremental.load_new_files(spark, raw, table, seen, RAW_PARQUET, on_dates)
+    load(spark, raw, table, seen, RAW_PARQUET, **options)
     # The second load brings copies of rows that are already stored.
     V.land_parquet(rows.where(F.col("id") >= V.COPY_ID), raw)
-    incremental.load_new_files(spark, raw, table, seen, RAW_PARQUET, on_dates)
+    load(spark, raw, table, seen, RAW_PARQUET, **options)
     return table
 
 
 @query
 def incremental_load(spark, d):
-    return R.read_readings(spark, _load_twice(spark, d)).select(*BASE, "date")
+    table = _load_twice(spark, d, batch.run_incremental)
+    return R.read_readings(spark, table).select(*BASE, "calibrated_value", "quality_score", "anomalous_reading", "date")
 
 
 @query
 def incremental_averages(spark, d):
     out = scratch_dir(spark, "averages")
     touched: set = set()
-    table = _load_twice(spark, d, touched.update)
+    table = _load_twice(spark, d, incremental.load_new_files, on_dates=touched.update)
     incremental.refresh_daily_averages(spark, table, out, sorted(touched))
     back = spark.read.parquet(out)
     return r6(back, "daily_avg", "rolling_avg").withColumn("date", F.col("date").cast("date"))

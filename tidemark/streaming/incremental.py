@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import timedelta
 from functools import reduce
 
@@ -14,6 +15,7 @@ from ..operators.timeseries import rolling_average
 from ..sources.readers import ingest, read_readings
 from ..sources.writers import with_defaults, write_readings
 from ..schema import ROLLING_DAYS
+from ..session import written
 
 
 def _table_exists(spark: SparkSession, path: str) -> bool:
@@ -31,13 +33,17 @@ def touched_dates(batch: DataFrame) -> list:
     return [r["date"] for r in batch.select(F.to_date("timestamp").alias("date")).distinct().collect()]
 
 
-def merge_batch(batch: DataFrame, table_path: str) -> list:
+def merge_batch(batch: DataFrame, table_path: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> list:
     """Unite a batch with the partitions it touches, drop duplicates, overwrite them.
 
-    Running it again with the same rows changes nothing, so a batch that is
-    replayed after a failure is harmless. Returns the dates written.
+    ``prepare`` gets the unique rows of the batch, for example to clean and enrich them. The batch is
+    evaluated once, into a table. Running it again with the same rows changes nothing, so a batch that
+    is replayed after a failure is harmless. Returns the dates written.
     """
-    return merge_rows(with_defaults(ingest(batch)), table_path)
+    rows = ingest(batch)
+    if prepare:
+        rows = prepare(written(drop_duplicates(rows, order=("id", "value")), "unique"))
+    return merge_rows(written(with_defaults(rows), "ready"), table_path)
 
 
 def merge_rows(rows: DataFrame, table_path: str) -> list:
@@ -59,17 +65,28 @@ def merge_rows(rows: DataFrame, table_path: str) -> list:
 
 
 def load_new_files(
-    spark: SparkSession, raw_path: str, table_path: str, checkpoint: str, schema: T.StructType, on_dates=None
+    spark: SparkSession,
+    raw_path: str,
+    table_path: str,
+    checkpoint: str,
+    schema: T.StructType,
+    on_dates=None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    bytes_per_batch: int | None = None,
 ) -> None:
-    """Process the files not seen before, remember them in the checkpoint, and stop.
+    """Process the files not seen before, sub-folders included, remember them in the checkpoint, and stop.
 
     A forced reprocess is the same call with a fresh checkpoint. ``on_dates`` is
-    told which dates each batch rewrote.
+    told which dates each batch rewrote, ``prepare`` works on the rows of each batch (see ``merge_batch``).
+    ``bytes_per_batch`` splits a long backlog into several batches; no file is left out.
     """
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(raw_path)
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+    if bytes_per_batch:
+        files = files.option("maxBytesPerTrigger", bytes_per_batch)
+    stream = files.parquet(raw_path)
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        dates = merge_batch(batch, table_path)
+        dates = merge_batch(batch, table_path, prepare)
         if on_dates and dates:
             on_dates(dates)
 
