@@ -105,6 +105,32 @@ def test_vectors(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_that_no_bucket_brings_together(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    hot = rnd.standard_normal(16) + rnd.standard_normal((60, 16)) * 0.01
+    pair = rnd.standard_normal(16) + rnd.standard_normal((2, 16)) * 0.01
+    rows = [(i, v.tolist(), 0) for i, v in enumerate([*hot, *pair])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    start = neighbours.start_edges
+    # The links of the pair are under a thousandth of all links.
+    monkeypatch.setattr(neighbours, "start_edges", lambda *a: start(*a).where("u < 60 and v < 60"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect()}
+    assert got == {i: (59, 0) for i in range(60)} | {60: (1, 60), 61: (1, 60)}
+
+
+def test_buckets_go_on_in_the_next_batch(spark):
+    rnd = np.random.default_rng(9)
+    # All in one bucket of each table, one row to an Arrow batch.
+    rows = [(i, 1, "16/0", ((v := np.ones(16) + rnd.standard_normal(16) * 1e-6) / np.linalg.norm(v)).tolist()) for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, copies long, space string, vec array<double>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        assert neighbours.start_edges(df, 6, 0).count() >= 9
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_language_model(spark):
     rows = brute.rows("documents")
     tokens = {r["doc_id"]: [*r["text"].encode().lower().split(), None] for r in rows}

@@ -1,9 +1,10 @@
 """Near-duplicate vectors by NN-descent: a neighbour graph, refined through neighbours of neighbours.
 
 Start: random hyperplanes deal the vectors of a label into buckets, several times over; a vector meets those next to it in a
-bucket. Each round compares the neighbours of every vector with each other and keeps the best. Edges at the threshold make
-components. A list that is full of such edges is enlarged to its whole component, in blocks, so all direct links are counted
-exactly. An audit compares a bounded set of queries with all rows and asks for another start while links are missing.
+bucket. Rounds compare the neighbours of every vector with each other and keep the best, until no new edge at the threshold
+appears. Edges at the threshold make components. A list that is full of such edges is enlarged to its whole component, in blocks,
+so all direct links are counted exactly. An audit compares queries of different components with all rows; while any of them misses
+a link, another start with longer lists follows, and after the last one an exact comparison of all components.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ THRESHOLD = 0.98
 NEIGHBOURS = 8
 TABLES = 14
 BESIDE = 3
-ROUNDS = 2
+MISSED = 2e-4  # chance that no bucket of a start has both ends of a link; tables are added as buckets get finer
 BLOCK = 512
+LARGE_BLOCK = 4096  # of the exact comparison
 AUDIT = 2048
-RECALL = 0.999
 STARTS = 4
 
 
@@ -73,7 +74,9 @@ def unit_vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> Da
 
 def start_edges(vectors: DataFrame, count: int, seed: int) -> DataFrame:
     """(u, v, cosine): each vector with those beside it in the buckets of TABLES random partitions."""
-    bits = int(np.clip(np.ceil(np.log2(max(count, 2) / 4)), 4, 24))
+    bits = int(np.clip(np.ceil(np.log2(max(count, 2) / 4)), 4, 60))
+    shared = (1 - np.arccos(THRESHOLD) / np.pi) ** bits
+    tables = max(TABLES, int(np.ceil(np.log(MISSED) / np.log1p(-shared))))
 
     def codes(batches):
         planes = {}
@@ -83,11 +86,11 @@ def start_edges(vectors: DataFrame, count: int, seed: int) -> DataFrame:
                 by_width.setdefault(n, []).append(i)
             for width, at in by_width.items():
                 if width not in planes:
-                    planes[width] = np.random.default_rng([seed, width]).standard_normal((TABLES, bits + 1, width))
+                    planes[width] = np.random.default_rng([seed, width]).standard_normal((tables, bits + 1, width))
                 own = pa.Table.from_batches([batch]).take(at).combine_chunks()
                 dots = np.einsum("tbw,nw->tnb", planes[width], matrix(own.column("vec").chunk(0)))
                 signs = (dots[:, :, :bits] > 0) @ (1 << np.arange(bits))
-                for t in range(TABLES):
+                for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([t] * len(own), pa.int32()), own.column("space").chunk(0), pa.array(signs[t]), pa.array(dots[t, :, bits]), own.column("id").chunk(0), own.column("vec").chunk(0)],
                         ["t", "space", "code", "p", "id", "vec"],
@@ -99,8 +102,13 @@ def start_edges(vectors: DataFrame, count: int, seed: int) -> DataFrame:
     ordered = dealt.repartitionByRange(parts, "t", "space", "code", "p", "id").sortWithinPartitions("t", "space", "code", "p", "id")
 
     def meet(batches):
+        tail = None  # the last rows so far also meet the first of the next batch
         for batch in batches:
-            for group in grouped([batch], 3):
+            rows = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks().to_batches()
+            if not rows:
+                continue
+            tail = rows[0].slice(max(0, len(rows[0]) - BESIDE))
+            for group in grouped(rows, 3):
                 if len(group) < 2:
                     continue
                 ids, x = group.column("id").to_numpy(), matrix(group.column("vec").chunk(0))
@@ -178,9 +186,13 @@ def links_in_components(vectors: DataFrame, members: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, f"id {kind}, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(vectors: DataFrame, counted: DataFrame) -> float:
-    """Share of all direct links of at most AUDIT queries that the graph has; queries meet all rows in one pass."""
-    queries = vectors.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(AUDIT).select("id", "space", "vec").collect()
+def audit(vectors: DataFrame, members: DataFrame, counted: DataFrame, seed: int) -> int:
+    """Number of queries of which the graph lacks direct links: one query of each of at most AUDIT components, vectors without
+    links included, so that a large component weighs no more than a pair. Queries meet all rows in one pass."""
+    named = vectors.select("id").join(members.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    chosen = named.groupBy("component").agg(F.min_by("id", F.struct(F.xxhash64("id", F.lit(seed)), "id")).alias("id"))
+    chosen = chosen.orderBy(F.xxhash64("component", F.lit(seed + 1)), "component").limit(AUDIT).select("id")
+    queries = vectors.join(chosen, "id").select("id", "space", "vec").collect()
     groups: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for space in {q.space for q in queries}:
         own = [q for q in queries if q.space == space]
@@ -200,8 +212,35 @@ def audit(vectors: DataFrame, counted: DataFrame) -> float:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums.astype(np.int64))], ["id", "true"])
 
     truth = vectors.mapInArrow(compare, f"id {kind}, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    sums = truth.join(counted, "id", "left").agg(F.sum("true"), F.sum(F.least(F.coalesce("links", F.lit(0)), "true"))).first()
-    return 1.0 if not sums[0] else sums[1] / sums[0]
+    return truth.join(counted, "id", "left").where(F.col("true") > F.coalesce("links", F.lit(0))).count()
+
+
+def links_between(vectors: DataFrame, members: DataFrame) -> DataFrame:
+    """(u, v): components with a link between them, by an exact comparison of all vectors of a space in pairs of blocks."""
+    own = vectors.join(members.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = vectors.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / LARGE_BLOCK).cast("int").alias("blocks"))
+    placed = own.join(sizes, "space").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = placed.withColumn("other", other).select(
+        "space", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "component", "vec"
+    )
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.repartition(parts, "space", "low", "high").sortWithinPartitions("space", "low", "high")
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def compare(batches):
+        for group in grouped(batches, 3):
+            component, block = group.column("component").to_numpy(), group.column("block").to_numpy()
+            x = matrix(group.column("vec").chunk(0))
+            a, b = np.flatnonzero(block == group.column("low")[0].as_py()), np.flatnonzero(block == group.column("high")[0].as_py())
+            for begin in range(0, len(a), BLOCK):
+                some = a[begin : begin + BLOCK]
+                i, j = np.nonzero((x[some] @ x[b].T >= THRESHOLD) & (component[some][:, None] != component[b][None, :]))
+                if len(i):
+                    ends = np.unique(np.sort(np.stack([component[some[i]], component[b[j]]], axis=1), axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
+
+    return rows.mapInArrow(compare, f"u {kind}, v {kind}").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -217,15 +256,21 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     for seed in range(STARTS):
         fresh = start_edges(vectors, count, seed)
         edges = written(fresh if edges is None else edges.unionByName(fresh).groupBy("u", "v").agg(F.max("cosine").alias("cosine")), "graph")
-        for _ in range(ROUNDS):
+        k, before, now = NEIGHBOURS << seed, -1, edges.where(F.col("cosine") >= THRESHOLD).count()
+        while now != before:
             # Edges below the threshold only lead the search: each vector keeps its best.
             wide = edges.where(F.col("cosine") >= THRESHOLD)
-            narrow = best(edges.where(F.col("cosine") < THRESHOLD), NEIGHBOURS).select(F.least("w", "id").alias("u"), F.greatest("w", "id").alias("v"), "cosine").distinct()
-            edges = written(refine(wide.unionByName(narrow), vectors, NEIGHBOURS), "graph")
-        members = written(components(edges.where(F.col("cosine") >= THRESHOLD)), "members")
+            narrow = best(edges.where(F.col("cosine") < THRESHOLD), k).select(F.least("w", "id").alias("u"), F.greatest("w", "id").alias("v"), "cosine").distinct()
+            edges = written(refine(wide.unionByName(narrow), vectors, k), "graph")
+            before, now = now, edges.where(F.col("cosine") >= THRESHOLD).count()
+        links = edges.where(F.col("cosine") >= THRESHOLD).select("u", "v")
+        members = written(components(links), "members")
         counted = written(links_in_components(vectors, members), "links")
-        if audit(vectors, counted) >= RECALL:
+        if not audit(vectors, members, counted, seed):
             break
+    else:
+        members = written(components(links.unionByName(links_between(vectors, members))), "members")
+        counted = written(links_in_components(vectors, members), "links")
     per_class = (
         vectors.select("id", "copies", "space")
         .join(members.withColumnRenamed("node", "id"), "id", "left")
