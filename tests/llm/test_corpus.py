@@ -164,6 +164,20 @@ def test_language_model_without_training_and_with_repeated_rows(spark):
     assert len(twice) == 8 and all(abs(r.base_score - once[r.doc_id].base_score) < 1e-9 for r in twice)
 
 
+def test_language_model_knows_pairs_of_rare_words(spark, monkeypatch):
+    rnd = random.Random(10)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(words[i : i + 10]) for i in range(0, 5000, 10)] * 2
+    mixed = [" ".join(rnd.sample(t.split(), 10)) for t in texts[:20]]
+    frame = docs(spark, texts[:20] + mixed + [f"unheard {texts[0]} w3 w3 w3", "w5 the w5", None])
+    model = katz.fit(docs(spark, texts))
+    got = {r.doc_id: r.score for r in katz.score(frame, model).collect()}
+    assert all(got[i] > got[20 + i] + 5 for i in range(20))
+    monkeypatch.setattr(katz, "KNOWN", katz.HISTORY)  # all pairs and histories are joined
+    joined = {r.doc_id: r.score for r in katz.score(frame, katz.fit(docs(spark, texts))).collect()}
+    assert joined.keys() == got.keys() and all(abs(joined[k] - got[k]) < 1e-6 for k in got)
+
+
 def test_toxicity(spark):
     data = [(i, f"this is text number {i} you idiot{'!' * (i % 3)}" if i % 3 == 0 else f"this is text number {i}", int(i % 3 == 0)) for i in range(400)]
     frame = spark.createDataFrame(data, "doc_id long, text string, toxic int")

@@ -1,14 +1,15 @@
 """Katz backoff language model over words, and scores of whole texts.
 
-Words are told apart by 64-bit hashes. Unigram counts cover all training tokens. Bigrams are counted over a history vocabulary:
-the words that make up at least 1/HISTORY of all tokens (so at most HISTORY of them), the text end, and one class for all other
-words, inside which the unigram distribution decides. Good-Turing discounts free probability, which each history hands to
-the lower order with a weight that makes its distribution sum to one exactly; words never seen share one type.
+Words are told apart by 64-bit hashes. Unigram and bigram counts cover all words and training tokens; they are written tables that
+grow with the corpus. A pair of words that was not seen backs off to the bigrams of classes: one for each word that makes up at
+least 1/HISTORY of all tokens (so at most HISTORY of them), one for the text end, and one for all other words, inside which
+the unigram distribution decides. Good-Turing discounts free probability, which each history hands to the lower order
+with a weight that makes its distribution sum to one exactly; words never seen share one type.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import bucket_of, table
-from tidemark.llm.wordhash import folded, word_hashes
+from tidemark.llm.wordhash import MIX, folded, mixed, word_hashes
 from tidemark.session import written
 
 HISTORY = 2048
-KNOWN = 1 << 18  # words whose counts go to the tasks: at most so many, each over 1/KNOWN of all tokens
+KNOWN = 1 << 18  # words and pairs whose figures go to the tasks: at most so many, each over 1/KNOWN of all tokens; others are joined
 DISCOUNTED = 5  # counts up to this are discounted
 HELD = 4_000_000
 END = np.uint64(0xE0D)  # hash of the end token
+START = np.uint64(0x57A)  # history of the first token
 HISTORIES = 64  # partitions of the bigram table
 
 
@@ -53,6 +55,41 @@ def summed(docs: DataFrame, text_col: str, of) -> DataFrame:
     return docs.select(text_col).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def pairs_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's history and the token."""
+    return np.concatenate([np.array([START], dtype=np.uint64), tokens[:-1]]), tokens
+
+
+def distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(len(first), 1), bool), (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
+    return first[at], second[at], np.diff(np.append(at, len(first)))
+
+
+def summed_pairs(docs: DataFrame, text_col: str) -> DataFrame:
+    """(history, word, n): all bigrams of all texts, counted as in ``summed``."""
+
+    def count(batches):
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(pairs_of(text_tokens(text.as_py())))
+                size += len(held[-1][1])
+                if size >= HELD:
+                    yield out(held)
+                    held, size = [], 0
+        if held:
+            yield out(held)
+
+    def out(held):
+        history, word, n = distinct_pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(history.view(np.int64)), pa.array(word.view(np.int64)), pa.array(n)], ["history", "word", "n"])
+
+    found = docs.select(text_col).mapInArrow(count, "history long, word long, n long")
+    return found.groupBy("history", "word").agg(F.sum("n").alias("n"))
+
+
 def good_turing(counts_of_counts: dict[int, int]) -> np.ndarray:
     """Katz's discount ratios of the counts 1..DISCOUNTED; 1 where the counts of counts give none in (0, 1)."""
     k, n1 = DISCOUNTED, counts_of_counts.get(1, 0)
@@ -88,6 +125,10 @@ class Model:
     seen: np.ndarray  # their log10 probabilities
     backoff: np.ndarray  # log10 weight of each history
     lower: np.ndarray  # log10 unigram probability of each class
+    pairs: DataFrame | None = None  # (history, word, n, bonus): log10 of what a seen pair has over its backoff
+    weights: DataFrame | None = None  # (history, total, weight): log10 of the backoff weight
+    top_pairs: tuple[np.ndarray, ...] = ()  # code, history, word, bonus of the frequent pairs, by code
+    top_weights: tuple[np.ndarray, ...] = ()  # history and weight of the frequent ones
 
     def one(self, n: np.ndarray) -> np.ndarray:
         """Unigram probability of words with these training counts."""
@@ -121,12 +162,19 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     width = np.uint64(other + 2)
 
     history, all_keys = model.history, model.keys
+    pairs = written(summed_pairs(docs, text_col), "pairs")
 
-    def codes(tokens: np.ndarray) -> np.ndarray:
-        own = class_of(tokens, all_keys, history, other)
-        return np.concatenate([np.array([other + 1], dtype=np.uint64), own[:-1]]) * width + own
-
-    table_ = summed(docs, text_col, codes).withColumn("history", F.expr(f"key div {int(width)}"))
+    def codes(batches):
+        for batch in batches:
+            own = [batch.column(c).to_numpy().view(np.uint64) for c in range(2)]
+            key = history_class(own[0], all_keys, history, other) * width + class_of(own[1], all_keys, history, other)
+            key, at = np.unique(key, return_inverse=True)
+            n = np.zeros(len(key), dtype=np.int64)
+            np.add.at(n, at, batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    table_ = pairs.mapInArrow(codes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    table_ = table_.withColumn("history", F.expr(f"key div {int(width)}"))
     bigrams = written(table_.repartition(HISTORIES, "history").sortWithinPartitions("key"), "bigrams")
     d = good_turing(counts_of_counts(bigrams))
     rows = bigrams.select("key", "n").toPandas()  # at most (HISTORY + 2) squared
@@ -151,9 +199,64 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         model.lower = np.log10(lower)
         model.seen = np.log10(seen)
     model.bigram = code.astype(np.uint64)
+    weigh_pairs(model, pairs)
     return model
 
 
+def share_of_count(model: Model, n):
+    """Unigram probability as a column, as in ``Model.one``."""
+    if not model.tokens:
+        return F.lit(1.0)
+    small = F.array(*[F.lit(float(x)) for x in model.discount])
+    ratio = F.when(n <= DISCOUNTED, F.element_at(small, (F.least(n, F.lit(DISCOUNTED)) + 1).cast("int"))).otherwise(1.0)
+    return F.when(n > 0, n * ratio * (model.scale / model.tokens)).otherwise(F.lit(model.unseen))
+
+
+def weigh_pairs(model: Model, pairs: DataFrame) -> None:
+    """Discounts of the pairs and the weight of each history; the tables are written, the frequent parts come to the driver."""
+    bare, other = replace(model, unigrams=None), len(model.lower) - 1
+    own = model.one(model.counts)
+
+    def grade(batches):
+        """``lower``: probability by classes; of words that tasks do not know, still without the unigram one."""
+        for batch in batches:
+            h, w = (batch.column(c).to_numpy().view(np.uint64) for c in range(2))
+            at, known = places(bare.keys, w)
+            classes = np.where(known, bare.history[at], other).astype(np.uint64)
+            lower = log_pair(bare, history_class(h, bare.keys, bare.history, other), classes)
+            inside = classes == other
+            lower = 10.0 ** (lower - np.where(inside, bare.lower[other], 0.0)) * np.where(inside & known, own[at], 1.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lower), pa.array(known)], ["history", "word", "n", "lower", "known"])
+
+    graded = pairs.mapInArrow(grade, "history long, word long, n long, lower double, known boolean")
+    rare = graded.where("not known").join(model.unigrams.select(F.col("key").alias("word"), F.col("n").alias("own")), "word")
+    rare = rare.select("history", "word", "n", (F.col("lower") * share_of_count(model, F.col("own"))).alias("lower"))
+    graded = written(graded.where("known").drop("known").unionByName(rare), "graded")
+    small = F.array(*[F.lit(float(x)) for x in good_turing(counts_of_counts(pairs))])
+    kept = F.col("n") * F.when(F.col("n") <= DISCOUNTED, F.element_at(small, (F.least("n", F.lit(DISCOUNTED)) + 1).cast("int"))).otherwise(1.0)
+    sums = graded.groupBy("history").agg(F.sum("n").alias("total"), F.sum(kept).alias("kept"), F.sum("lower").alias("covered"))
+    given, full = F.col("kept") / F.col("total"), F.col("covered") > 1 - 1e-12
+    # A history without discounted counts still owes something to words that it was not seen with; one seen with all owes nothing.
+    part = F.when(full, 1.0).when(given > 1 - 1e-6, 1 - 1 / (F.col("total") + 1)).otherwise(given)
+    weight = F.when(full, 1e-300).otherwise(F.greatest((1 - part) / (1 - F.col("covered")), F.lit(1e-300)))
+    weights = written(sums.select("history", "total", (part / F.col("kept")).alias("unit"), F.log10(weight).alias("weight")), "weights")
+    bonus = F.log10(kept * F.col("unit")) - F.log10(F.greatest("lower", F.lit(1e-300))) - F.col("weight")
+    model.pairs = written(graded.join(weights, "history").select("history", "word", "n", bonus.alias("bonus")), "pairs")
+    model.weights = weights.drop("unit")
+    top = model.pairs.where(F.col("n") * KNOWN >= model.tokens).toPandas()
+    h, w = (top[c].to_numpy(np.int64).view(np.uint64) for c in ("history", "word"))
+    order = np.argsort(pair_code(h, w))
+    model.top_pairs = pair_code(h, w)[order], h[order], w[order], top["bonus"].to_numpy(float)[order]
+    top = model.weights.where(F.col("total") * KNOWN >= model.tokens).toPandas()
+    h = top["history"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    model.top_weights = h[order], top["weight"].to_numpy(float)[order]
+
+
+def pair_code(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(h * MIX ^ w)
+
+
 def places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
@@ -165,11 +268,18 @@ def class_of(tokens: np.ndarray, keys: np.ndarray, history: np.ndarray, other: i
     return np.where(known, history[at], other).astype(np.uint64)
 
 
+def history_class(tokens: np.ndarray, keys: np.ndarray, history: np.ndarray, other: int) -> np.ndarray:
+    return np.where(tokens == START, np.uint64(other + 1), class_of(tokens, keys, history, other))
+
+
 def log_class(model: Model, classes: np.ndarray) -> np.ndarray:
     """log10 of the probability of each class after the one before it: the bigram if seen, else backoff times unigram."""
     other = len(model.lower) - 1
-    before = np.concatenate([np.array([other + 1], dtype=np.uint64), classes[:-1]])
-    at, known = places(model.bigram, before * np.uint64(other + 2) + classes)
+    return log_pair(model, np.concatenate([np.array([other + 1], dtype=np.uint64), classes[:-1]]), classes)
+
+
+def log_pair(model: Model, before: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    at, known = places(model.bigram, before * np.uint64(len(model.lower) + 1) + classes)
     lower = model.backoff[before.astype(np.int64)] + model.lower[classes.astype(np.int64)]
     return np.where(known, model.seen[at], lower)
 
@@ -177,11 +287,12 @@ def log_class(model: Model, classes: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; log10 probabilities.
 
-    Null counts as the empty text, which is one end token. Counts of words too rare for the tasks' table are joined to their
-    occurrences. Repeated rows give repeated results. Without training texts both scores are 0.
+    Null counts as the empty text, which is one end token. Figures of words, histories and pairs too rare for the tasks' tables are
+    joined to their occurrences. Repeated rows give repeated results. Without training texts both scores are 0.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    unigrams, model.unigrams = model.unigrams, None
+    unigrams, pairs, weights = model.unigrams, model.pairs, model.weights
+    model = replace(model, unigrams=None, pairs=None, weights=None)
     log_count = np.log10(model.counts + 0.5)
     other, log_own = len(model.lower) - 1, np.log10(np.maximum(model.one(model.counts), 1e-300))
     norm = float(np.log10(model.tokens + 0.5 * (model.types + 1)))
@@ -190,6 +301,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             marks, sums = [], []
             rare, owner, times = [], [], []
+            met, left = [], []
             for i, text in enumerate(batch.column(1)):
                 own = text_tokens(text.as_py())
                 at, known = places(model.keys, own)
@@ -200,6 +312,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     total = float(log_class(model, classes).sum())
                     inside = classes == other
                     total += float(log_own[at[known & inside]].sum()) - float(model.lower[other]) * int(inside.sum())
+                    h, w, n = distinct_pairs(*pairs_of(own))
+                    code, top_h, top_w, bonus = model.top_pairs
+                    at, there = places(code, pair_code(h, w))
+                    there[there] = (top_h[at[there]] == h[there]) & (top_w[at[there]] == w[there])
+                    total += float((bonus[at[there]] * n[there]).sum())
+                    met.append((h[~there], w[~there], n[~there], np.full(int((~there).sum()), i)))
+                    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                    h, n = h[first], np.add.reduceat(n, first)
+                    at, there = places(model.top_weights[0], h)
+                    total += float((model.top_weights[1][at[there]] * n[there]).sum())
+                    left.append((h[~there], n[~there], np.full(int((~there).sum()), i)))
+                    at, known = places(model.keys, own)
                 words, n = np.unique(own[~known], return_counts=True)
                 rare.append(words)
                 times.append(n)
@@ -212,36 +336,49 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             cells = list(zip(*sums, strict=True))
             numbers = [pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
             mark = pa.array(marks, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), mark, *numbers, none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), mark, *numbers, none, none, none, none], names)
             word, who, n = (np.concatenate(c) for c in (rare, owner, times))
-            if len(word):
-                who = pa.array(who)
-                empty = [pa.nulls(len(word), x.type) for x in numbers]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), mark.take(who), *empty, pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names)
-
-    names = ["doc_id", "mark", "n_tokens", "n_known", "base", "total", "key", "times"]
-    shape = f"doc_id {kind}, mark long, n_tokens long, n_known long, base double, total double, key long, times long"
+            yield from joined(batch, mark, numbers, who, n, key=word)
+            if met:
+                h, w, n, who = (np.concatenate(c) for c in zip(*met, strict=True))
+                yield from joined(batch, mark, numbers, who, n, history=h, word=w)
+                h, n, who = (np.concatenate(c) for c in zip(*left, strict=True))
+                yield from joined(batch, mark, numbers, who, n, history=h)
+
+    def joined(batch, mark, numbers, who, n, **keys):
+        """Rows whose figures are joined to the texts."""
+        if len(who):
+            who = pa.array(who)
+            empty = [pa.nulls(len(who), x.type) for x in numbers]
+            own = [pa.array(keys[k].view(np.int64)) if k in keys else pa.nulls(len(who), pa.int64()) for k in ("key", "history", "word")]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), mark.take(who), *empty, own[0], pa.array(n.astype(np.int64)), *own[1:]], names)
+
+    names = ["doc_id", "mark", "n_tokens", "n_known", "base", "total", "key", "times", "history", "word"]
+    shape = f"doc_id {kind}, mark long, n_tokens long, n_known long, base double, total double, key long, times long, history long, word long"
     parts = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, shape), "scores")
-    rows = parts.where("key is null").drop("key", "times")
+    rows = parts.where("times is null").drop("key", "times", "history", "word")
     found = parts.where("key is not null").select("doc_id", "mark", "key", "times").join(unigrams, "key", "left")
     n = F.coalesce("n", F.lit(0))
-    small = F.array(*[F.lit(float(x)) for x in model.discount])
-    if model.tokens:
-        ratio = F.when(n <= DISCOUNTED, F.element_at(small, (F.least(n, F.lit(DISCOUNTED)) + 1).cast("int"))).otherwise(1.0)
-        share = F.when(n > 0, n * ratio * (model.scale / model.tokens)).otherwise(F.lit(model.unseen))
-    else:
-        share = F.lit(1.0)
-    sums = found.groupBy("doc_id", "mark").agg(
-        F.sum(F.col("times") * F.log10(n + 0.5)).alias("more_base"),
-        F.sum(F.col("times") * F.log10(share)).alias("more_total"),
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"),
+    more = found.select(
+        "doc_id",
+        "mark",
+        (F.col("times") * F.log10(n + 0.5)).alias("base"),
+        (F.col("times") * F.log10(share_of_count(model, n))).alias("total"),
+        F.when(n > 0, F.col("times")).otherwise(0).alias("known"),
+    )
+    if pairs is not None:
+        gain = lambda c: ("doc_id", "mark", F.lit(0.0).alias("base"), (F.col("times") * F.col(c)).alias("total"), F.lit(0).cast("long").alias("known"))
+        asked = parts.where("history is not null").select("doc_id", "mark", "history", "word", "times")
+        more = more.unionByName(asked.where("word is not null").join(pairs.drop("n"), ["history", "word"]).select(*gain("bonus")))
+        more = more.unionByName(asked.where("word is null").drop("word").join(weights.drop("total"), "history").select(*gain("weight")))
+    sums = more.groupBy("doc_id", "mark").agg(
+        F.sum("base").alias("more_base"), F.sum("total").alias("more_total"), F.sum("known").alias("more_known")
     )
     # Rows with one id and text brought their rare words several times.
     copies = rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     keyed = rows.join(sums.withColumnsRenamed({"doc_id": "d", "mark": "m"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").drop("d", "m")
     keyed = keyed.join(copies.withColumnsRenamed({"doc_id": "d", "mark": "m"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
     share_of = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.coalesce("copies", F.lit(1))
-    model.unigrams = unigrams
     return keyed.select(
         "doc_id",
         "n_tokens",
