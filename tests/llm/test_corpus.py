@@ -85,6 +85,33 @@ def test_interval_tree_finds_maximal_repeats():
     assert found == {(123, 2), (110, 3)}
 
 
+def test_maximal_repeats_equal_brute_force(spark):
+    rnd = random.Random(11)
+    one, two = ("".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (1000, 260))
+    texts = [one, one, "x" + one[200:700] + "y" + two, two + one[:300], two + two, "q" * 130, None, "short"]
+    data = [(t or "").encode() for t in texts]
+    places = {}
+    for d, t in enumerate(data):
+        for i in range(len(t) - 99):
+            places.setdefault(t[i : i + 100], []).append((d, i))
+    want = set()
+    for own in places.values():
+        for x, (d, i) in enumerate(own):
+            for e, j in own[:x]:
+                if i and j and data[d][i - 1] == data[e][j - 1]:
+                    continue
+                n = 100
+                while i + n < len(data[d]) and j + n < len(data[e]) and data[d][i + n] == data[e][j + n]:
+                    n += 1
+                word = data[d][i : i + n]
+                want.add((n, frozenset(p for p in own if data[p[0]][p[1] : p[1] + n] == word)))
+    groups = {}
+    for r in suffixes.maximal_repeats(docs(spark, texts)).collect():
+        groups.setdefault((r.anchor, r.repeat, r.length), []).append((r.doc_id, r.at))
+    assert all(len(v) == len(set(v)) for v in groups.values())
+    assert sorted((k[2], sorted(v)) for k, v in groups.items()) == sorted((n, sorted(v)) for n, v in want)
+
+
 def test_vectors(spark):
     rnd = np.random.default_rng(6)
     base = rnd.standard_normal((40, 16))

@@ -139,6 +139,31 @@ def suffix_index(contexts: list[bytes], windows: np.ndarray) -> Index:
     return Index(order, np.concatenate([[0], common]), before)
 
 
+def full_index(contexts: list[bytes], windows: np.ndarray, left: np.ndarray) -> Index:
+    """The same for contexts of any length, by prefix doubling up to their ends. ``left``: byte before each context (-1: none)."""
+    sizes = np.array([len(c) for c in contexts])
+    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    end, place = np.repeat(starts + sizes, sizes), np.arange(len(data))
+    ranks, width = [data.astype(np.uint64)], 1
+    while width < sizes.max():
+        inside = place + width < end
+        after = np.where(inside, ranks[-1][np.where(inside, place + width, 0)] + np.uint64(1), np.uint64(0))
+        ranks.append(np.unique(ranks[-1] << np.uint64(32) | after, return_inverse=True)[1].astype(np.uint64))
+        width *= 2
+    first = np.repeat(starts, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    order = np.argsort(ranks[-1][first], kind="stable")
+    a, b = first[order][:-1], first[order][1:]
+    room = np.minimum(end[a] - a, end[b] - b)
+    common = np.zeros(len(a), dtype=np.int64)
+    for level in range(len(ranks) - 1, -1, -1):
+        fits = np.flatnonzero(common < room)
+        same = ranks[level][(a + common)[fits]] == ranks[level][(b + common)[fits]]
+        common[fits[same]] += 1 << level
+    before = np.where(np.isin(first, starts), np.repeat(left, windows), data[first - 1].astype(np.int64))
+    return Index(order, np.concatenate([[0], np.minimum(common, room)]), before)
+
+
 def later_windows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, window, n): runs of windows of the rows' contexts that an earlier context, or an earlier place in it, has too.
 
@@ -316,14 +341,39 @@ def repeats_by_hash(found: DataFrame) -> DataFrame:
     return met.select("doc_id", "at", F.lit(1).alias("n"))
 
 
+def stretches(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """(anchor, doc_id, at, n, context, left): the bytes from each run to the end of the runs that adjoin it, and the byte before."""
+    lists = edges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", "anchor"))).alias("runs"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches):
+        for batch in batches:
+            for doc, text, own in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                data, own, stop = text.as_py().encode("utf-8", "replace"), own.as_py(), None
+                for r, following in zip(reversed(own), [None, *reversed(own[1:])], strict=True):
+                    end = r["at"] + r["n"]
+                    stop = stop if following and following["at"] == end else end
+                    left = data[r["at"] - 1] if r["at"] else -1
+                    cells = [[r["anchor"]], [doc.as_py()], [r["at"]], [r["n"]], [data[r["at"] : stop + LENGTH - 1]], [left]]
+                    kinds = [pa.int64(), batch.column(0).type, pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], ["anchor", "doc_id", "at", "n", "context", "left"])
+
+    rows = docs.join(lists, "doc_id").select("doc_id", "text", "runs")
+    return rows.mapInArrow(cut, f"anchor long, doc_id {kind}, at long, n int, context binary, left int")
+
+
 def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(anchor, repeat, length, doc_id, at): maximal repeats around each shared anchor, with all their occurrences among runs that
-    differ; equal runs are represented by the earliest. ``length`` counts bytes inside the runs' contexts."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    edges = written(repeated_runs(anchor_runs(docs)), "runs").where("not later").drop("later")
+    """(anchor, repeat, length, doc_id, at): all maximal repeats of LENGTH bytes and more, each with all its occurrences.
+
+    ``anchor`` and ``repeat`` together name a repeat. Rows that repeat an id and text are the same document. Each run brings
+    the bytes up to the end of its repeated stretch, so the work grows with the square of a stretch's length.
+    """
+    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
+    found = written(anchor_runs(docs).select("anchor", "doc_id", "at", "n"), "runs")
+    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1")
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = contexts(edges, docs).repartition(parts, "anchor").sortWithinPartitions("anchor")
+    rows = stretches(found.join(shared, "anchor", "left_semi"), docs).repartition(parts, "anchor").sortWithinPartitions("anchor")
 
     def search(batches):
         for own in chunks(batches):
@@ -331,7 +381,8 @@ def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             owner = np.repeat(np.arange(len(n)), n)
             window = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             anchor, doc, at = own.column("anchor").to_numpy(), own.column("doc_id"), own.column("at").to_numpy()
-            for k, (length, places) in enumerate(suffix_index([c.as_py() for c in own.column("context")], n).maximal()):
+            index = full_index([c.as_py() for c in own.column("context")], n, own.column("left").to_numpy())
+            for k, (length, places) in enumerate(index.maximal()):
                 who = owner[places]
                 docs_ = doc.take(pa.array(who)).to_pylist()
                 m = len(who)
