@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.operators import anomaly, cleaning
 from tidemark.operators import timeseries as TS
 from tidemark.plans import adapters, batch, reports
-from tidemark.schema import RAW_PARQUET
 from tidemark.sources import readers as R
 from tidemark.sources import writers as K
 from tidemark.streaming import incremental
@@ -127,18 +126,16 @@ def test_landing_folder_with_all_kinds_of_files(spark, tmp_path):
     (raw / "notes.txt").write_text("not data")
     adapters.land_parquet(readings(spark, SAMPLE).coalesce(1), str(raw / "p"))
     (raw / "bad.parquet").write_bytes(b"this is not parquet")
-    with pytest.raises(Exception):
-        R.read_landing(spark, str(raw)).count()
-    landed = R.read_landing(spark, str(raw), skip_bad_files=True)
+    with pytest.raises(ValueError, match="bad.parquet"):
+        R.read_landing(spark, str(raw), skip_bad_files=False)
+    landed = R.read_landing(spark, str(raw))
     good = R.ingest(landed)
     assert good.count() == 6
     assert {(r.value, r.field) for r in good.where("source_file LIKE '%json'").collect()} == {(25.5, "f9"), (7.0, "f9")}
     counts = R.ingest_summary(landed).first()
-    assert (counts.processed, counts.skipped, counts.errors, counts.files) == (6, 2, 1, 3)
+    assert (counts.processed, counts.skipped, counts.errors, counts.files) == (6, 2, 2, 3)
     unread = [r.source_file for r in R.unread_files(spark, str(raw), landed).collect()]
     assert len(unread) == 1 and unread[0].endswith("bad.parquet")
-    with pytest.raises(Exception):
-        R.read_raw_parquet(spark, str(raw)).count()
 
 
 def test_files_are_chosen_by_time(spark, tmp_path):
@@ -271,16 +268,17 @@ def test_incremental_load_equals_batch(spark, tmp_path):
     touched = []
     for d in (1, 2):
         adapters.land_parquet(day[d], raw)
-    incremental.load_new_files(spark, raw, table, seen, RAW_PARQUET, touched.append)
+    load = dict(fill="keep", profile=None)
+    batch.run_incremental(spark, raw, table, seen, **load, on_dates=touched.append)
     assert R.read_readings(spark, table).count() == 240
     incremental.refresh_daily_averages(spark, table, out, sorted({x for t in touched for x in t}))
     # The third file brings one late row of day 2 and a copy of day 1.
     late = readings(spark, [("S9", "2025-07-02T23:59:00", "t", 7.0)]).withColumn("id", F.lit(9999))
     adapters.land_parquet(day[3].union(late).union(day[1].withColumn("id", F.col("id") + 50000)), raw)
     touched.clear()
-    incremental.load_new_files(spark, raw, table, seen, RAW_PARQUET, touched.append)
+    batch.run_incremental(spark, raw, table, seen, **load, on_dates=touched.append)
     assert R.read_readings(spark, table).count() == 361
-    incremental.load_new_files(spark, raw, table, seen, RAW_PARQUET)
+    batch.run_incremental(spark, raw, table, seen, **load)
     assert R.read_readings(spark, table).count() == 361
     incremental.refresh_daily_averages(spark, table, out, sorted({x for t in touched for x in t}))
     want = TS.rolling_average(cleaning.drop_duplicates(day[1].union(day[2]).union(day[3]).union(late)))
@@ -288,7 +286,7 @@ def test_incremental_load_equals_batch(spark, tmp_path):
     got = {key(r): round(r.rolling_avg, 9) for r in spark.read.parquet(out).collect()}
     assert got == {key(r): round(r.rolling_avg, 9) for r in want.collect()}
     # A forced reprocess is a fresh checkpoint: the table stays as it is.
-    incremental.load_new_files(spark, raw, table, str(tmp_path / "again"), RAW_PARQUET)
+    batch.run_incremental(spark, raw, table, str(tmp_path / "again"), **load)
     assert sorted(r.id for r in R.read_readings(spark, table).collect())[:3] == [1001, 1002, 1003]
     assert R.read_readings(spark, table).count() == 361
 
@@ -298,7 +296,7 @@ def test_incremental_run_cleans_and_enriches_sub_folders(spark, tmp_path):
     rows = readings(spark, [("S1", "2025-07-01T01:00:00", "temperature", 20.0), ("S1", "2025-07-01T02:00:00", "temperature", 900.0), ("S1", "2025-07-01T03:00:00", "temperature", None)])
     adapters.land_parquet(rows, raw)
     adapters.land_parquet(rows.withColumn("timestamp", F.col("timestamp") + F.expr("interval 1 day")), raw + "/july/more")
-    batch.run_incremental(spark, raw, table, str(tmp_path / "seen"), RAW_PARQUET, bytes_per_batch=1)
+    batch.run_incremental(spark, raw, table, str(tmp_path / "seen"), bytes_per_batch=1)
     stored = R.read_readings(spark, table)
     assert stored.count() == 4 and stored.where("calibrated_value is null").count() == 0
     assert [r.value for r in stored.where("anomalous_reading").collect()] == [900.0, 900.0]

@@ -101,6 +101,39 @@ def land_json(df: DataFrame, path: str, rows_per_file: int = 1000) -> str:
     return path
 
 
+def land_odd_json(df: DataFrame, path: str, rows_per_file: int = 1000) -> str:
+    """JSON arrays in which every tenth id, location, latitude or battery level is not of its usual type, and one cut file.
+
+    Ids ending in 3 are words, in 5 the location is a text, in 7 the latitude is a text, in 9 the battery level has a fraction.
+    """
+    rows = nested(df).withColumn("timestamp", iso_micros("timestamp"))
+    last, text = F.col("id") % 10, F.col("text")
+    odd = (
+        F.when(last == 3, F.regexp_replace(text, '"id":([0-9]+)', '"id":"x$1"'))
+        .when(last == 5, F.regexp_replace(text, '"location":[{][^}]*[}]', '"location":"field_1"'))
+        .when(last == 7, F.regexp_replace(text, '"latitude":([0-9.]+)', '"latitude":"$1"'))
+        .when(last == 9, F.regexp_replace(text, '"battery_level":([0-9]+)', '"battery_level":$1.4'))
+        .otherwise(text)
+    )
+    records = rows.select("id", F.to_json(F.struct(*rows.columns)).alias("text")).select("id", odd.alias("text"))
+    part = F.floor(F.col("id") / rows_per_file)
+    arrays = records.groupBy(part.alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("text"), ","), F.lit("]")).alias("value"))
+    cut = arrays.agg(F.min("value").alias("value")).select(F.expr("left(value, length(value) - 1)").alias("value"))
+    both = arrays.select("value").unionByName(cut)
+    both.write.mode("append").option("maxRecordsPerFile", 1).text(f"{path}/text")
+    return path
+
+
+def land_odd_parquet(df: DataFrame, path: str) -> str:
+    """Parquet folders that store battery level, value and time as other types, by the last digit of the id."""
+    rows = nested(df)
+    kinds = [{"battery_level": "double"}, {"battery_level": "bigint", "id": "int"}, {"value": "string"}, {"timestamp": "string", "battery_level": "string"}]
+    for k, changes in enumerate(kinds):
+        own = rows.where(F.pmod(F.col("id"), F.lit(len(kinds))) == k)
+        own.withColumns({c: F.col(c).cast(t) for c, t in changes.items()}).write.mode("append").parquet(f"{path}/kind{k}")
+    return path
+
+
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as readings of one sensor per supplier, for volume runs."""
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,23 +10,17 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.scalar import is_blank
 from ..functions.validity import split_valid, timestamp_parses, validity
-from ..operators import anomaly, cleaning
+from ..operators import cleaning
 from ..operators.aggregates import validation_counters
-from ..operators.lookup import with_rules
 from ..session import written
-from ..sources.readers import ingest, ingest_summary, read_landing, typed
-from ..sources.writers import append_readings, with_defaults
-from ..streaming.incremental import load_new_files, merge_rows
+from ..sources.landing import CORRUPT, short_files
+from ..sources.readers import ingest_summary, read_landing, typed
+from ..sources.writers import append_readings
+from ..streaming.incremental import load_new_files
+from .load import calibrate, merge_load, state_home
+from .runs import Run
 
-
-def calibrate(df: DataFrame, profile: str = "config") -> DataFrame:
-    """Add ``calibrated_value`` by one of the two named profiles."""
-    if profile == "code":
-        return df.withColumn("calibrated_value", S.calibrate_by_code())
-    if profile == "config":
-        out = with_rules(df).withColumn("calibrated_value", S.calibrate_linear())
-        return out.drop("multiplier", "offset", "min_value", "max_value")
-    raise ValueError(f"Unknown calibration profile: {profile}")
+__all__ = ["calibrate", "clean", "load_files", "process_and_store", "process_records", "processing_report", "run_batch", "run_incremental"]
 
 
 def transform_records(df: DataFrame) -> DataFrame:
@@ -81,24 +75,63 @@ def clean(df: DataFrame, fill: str = "drop") -> DataFrame:
     raise ValueError(f"Unknown fill policy: {fill}")
 
 
-def fill_and_enrich(unique: DataFrame, fill: str = "drop", profile: str = "config") -> DataFrame:
-    """The steps behind duplicate removal, for batch and incremental runs alike. ``unique`` is read twice."""
-    filled = cleaning.drop_missing(unique) if fill == "drop" else cleaning.forward_fill(unique)
-    return enrich(filled, profile)
+def load_files(
+    spark: SparkSession,
+    path: str | list[str],
+    table_path: str,
+    run: Run,
+    fill: str = "drop",
+    profile: str | None = "config",
+    keep: str = "smallest_id",
+    start=None,
+    end=None,
+    json_glob: str | None = None,
+) -> dict:
+    """Landing files (a folder or a list) into the table, with counters of every stage; see ``merge_load``.
+
+    The files are parsed once: rows, counters and the choice of copies all come from that written frame.
+    """
+    with run.stage("ingestion") as seen:
+        raw = read_landing(spark, path, start, end, json_glob=json_glob)
+        verdicts = {"_ok": validity(raw, "ingest") & F.col(CORRUPT).isNull(), "_basic": validity(raw, "basic")}
+        parsed = written(raw.withColumns(verdicts), "parsed")
+        counts = ingest_summary(parsed, F.count_if("_basic").alias("valid")).first()
+        total = counts["processed"] + counts["skipped"] + counts["errors"]
+        seen |= {
+            "files_processed": counts["files"],
+            "records_read": total,
+            "records_ingested": counts["processed"],
+            "records_skipped": counts["skipped"],
+            "records_broken": counts["errors"],
+            "invalid_records": total - counts["valid"],
+            "files_cut_short": short_files(spark, path, parsed, start, end).count(),
+        }
+    with run.stage("cleaning") as seen:
+        good = parsed.where("_ok").drop("_ok", "_basic", CORRUPT)
+        keys = good.select(*cleaning.DEDUP_KEY).distinct().count()
+        seen |= {"duplicates_removed": counts["processed"] - keys, "records_transformed": keys}
+    with run.stage("storage") as seen:
+        stored = merge_load(good.drop("source_file"), table_path, fill, profile, keep)
+        seen |= {"records_stored": stored["rows"], "outliers_detected": stored["outliers"], "dates_written": len(stored["dates"])}
+    run.save()
+    return stored
 
 
 def run_incremental(
-    spark: SparkSession, raw_path: str, table_path: str, checkpoint: str, schema, fill: str = "drop", profile: str = "config", **options
-) -> None:
-    """``run_batch`` for the files that the checkpoint has not seen; z-scores are those of each batch."""
-    load_new_files(spark, raw_path, table_path, checkpoint, schema, prepare=lambda rows: fill_and_enrich(rows, fill, profile), **options)
+    spark: SparkSession, raw_path: str, table_path: str, checkpoint: str, fill: str = "drop", profile: str | None = "config",
+    keep: str = "smallest_id", json_glob: str | None = None, on_dates=None, bytes_per_batch: int | None = None,
+) -> None:
+    """``run_batch`` for the JSON and Parquet files that the checkpoint has not seen, sub-folders included.
 
+    The table is then what one batch run over all files would give. Each micro-batch is a run in the run table.
+    """
+
+    def load(paths: list[str], name: str) -> None:
+        stored = load_files(spark, paths, table_path, Run(spark, state_home(table_path), name), fill, profile, keep, json_glob=json_glob)
+        if on_dates and stored["dates"]:
+            on_dates(stored["dates"])
 
-def enrich(df: DataFrame, profile: str = "config") -> DataFrame:
-    """Calibrated value, quality score and the range and z-score flags of cleaned rows."""
-    scored = calibrate(df, profile).withColumn("quality_score", S.quality_score())
-    flagged = anomaly.with_range_flag(anomaly.with_zscore(scored))
-    return flagged.withColumn("anomalous_reading", F.col("is_range") | F.col("is_statistical"))
+    load_new_files(spark, raw_path, checkpoint, load, json_glob, bytes_per_batch)
 
 
 def run_batch(
@@ -106,52 +139,29 @@ def run_batch(
     raw_path: str,
     table_path: str,
     fill: str = "drop",
-    profile: str = "config",
+    profile: str | None = "config",
     start=None,
     end=None,
     json_glob: str | None = None,
+    keep: str = "smallest_id",
 ) -> dict:
     """Folder in, partitioned table out: ingest, clean, enrich, validate and merge into the table.
 
-    Dates without new rows stay as they are. Of equal keys the smallest id stays, of equal ids the newest load.
-
-    The unique rows are written once and shared by the steps behind them (fill,
-    group statistics, final write), so the landing files are shuffled once (and parsed twice, for counters and rows).
-    Counters are aggregates or observed on the final write; times are the driver's clock.
+    Dates without new rows stay as they are, but for anomaly flags and filled values that the new rows change. Of equal keys the
+    smallest id stays (of equal ids the newest load), or with ``keep="newest"`` the newest load. Counters come from the one
+    parsed frame or are observed on the final write; times are the driver's clock.
     """
-    clock = [time.monotonic()]
-    raw = read_landing(spark, raw_path, start, end, json_glob=json_glob)
-    counts = ingest_summary(raw, F.count_if(validity(raw, "basic")).alias("valid")).first()
-    clock.append(time.monotonic())
-    # Raw rows may come without an id: then file name and value decide which copy stays.
-    first = cleaning.drop_duplicates(ingest(raw), order=("id", "source_file", "value"))
-    unique = written(first.drop("source_file"), "unique")
-    n_unique = unique.count()
-    clock.append(time.monotonic())
-    enriched = with_defaults(fill_and_enrich(unique, fill, profile))
-    # Written first: the merge reads it twice, and replaces only the dates that it touches.
-    ready = written(enriched, "ready")
-    merge_rows(ready, table_path)
-    stored = ready.agg(F.count(F.lit(1)).alias("rows"), F.count_if("anomalous_reading").alias("outliers")).first()
-    clock.append(time.monotonic())
-    total = counts["processed"] + counts["skipped"] + counts["errors"]
-    seconds = clock[-1] - clock[0]
+    run = Run(spark, state_home(table_path), f"batch-{uuid.uuid4().hex}")
+    load_files(spark, raw_path, table_path, run, fill, profile, keep, start, end, json_glob)
+    metrics = {metric: value if metric == "seconds" else int(value) for _, metric, value, _ in run.rows}
+    seconds = sum(run.seconds(stage) for stage in ("ingestion", "cleaning", "storage"))
     return {
-        "files_processed": counts["files"],
-        "records_read": total,
-        "records_ingested": counts["processed"],
-        "records_skipped": counts["skipped"],
-        "records_broken": counts["errors"],
-        "invalid_records": total - counts["valid"],
-        "duplicates_removed": counts["processed"] - n_unique,
-        "records_transformed": n_unique,
-        "records_stored": stored["rows"],
-        "outliers_detected": stored["outliers"],
-        "validation_seconds": clock[1] - clock[0],
-        "cleaning_seconds": clock[2] - clock[1],
-        "storage_seconds": clock[3] - clock[2],
+        **{k: v for k, v in metrics.items() if k != "seconds"},
+        "validation_seconds": run.seconds("ingestion"),
+        "cleaning_seconds": run.seconds("cleaning"),
+        "storage_seconds": run.seconds("storage"),
         "processing_time_seconds": seconds,
-        "average_records_per_second": stored["rows"] / seconds,
+        "average_records_per_second": metrics["records_stored"] / seconds,
     }
 
 

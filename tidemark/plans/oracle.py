@@ -183,12 +183,24 @@ UPDATED = f"""WITH {READINGS} SELECT id, sensor_id, "timestamp", reading_type,
   CASE WHEN value > 100 THEN value / 2 ELSE value END AS value, field, battery_level,
   CASE WHEN value > 100 THEN 'checked' ELSE 'unknown' END AS data_quality FROM readings"""
 
-BATCH = f"""WITH {UNIQUE}, {RULES}, good AS (SELECT * FROM uniq WHERE sensor_id <> '' AND value IS NOT NULL),
-  stats AS (SELECT reading_type, avg(value) AS m, stddev_samp(value) AS sd FROM good GROUP BY 1)
-  SELECT {BASE}, value * multiplier + "offset" AS calibrated_value, {SCORE} AS quality_score,
+def _batch(good: str) -> str:
+    """Rows that a batch run stores, as ``out``, from the cleaned rows ``good``."""
+    return f"""WITH {UNIQUE}, {RULES}, {good},
+  stats AS (SELECT reading_type, avg(value) AS m, stddev_samp(value) AS sd FROM good GROUP BY 1),
+  out AS (SELECT {BASE}, value * multiplier + "offset" AS calibrated_value, {SCORE} AS quality_score,
     coalesce(value < min_value OR value > max_value, false) OR coalesce(abs((value - m) / sd) > 3.0, false) AS anomalous_reading,
     CAST("timestamp" AS DATE) AS date
-  FROM good LEFT JOIN rules USING (reading_type) LEFT JOIN stats USING (reading_type)"""
+  FROM good LEFT JOIN rules USING (reading_type) LEFT JOIN stats USING (reading_type))"""
+
+
+BATCH_CTE = _batch("good AS (SELECT * FROM uniq WHERE sensor_id <> '' AND value IS NOT NULL)")
+BATCH = BATCH_CTE + " SELECT * FROM out"
+ODD_BATCH = BATCH_CTE + ' SELECT sensor_id, "timestamp", reading_type, value, calibrated_value, anomalous_reading, date FROM out'
+FILLED_BATCH = (
+    _batch("""good AS (SELECT * REPLACE (last_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id, reading_type ORDER BY "timestamp", id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value) FROM uniq WHERE sensor_id <> '')""")
+    + " SELECT * FROM out"
+)
 
 SUMMARY = f"""WITH {FLAGS}, sens AS (
     SELECT sensor_id, max("timestamp") AS latest, count(*) FILTER (is_range) AS flagged FROM flags GROUP BY 1),
@@ -250,7 +262,15 @@ ORACLE = {
         count(*) FILTER (sensor_id = '') AS skipped, CAST(0 AS BIGINT) AS errors FROM dirty""",
     "json_ingest": INGESTED_PLACED,
     "mixed_folder_ingest": INGESTED,
-    "files_by_time": f'WITH {READINGS} SELECT id, sensor_id, "timestamp", value, field FROM readings',
+    "files_by_time": f"""WITH {READINGS} SELECT id, sensor_id, "timestamp", value, field FROM readings
+        WHERE "timestamp" >= TIMESTAMP '2024-01-16 00:00:00'""",
+    "odd_json_ingest": f"""WITH {DIRTY} SELECT CASE WHEN id % 10 = 3 THEN NULL ELSE id END AS id, sensor_id, "timestamp", reading_type, value,
+        CASE WHEN id % 10 = 5 THEN NULL ELSE field END AS field, battery_level,
+        CASE WHEN id % 10 = 5 THEN NULL ELSE 28.5::DOUBLE END AS latitude, CASE WHEN id % 10 = 5 THEN NULL ELSE 77.25::DOUBLE END AS longitude
+        FROM dirty WHERE sensor_id <> ''""",
+    "odd_parquet_ingest": INGESTED_PLACED,
+    "odd_landing_counts": f"""WITH {DIRTY} SELECT count(*) FILTER (sensor_id <> '') AS processed,
+        count(*) FILTER (sensor_id = '') AS skipped, CAST(1 AS BIGINT) AS errors FROM dirty""",
     "required_columns": f"""WITH {DIRTY} SELECT count(sensor_id) AS sensor_id_present, count("timestamp") AS timestamp_present,
         count(reading_type) AS reading_type_present, count(value) AS value_present FROM dirty""",
     "log_query": LOGS + " WHERE NOT is_text AND lvl = 'warn' ORDER BY t DESC LIMIT 200",
@@ -513,17 +533,44 @@ ORACLE = {
     "process_records_lenient": f"""WITH {TEXT} {PROCESSED} FROM txt
         WHERE coalesce("timestamp", '') = '' OR ts IS NOT NULL""",
     "batch_run": BATCH,
-    "incremental_load": f"""WITH {DIRTY}, {RULES},
-        loads AS (SELECT *, id >= 1000000000 AS is_second FROM dirty WHERE sensor_id <> ''
-          QUALIFY row_number() OVER (PARTITION BY id >= 1000000000, sensor_id, "timestamp", reading_type ORDER BY id) = 1),
-        good AS (SELECT * FROM loads WHERE value IS NOT NULL),
-        stats AS (SELECT is_second, reading_type, avg(value) AS m, stddev_samp(value) AS sd FROM good GROUP BY 1, 2),
-        both_loads AS (SELECT {BASE}, value * multiplier + "offset" AS calibrated_value, {SCORE} AS quality_score,
-          coalesce(value < min_value OR value > max_value, false) OR coalesce(abs((value - m) / sd) > 3.0, false) AS anomalous_reading,
-          CAST("timestamp" AS DATE) AS date
-          FROM good LEFT JOIN rules USING (reading_type) LEFT JOIN stats USING (is_second, reading_type))
-        SELECT * FROM both_loads
-        QUALIFY row_number() OVER (PARTITION BY sensor_id, "timestamp", reading_type ORDER BY id) = 1""",
+    "incremental_load": BATCH,
+    "odd_batch_run": ODD_BATCH,
+    "incremental_forward_fill": FILLED_BATCH,
+    "correction_load": f"""WITH {READINGS} SELECT CASE WHEN value > 100 THEN id + 1000000000 ELSE id END AS id, sensor_id, "timestamp", reading_type,
+        CASE WHEN value > 100 THEN value / 2 ELSE value END AS value, field, battery_level FROM readings
+        QUALIFY row_number() OVER (PARTITION BY sensor_id, "timestamp", reading_type ORDER BY value > 100 DESC, id) = 1""",
+    "load_counters": f"""WITH {DIRTY}, good AS (SELECT *, id >= 1000000000 AS later FROM dirty WHERE sensor_id <> ''),
+        loads AS (SELECT *, row_number() OVER (PARTITION BY sensor_id, "timestamp", reading_type ORDER BY id) AS place,
+          row_number() OVER (PARTITION BY later, sensor_id, "timestamp", reading_type ORDER BY id) AS own FROM good),
+        kept AS (SELECT * FROM loads WHERE place = 1 AND value IS NOT NULL),
+        first_stats AS (SELECT reading_type, avg(value) AS m, stddev_samp(value) AS sd FROM loads WHERE NOT later AND own = 1 AND value IS NOT NULL GROUP BY 1),
+        stats AS (SELECT reading_type, avg(value) AS m, stddev_samp(value) AS sd FROM kept GROUP BY 1),
+        {RULES},
+        flagged AS (SELECT k.later, coalesce(value < min_value OR value > max_value, false)
+            OR coalesce(abs((value - CASE WHEN later THEN s.m ELSE f.m END) / CASE WHEN later THEN s.sd ELSE f.sd END) > 3.0, false) AS is_out
+          FROM kept k LEFT JOIN rules USING (reading_type) LEFT JOIN stats s USING (reading_type) LEFT JOIN first_stats f USING (reading_type))
+        SELECT 'ingestion' AS stage, 'records_read' AS metric, count(*) AS total FROM dirty
+        UNION ALL SELECT 'ingestion', 'records_ingested', count(*) FILTER (sensor_id <> '') FROM dirty
+        UNION ALL SELECT 'ingestion', 'records_skipped', count(*) FILTER (sensor_id = '') FROM dirty
+        UNION ALL SELECT 'ingestion', 'records_broken', 0 FROM (SELECT 1)
+        UNION ALL SELECT 'ingestion', 'files_cut_short', 0 FROM (SELECT 1)
+        UNION ALL SELECT 'ingestion', 'invalid_records', count(*) FILTER (sensor_id = '' OR value IS NULL) FROM dirty
+        UNION ALL SELECT 'cleaning', 'duplicates_removed', count(*) FILTER (own > 1) FROM loads
+        UNION ALL SELECT 'cleaning', 'records_transformed', count(*) FILTER (own = 1) FROM loads
+        UNION ALL SELECT 'storage', 'records_stored', count(*) FROM kept
+        UNION ALL SELECT 'storage', 'outliers_detected', count(*) FILTER (is_out) FROM flagged""",
+    "processing_report": f"""{BATCH_CTE}
+        SELECT 'records_read' AS metric, CAST(count(*) AS DOUBLE) AS value FROM dirty
+        UNION ALL SELECT 'records_ingested', count(*) FILTER (sensor_id <> '') FROM dirty
+        UNION ALL SELECT 'records_skipped', count(*) FILTER (sensor_id = '') FROM dirty
+        UNION ALL SELECT 'records_broken', 0 FROM (SELECT 1)
+        UNION ALL SELECT 'files_cut_short', 0 FROM (SELECT 1)
+        UNION ALL SELECT 'invalid_records', count(*) FILTER (sensor_id = '' OR value IS NULL) FROM dirty
+        UNION ALL SELECT 'duplicates_removed', (SELECT count(*) FILTER (sensor_id <> '') FROM dirty) - count(*) FROM uniq WHERE sensor_id <> ''
+        UNION ALL SELECT 'records_transformed', count(*) FROM uniq WHERE sensor_id <> ''
+        UNION ALL SELECT 'records_stored', count(*) FROM out
+        UNION ALL SELECT 'outliers_detected', count(*) FILTER (anomalous_reading) FROM out
+        UNION ALL SELECT 'dates_written', (SELECT count(DISTINCT CAST("timestamp" AS DATE)) FROM uniq WHERE sensor_id <> '') FROM (SELECT 1)""",
     "incremental_averages": f"WITH {UNIQUE}, loaded AS (SELECT * FROM uniq WHERE sensor_id <> ''), {_rolling('loaded')}",
     "volume_daily": f"""WITH {VOLUME} SELECT reading_type, CAST("timestamp" AS DATE) AS date, {DAY_AGGS} FROM vol GROUP BY 1, 2""",
     "volume_rolling": f"WITH {VOLUME}, {_rolling('vol')}",

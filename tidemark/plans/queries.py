@@ -6,6 +6,8 @@ that a second engine adding the same numbers in another order agrees.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +17,13 @@ from ..operators import aggregates as A
 from ..operators import anomaly, cleaning, filters
 from ..operators import timeseries as TS
 from ..operators.lookup import with_rules
-from ..schema import RAW_PARQUET, require_columns
+from ..schema import require_columns
 from ..session import scratch_dir, written
 from ..sources import readers as R
 from ..sources import writers as K
 from ..streaming import incremental
 from . import adapters as V
-from . import batch, reports
+from . import batch, load, reports, runs
 
 BASE = ["id", "sensor_id", "timestamp", "reading_type", "value", "field", "battery_level"]
 HALF = "2024-01-16 00:00:00"
@@ -95,12 +97,43 @@ def mixed_folder_ingest(spark, d):
     return R.ingest(R.read_landing(spark, path, json_glob="*.txt")).select(*BASE)
 
 
+@query
+def odd_json_ingest(spark, d):
+    """Records with an odd id, location, latitude or battery level; each costs only its field, the cut file only itself."""
+    path = V.land_odd_json(V.readings_dirty(spark, d), scratch_dir(spark, "landing"))
+    return R.ingest(R.read_raw_json(spark, path, glob="*.txt")).select(*BASE, "latitude", "longitude")
+
+
+@query
+def odd_parquet_ingest(spark, d):
+    """Files whose columns have other types than usual."""
+    path = V.land_odd_parquet(V.readings_dirty(spark, d), scratch_dir(spark, "landing"))
+    return R.ingest(R.read_raw_parquet(spark, path)).select(*BASE, "latitude", "longitude")
+
+
+def _odd_folder(spark, d) -> str:
+    rows, path = V.readings_dirty(spark, d), scratch_dir(spark, "landing")
+    V.land_odd_parquet(rows.where(F.col("timestamp") < HALF), f"{path}/columnar")
+    V.land_odd_json(rows.where(F.col("timestamp") >= HALF), path)
+    return path
+
+
+@query
+def odd_landing_counts(spark, d):
+    """Counters of a folder of odd files of both kinds."""
+    return R.ingest_summary(R.read_landing(spark, _odd_folder(spark, d), json_glob="*.txt")).drop("files")
+
+
 @query
 def files_by_time(spark, d):
-    path = V.land_parquet(V.readings(spark, d), scratch_dir(spark, "landing"))
-    return R.read_raw_parquet(spark, path, start="2001-01-01 00:00:00").select(
-        "id", "sensor_id", "timestamp", "value", F.col("location.field").alias("field")
-    )
+    """Files changed in a window: of two landed parts only the second is chosen, by the change times of its files."""
+    rows, path = V.readings(spark, d), scratch_dir(spark, "landing")
+    V.land_parquet(rows.where(F.col("timestamp") < HALF), f"{path}/first")
+    time.sleep(1.1)  # change times are told apart by whole seconds on some file systems
+    V.land_parquet(rows.where(F.col("timestamp") >= HALF), f"{path}/second")
+    changed = R.landing_files(spark, f"{path}/second", "*.parquet").agg(F.min("modified").alias("start"), F.max("modified").alias("end")).first()
+    found = R.read_raw_parquet(spark, path, start=changed["start"], end=changed["end"])
+    return found.select("id", "sensor_id", "timestamp", "value", F.col("location.field").alias("field"))
 
 
 @query
@@ -484,9 +517,13 @@ def summary_report(spark, d):
 
 @query
 def processing_report(spark, d):
+    """Counters of one batch run; its seconds are in ``run_timings``."""
     path, table = scratch_dir(spark, "landing"), scratch_dir(spark, "table")
     V.land_parquet(V.readings_dirty(spark, d), path)
-    return batch.processing_report(spark, batch.run_batch(spark, path, table))
+    metrics = batch.run_batch(spark, path, table)
+    timed = [name for name in metrics if "second" in name]
+    report = batch.processing_report(spark, metrics)
+    return report.where(~F.col("metric").isin(*timed, "files_processed"))
 
 
 @query
@@ -829,10 +866,10 @@ def _load_twice(spark, d, load, **options):
     raw, table, seen = (scratch_dir(spark, n) for n in ("landing", "table", "progress"))
     rows = V.readings_dirty(spark, d)
     V.land_parquet(rows.where(F.col("id") < V.COPY_ID), raw)
-    load(spark, raw, table, seen, RAW_PARQUET, **options)
+    load(spark, raw, table, seen, **options)
     # The second load brings copies of rows that are already stored.
     V.land_parquet(rows.where(F.col("id") >= V.COPY_ID), raw)
-    load(spark, raw, table, seen, RAW_PARQUET, **options)
+    load(spark, raw, table, seen, **options)
     return table
 
 
@@ -842,11 +879,71 @@ def incremental_load(spark, d):
     return R.read_readings(spark, table).select(*BASE, "calibrated_value", "quality_score", "anomalous_reading", "date")
 
 
+@query
+def odd_batch_run(spark, d):
+    """A batch run over odd files of both kinds stores every good row."""
+    table = scratch_dir(spark, "table")
+    batch.run_batch(spark, _odd_folder(spark, d), table, json_glob="*.txt")
+    kept = R.read_readings(spark, table)
+    return kept.select("sensor_id", "timestamp", "reading_type", "value", "calibrated_value", "anomalous_reading", "date")
+
+
+def _three_loads(spark, d, **options) -> str:
+    """The second half of the days first, then the first half as JSON, then the copies: late rows and mixed files."""
+    raw, table, seen = (scratch_dir(spark, n) for n in ("landing", "table", "progress"))
+    rows = V.readings_dirty(spark, d)
+    own, late = rows.where(F.col("id") < V.COPY_ID), F.col("timestamp") < HALF
+    V.land_parquet(own.where(~late), f"{raw}/a")
+    batch.run_incremental(spark, raw, table, seen, json_glob="*.txt", **options)
+    V.land_json(own.where(late), f"{raw}/b")
+    batch.run_incremental(spark, raw, table, seen, json_glob="*.txt", **options)
+    V.land_parquet(rows.where(F.col("id") >= V.COPY_ID), f"{raw}/c")
+    batch.run_incremental(spark, raw, table, seen, json_glob="*.txt", **options)
+    return table
+
+
+@query
+def incremental_forward_fill(spark, d):
+    """Three loads with late rows, filled forward: values and flags are those of one run over all files."""
+    table = _three_loads(spark, d, fill="forward")
+    return R.read_readings(spark, table).select(*BASE, "calibrated_value", "quality_score", "anomalous_reading", "date")
+
+
+@query
+def correction_load(spark, d):
+    """The second load corrects readings of the first under larger ids; with ``keep="newest"`` it wins."""
+    raw, table, seen = (scratch_dir(spark, n) for n in ("landing", "table", "progress"))
+    rows = V.readings(spark, d)
+    V.land_parquet(rows, raw)
+    batch.run_incremental(spark, raw, table, seen, fill="keep", profile=None, keep="newest")
+    changed = rows.where("value > 100").withColumns({"id": F.col("id") + V.COPY_ID, "value": F.col("value") / 2})
+    V.land_parquet(changed, raw)
+    batch.run_incremental(spark, raw, table, seen, fill="keep", profile=None, keep="newest")
+    return R.read_readings(spark, table).select(*BASE)
+
+
+@query
+def load_counters(spark, d):
+    """Counters of all micro-batches, added up from the run table."""
+    table = _load_twice(spark, d, batch.run_incremental)
+    counters = runs.run_counters(runs.read_runs(spark, load.state_home(table)))
+    return counters.where(~F.col("metric").isin("files_processed", "dates_written"))
+
+
+@query
+def run_timings(spark, d):
+    """Seconds and status per stage of the run table (wall clock)."""
+    path, table = scratch_dir(spark, "landing"), scratch_dir(spark, "table")
+    V.land_parquet(V.readings_dirty(spark, d), path)
+    batch.run_batch(spark, path, table)
+    return runs.stage_status(runs.read_runs(spark, load.state_home(table)))
+
+
 @query
 def incremental_averages(spark, d):
     out = scratch_dir(spark, "averages")
     touched: set = set()
-    table = _load_twice(spark, d, incremental.load_new_files, on_dates=touched.update)
+    table = _load_twice(spark, d, batch.run_incremental, fill="keep", profile=None, on_dates=touched.update)
     incremental.refresh_daily_averages(spark, table, out, sorted(touched))
     back = spark.read.parquet(out)
     return r6(back, "daily_avg", "rolling_avg").withColumn("date", F.col("date").cast("date"))

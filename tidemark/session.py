@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.compression.codec": "snappy",
+    # A JSON record that names a field twice keeps the last value, as other readers of JSON do.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -54,3 +56,9 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system of ``path`` has it; no job and no failing read."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)

@@ -10,9 +10,8 @@ from pyspark.sql import types as T
 from ..functions.scalar import flatten_location, number_or_null, to_number, to_timestamp_ntz
 from ..functions.validity import validity
 from ..operators.filters import ordered_slice
-from ..schema import MAX_LANDING_BYTES, RAW, RAW_PARQUET, READINGS, require_columns
-
-CORRUPT = "_corrupt_record"
+from ..schema import MAX_LANDING_BYTES, RAW, READINGS, require_columns
+from .landing import CORRUPT, plain_name, read_raw_json, read_raw_parquet, rounded
 
 
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
@@ -34,37 +33,6 @@ def read_parquet(
     return df if limit is None else df.limit(limit)
 
 
-def _in_window(df: DataFrame, start, end) -> DataFrame:
-    """Files by modification time, both ends inclusive; open ends take everything."""
-    changed = F.col("_metadata.file_modification_time")
-    if start is not None:
-        df = df.where(changed >= F.lit(start).cast("timestamp"))
-    if end is not None:
-        df = df.where(changed <= F.lit(end).cast("timestamp"))
-    return df
-
-
-def read_raw_parquet(
-    spark: SparkSession, path: str, schema: T.StructType = RAW_PARQUET, start=None, end=None, skip_bad_files: bool = False
-) -> DataFrame:
-    """Landing Parquet files with their names. A bad file fails the read, or is skipped on request;
-    ``unread_files`` lists the skipped ones."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-    df = reader.schema(schema).option("ignoreCorruptFiles", skip_bad_files).parquet(path)
-    return _in_window(df, start, end).select("*", F.col("_metadata.file_path").alias("source_file"))
-
-
-def read_raw_json(
-    spark: SparkSession, path: str, schema: T.StructType = RAW, start=None, end=None, lines: bool = False, glob: str | None = None
-) -> DataFrame:
-    """Landing JSON files holding one object or an array; a broken file becomes one corrupt row."""
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.read.option("recursiveFileLookup", True).schema(with_corrupt).option("mode", "PERMISSIVE")
-    reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", not lines)
-    reader = reader.option("pathGlobFilter", glob or ("*.jsonl" if lines else "*.json"))
-    return _in_window(reader.json(path), start, end).select("*", F.col("_metadata.file_path").alias("source_file"))
-
-
 def typed(df: DataFrame) -> DataFrame:
     """Raw text columns to reading types; what does not convert becomes null."""
     out = flatten_location(df)
@@ -78,17 +46,17 @@ def typed(df: DataFrame) -> DataFrame:
     for name in ("battery_level", "signal_strength"):
         # A side column never costs the row: what is no number becomes null, fractions are rounded.
         if name in out.columns and isinstance(out.schema[name].dataType, T.StringType):
-            changes[name] = F.expr(f"try_cast(floor(try_cast({name} as double) + 0.5) as int)")
+            changes[name] = rounded(F.col(name))
     return out.withColumns(changes)
 
 
 def read_landing(
-    spark: SparkSession, path: str, start=None, end=None, skip_bad_files: bool = False, json_glob: str | None = None
+    spark: SparkSession, path: str | list[str], start=None, end=None, skip_bad_files: bool = True, json_glob: str | None = None
 ) -> DataFrame:
-    """All JSON and Parquet files of a mixed folder as typed rows; other files are not read.
+    """All JSON and Parquet files of a mixed folder (or a list of files) as typed rows; other files are not read.
 
-    Broken JSON stays visible as a row with a corrupt text. Broken Parquet stops the run, so that
-    nothing is left out unseen; with ``skip_bad_files`` it is skipped and ``unread_files`` lists it.
+    A broken file stays visible as a row with a corrupt text and costs nothing else. Without ``skip_bad_files`` broken Parquet
+    stops the run.
     """
     columnar = read_raw_parquet(spark, path, start=start, end=end, skip_bad_files=skip_bad_files)
     text = read_raw_json(spark, path, start=start, end=end, glob=json_glob)
@@ -153,9 +121,9 @@ def landing_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: in
 def unread_files(spark: SparkSession, path: str, raw: DataFrame, glob: str = "*.parquet") -> DataFrame:
     """Files of the folder that gave no row (corrupt or empty). Only footers are read for it."""
     listed = landing_files(spark, path, glob).select(F.col("path").alias("source_file"))
+    good = raw.where(F.col(CORRUPT).isNull()) if CORRUPT in raw.columns else raw
     # The row metadata encodes blanks and other signs in names, the listing does not.
-    plain = F.expr("url_decode(replace(source_file, '+', '%2B'))")
-    seen = raw.select(plain.alias("source_file")).distinct()
+    seen = good.select(plain_name("source_file").alias("source_file")).distinct()
     return listed.join(seen, "source_file", "left_anti")
 
 

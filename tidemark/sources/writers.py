@@ -46,18 +46,20 @@ def write_readings(
     partition_by=("date",),
     overwrite_dates: bool = False,
     counters: dict | None = None,
+    without: tuple[str, ...] = (),
 ) -> dict:
     """Date-partitioned snappy Parquet, sorted by sensor and time within each file.
 
     The rebalance step gathers the rows of a date and lets AQE cut a large date
-    into several even files, so no date is written by a single task.
+    into several even files, so no date is written by a single task. ``counters`` may use the columns
+    ``without``, which are not stored.
     """
     dated = df.withColumn("date", F.to_date("timestamp"))
     keys = list(partition_by)
     order = keys + [c for c in ("sensor_id", "timestamp") if c not in keys]
     seen, named = Observation(), {"rows": F.count(F.lit(1)), **(counters or {})}
     laid_out = dated.hint("rebalance", *keys).sortWithinPartitions(*order)
-    laid_out = laid_out.observe(seen, *[c.alias(k) for k, c in named.items()])
+    laid_out = laid_out.observe(seen, *[c.alias(k) for k, c in named.items()]).drop(*without)
     writer = laid_out.write.mode(mode).partitionBy(*keys).option("compression", "snappy")
     if overwrite_dates:
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -1,97 +1,51 @@
-"""Incremental loading of daily files into the readings table."""
+"""New landing files since the last call, and the daily averages of the dates that changed."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..operators.cleaning import drop_duplicates
 from ..operators.timeseries import rolling_average
-from ..sources.readers import ingest, read_readings
-from ..sources.writers import with_defaults, write_readings
 from ..schema import ROLLING_DAYS
-from ..session import written
+from ..sources.readers import read_readings
 
-
-def _table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except Exception as error:  # an absent folder is the normal first run
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return False
-        raise
-
-
-def touched_dates(batch: DataFrame) -> list:
-    """Dates of a batch: one value per table partition it writes to."""
-    return [r["date"] for r in batch.select(F.to_date("timestamp").alias("date")).distinct().collect()]
-
-
-def merge_batch(batch: DataFrame, table_path: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> list:
-    """Unite a batch with the partitions it touches, drop duplicates, overwrite them.
-
-    ``prepare`` gets the unique rows of the batch, for example to clean and enrich them. The batch is
-    evaluated once, into a table. Running it again with the same rows changes nothing, so a batch that
-    is replayed after a failure is harmless. Returns the dates written.
-    """
-    rows = ingest(batch)
-    if prepare:
-        rows = prepare(written(drop_duplicates(rows, order=("id", "value")), "unique"))
-    return merge_rows(written(with_defaults(rows), "ready"), table_path)
-
-
-def merge_rows(rows: DataFrame, table_path: str) -> list:
-    """``merge_batch`` for rows that have the table's columns already."""
-    spark = rows.sparkSession
-    rows = rows.where(F.col("timestamp").isNotNull())
-    dates = touched_dates(rows)
-    if not dates:
-        return []
-    if _table_exists(spark, table_path):
-        stored = read_readings(spark, table_path).where(F.col("date").isin(dates)).drop("date")
-        # Of equal keys the smallest id stays; of equal ids, as derived ones are, the newest load.
-        both = rows.withColumn("_load", F.lit(0)).unionByName(stored.withColumn("_load", F.lit(1)))
-        rows = drop_duplicates(both, order=("id", "_load", "value")).drop("_load")
-    else:
-        rows = drop_duplicates(rows, order=("id", "value"))
-    write_readings(rows, table_path, overwrite_dates=True)
-    return dates
+LISTING = "path string, modificationTime timestamp, length long, content binary"
 
 
 def load_new_files(
     spark: SparkSession,
     raw_path: str,
-    table_path: str,
     checkpoint: str,
-    schema: T.StructType,
-    on_dates=None,
-    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    load: Callable[[list[str], str], None],
+    json_glob: str | None = None,
     bytes_per_batch: int | None = None,
 ) -> None:
-    """Process the files not seen before, sub-folders included, remember them in the checkpoint, and stop.
+    """Call ``load(paths, name)`` for the JSON and Parquet files not seen before, sub-folders included, and stop.
 
-    A forced reprocess is the same call with a fresh checkpoint. ``on_dates`` is
-    told which dates each batch rewrote, ``prepare`` works on the rows of each batch (see ``merge_batch``).
-    ``bytes_per_batch`` splits a long backlog into several batches; no file is left out.
+    The stream only finds the files and remembers them in the checkpoint; it does not read them, so files of any kind and of any column
+    types go through one load. ``name`` is the same when a batch is repeated after a failure. A forced reprocess is the same call
+    with a fresh checkpoint. ``bytes_per_batch`` splits a long backlog into several batches; no file is left out.
     """
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+    glob = "{*.parquet," + (json_glob or "*.json") + "}"
+    files = spark.readStream.format("binaryFile").schema(LISTING).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     if bytes_per_batch:
         files = files.option("maxBytesPerTrigger", bytes_per_batch)
-    stream = files.parquet(raw_path)
+    source = f"{zlib.crc32(checkpoint.encode()):08x}"
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        dates = merge_batch(batch, table_path, prepare)
-        if on_dates and dates:
-            on_dates(dates)
+    def run(batch: DataFrame, number: int) -> None:
+        paths = [r["path"] for r in batch.select("path").collect()]  # one name per new file
+        if paths:
+            load(paths, f"stream-{source}-{number:09d}")
 
     query = (
-        stream.writeStream.foreachBatch(write)
+        files.load(raw_path)
+        .select("path")
+        .writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
