@@ -14,7 +14,7 @@ import __spark_entry__ as entry  # noqa: E402
 
 DATA = Path("/root/testdata/sf0.001")
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="given tables are not here")
-ROWS_ONLY = {"landing_files", "processing_report", "data_profile_sketch"}
+ROWS_ONLY = {"landing_files", "run_timings", "data_profile_sketch"}
 LAZY = [
     "filter_equality", "filter_time", "daily_aggregation", "sensor_directory", "summary_by_type", "rolling_average", "gaps",
     "coverage", "hourly_spine", "temporal_anomalies", "quality_rows", "calibrate_by_config", "validity_rules", "deduplicate",

@@ -225,7 +225,9 @@ def test_alerts_and_recommendations(spark):
     found = {(r.type, r.severity) for r in reports.alerts(flagged).collect()}
     assert found == {("missing_data", "high"), ("anomaly", "medium")}
     advice = {(r.sensor_id, r.category, r.priority) for r in reports.recommendations(flagged).collect()}
-    assert advice == {("S1", "connectivity", "high"), ("S2", "validation", "low")}
+    assert advice == {("S1", "connectivity", "high"), ("S2", "calibration", "medium")}
+    outliers = readings(spark, [("S3", f"2025-07-16T{h:02d}:00:00", "humidity", 50.0 + h) for h in range(8)]).withColumn("anomalous_reading", F.col("value") > 54)
+    assert [(r.category, r.priority) for r in reports.recommendations(outliers).collect()] == [("validation", "low")]
     quiet = reports.alerts(flagged.where("value = 20")).collect()
     assert [r.message for r in quiet] == ["All sensors operating normally"]
     nothing = reports.alerts(flagged.limit(0)).collect()

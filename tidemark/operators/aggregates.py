@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.validity import validity, with_errors
-from .layout import CHUNK, COPIES, POS, chunk_offsets, counted_layout
-from .lookup import measured, null_safe_join
+from .lookup import null_safe_join
+from .selection import median_by_selection
 
 # Values one exact-median buffer may hold.
 MEDIAN_ROWS = 1_000_000
@@ -137,33 +136,19 @@ def validation_counters(df: DataFrame) -> DataFrame:
     )
 
 
-def _median_large(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact medians by rank. Equal values are counted first, so the sort key is unique and a frequent value is one row."""
-    layout = counted_layout(df.select(*keys, value), [])
-    parts = chunk_offsets(layout, keys, F.sum(COPIES)).withColumn("n", F.sum("rows").over(W.partitionBy(*keys)))
-    # The middle one or two ranks, counted from 0, and the files that hold them.
-    parts = parts.withColumns({"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)})
-    hit = parts.where((F.col("low") < F.col("rows_before") + F.col("rows")) & (F.col("high") >= F.col("rows_before")))
-    inside = null_safe_join(layout, measured(hit.select(*keys, CHUNK, "rows_before", "low", "high")), [*keys, CHUNK])
-    upto = F.col("rows_before") + F.sum(COPIES).over(W.partitionBy(*keys, CHUNK).orderBy(POS))
-    ranked = inside.where(F.col("low").isNotNull()).withColumn("upto", upto)
-    held = [(F.col("upto") > F.col(r)) & (F.col("upto") - F.col(COPIES) <= F.col(r)) for r in ("low", "high")]
-    return ranked.where(held[0] | held[1]).groupBy(*keys).agg(F.avg(value).alias("median"))
-
-
 def median(df: DataFrame, keys=(), value: str = "value", max_rows: int = MEDIAN_ROWS) -> DataFrame:
     """Exact median per group.
 
     Spark's ``median`` keeps all distinct values of a group in one buffer, so it
-    serves only groups up to ``max_rows``; beyond that the middle ranks are looked up
-    in a range-sorted table.
+    serves only groups up to ``max_rows``; beyond that the middle ranks are found by
+    repeated counts over narrowing ranges (``selection.py``).
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull())
     largest = present.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= max_rows:
         return present.groupBy(*keys).agg(F.median(value).alias("median"))
-    return _median_large(present, keys, value)
+    return median_by_selection(present, keys, value, max_rows)
 
 
 def statistics(df: DataFrame, keys=(), max_rows: int = MEDIAN_ROWS) -> DataFrame:

@@ -27,7 +27,7 @@ from ..operators.lookup import join_statistics, measured, null_safe_join, with_r
 from ..operators.moments import MOMENTS, daily_moments, deviations, is_outlier, merged_moments
 from ..operators.timeseries import SERIES
 from ..schema import OUTLIER_Z, READINGS
-from ..session import path_exists, written
+from ..session import path_exists, remove_path, written
 from ..sources.readers import read_readings
 from ..sources.writers import with_defaults, write_readings
 
@@ -131,6 +131,8 @@ def fill_days(rows: DataFrame, last: DataFrame) -> DataFrame:
 
 def refill_dates(spark: SparkSession, home: str, rows: DataFrame, last: DataFrame, dates: list) -> list:
     """Later dates on which rows without a value now follow another reading than the one that filled them."""
+    if not path_exists(spark, f"{home}/missing"):
+        return []
     later = _known(spark, home).where("leading").where(~_on(dates) & (F.col("date") > F.lit(min(dates))))
     points = _same(later, rows, SERIES, "left_semi").select(*SERIES, "date", "fill").distinct()
     changed = carried(points, last).where(~F.col("carry").eqNullSafe(F.col("fill")))
@@ -163,24 +165,25 @@ def enriched(kept: DataFrame, profile: str, stats: DataFrame) -> DataFrame:
     return flagged.withColumn("anomalous_reading", F.when(keep, flag)).drop(*before.values(), "is_range", "group_mean", "group_std")
 
 
-def _changed_limits(old: DataFrame, new: DataFrame) -> Column | None:
-    """Filter on the values that lie between the old and new limits of their type; None if no limit moved."""
+def _limits(stats: DataFrame) -> dict:
+    """reading type -> (low, high) of at most one type more than ``PUSHED_TYPES``."""
     low, high = (F.col("group_mean") + sign * F.lit(OUTLIER_Z) * F.col("group_std") for sign in (-1, 1))
+    rows = stats.select("reading_type", low.alias("low"), high.alias("high")).limit(PUSHED_TYPES + 1).collect()
+    return {r["reading_type"]: (r["low"], r["high"]) for r in rows}
 
-    def limits(stats, name):
-        return stats.select("reading_type", low.alias(f"{name}_low"), high.alias(f"{name}_high"))
 
-    pairs = limits(new, "new").join(limits(old, "old").withColumnRenamed("reading_type", "_t"), F.col("reading_type").eqNullSafe(F.col("_t")), "full")
-    found = pairs.select(F.coalesce("reading_type", "_t").alias("reading_type"), "old_low", "new_low", "old_high", "new_high").limit(PUSHED_TYPES + 1).collect()
-    if len(found) > PUSHED_TYPES:
+def _changed_limits(old: DataFrame, new: DataFrame) -> Column | None:
+    """Filter on the values that lie between the old and new limits of their type; None if no limit moved."""
+    before, after = _limits(old), _limits(new)
+    if max(len(before), len(after)) > PUSHED_TYPES:
         return F.lit(True)
-    infinite, parts = float("inf"), []
-    for r in found:
-        for a, b, none in ((r["old_low"], r["new_low"], -infinite), (r["old_high"], r["new_high"], infinite)):
-            a, b = (none if x is None else x for x in (a, b))
+    infinite, parts, none = float("inf"), [], (None, None)
+    for kind in {**before, **after}:
+        for a, b, open_end in zip(before.get(kind, none), after.get(kind, none), (-infinite, infinite), strict=True):
+            a, b = (open_end if x is None else x for x in (a, b))
             if a != b:
                 slack = 1e-9 * max([abs(x) for x in (a, b) if abs(x) != infinite] or [0.0])
-                parts.append(F.col("reading_type").eqNullSafe(F.lit(r["reading_type"])) & F.col("value").between(min(a, b) - slack, max(a, b) + slack))
+                parts.append(F.col("reading_type").eqNullSafe(F.lit(kind)) & F.col("value").between(min(a, b) - slack, max(a, b) + slack))
     return reduce(lambda a, b: a | b, parts) if parts else None
 
 
@@ -263,9 +266,7 @@ def merge_load(
     found = write_readings(out.select(*READINGS.names, LOAD), table_path, overwrite_dates=True, counters=seen, without=(LOAD,))
     if fill == "drop" and not is_new:
         for d in sorted(set(dates) - set(touched_dates(kept))):
-            # A partition without rows is not part of a dynamic overwrite.
-            if path_exists(spark, f"{table_path}/date={d}"):
-                kept.select(*READINGS.names).limit(0).write.mode("overwrite").parquet(f"{table_path}/date={d}")
+            remove_path(spark, f"{table_path}/date={d}")  # a partition without rows is not part of a dynamic overwrite
     if again:
         _write_state(missing.where(_on(again)), home, "missing", again)
     if profile is not None:

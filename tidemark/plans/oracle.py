@@ -66,21 +66,19 @@ CLASSES = (
     + ", "
     + RULES
     + """, clean AS (SELECT * FROM uniq WHERE value IS NOT NULL
-), daily AS (
-  SELECT sensor_id, reading_type, CAST("timestamp" AS DATE) AS date, count(value) AS n, sum(value) AS s, sum(value * value) AS q
-  FROM clean GROUP BY ALL
+), days AS (SELECT DISTINCT sensor_id, reading_type, CAST("timestamp" AS DATE) AS date FROM clean
 ), base AS (
-  SELECT sensor_id, reading_type, date, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM daily
-  WINDOW w AS (PARTITION BY sensor_id, reading_type ORDER BY date
-               RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)
+  SELECT d.sensor_id, d.reading_type, d.date, avg(c.value) AS bavg, stddev_samp(c.value) AS bsd
+  FROM days d JOIN clean c ON c.sensor_id = d.sensor_id AND c.reading_type = d.reading_type
+    AND c."timestamp" >= d.date - INTERVAL 7 DAY AND c."timestamp" < d.date
+  GROUP BY ALL
 ), stats AS (
   SELECT reading_type, avg(value) AS m, stddev_samp(value) AS sd FROM clean GROUP BY 1
 ), scored AS (
   SELECT c.*, r.min_value, r.max_value,
          CASE WHEN st.sd > 0 THEN (c.value - st.m) / st.sd END AS zscore,
          coalesce(c.value < r.min_value OR c.value > r.max_value, false) AS is_range,
-         CASE WHEN b.n > 1 THEN sqrt(greatest(b.q - b.s * b.s / b.n, 0.0) / (b.n - 1)) END AS bsd,
-         CASE WHEN b.n > 0 THEN b.s / b.n END AS bavg
+         b.bsd, b.bavg
   FROM clean c LEFT JOIN stats st USING (reading_type) LEFT JOIN rules r USING (reading_type)
   LEFT JOIN base b ON b.sensor_id = c.sensor_id AND b.reading_type = c.reading_type AND b.date = CAST(c."timestamp" AS DATE)
 ), classed AS (
@@ -241,16 +239,47 @@ INSIGHTS = f"""WITH {CLASSES}, tr AS (
   SELECT reading_type, type, round(confidence, 6) AS confidence, description, impact FROM f"""
 
 
+def _advice(dirty: str, hit: str, source: str = "dirty") -> str:
+    """Recommendations by the kind of anomaly that prevails in a series, as ``advice``."""
+    rules = f"{dirty}, {RULES}, " if dirty else ""
+    return f"""{rules}zs AS (SELECT reading_type, avg(value) AS m, stddev_samp(value) AS sd FROM {source} GROUP BY 1),
+        marked AS (SELECT d.*, coalesce(d.value < r.min_value OR d.value > r.max_value, false) AS outside, {hit} AS hit
+          FROM {source} d LEFT JOIN rules r USING (reading_type) LEFT JOIN zs USING (reading_type)),
+        series AS (SELECT sensor_id, reading_type, count(*) AS n, count(*) FILTER (value IS NULL) AS missing, count(*) FILTER (hit) AS hits,
+          count(*) FILTER (hit AND outside) AS ranged FROM marked GROUP BY 1, 2),
+        advice AS (
+          SELECT sensor_id, reading_type, 'connectivity' AS category, 'high' AS priority, 'Check the connection of sensor ' || sensor_id AS description,
+            'Inspect power, wiring and network' AS action FROM series WHERE 100.0 * missing / n > 20.0
+          UNION ALL SELECT sensor_id, reading_type, 'calibration', 'medium', 'Calibrate the ' || reading_type || ' sensor ' || sensor_id,
+            'Run the calibration procedure' FROM series WHERE 100.0 * hits / n > 10.0 AND 2 * ranged >= hits
+          UNION ALL SELECT sensor_id, reading_type, 'validation', 'low', 'Review the value rules of sensor ' || sensor_id,
+            'Update the validation limits' FROM series WHERE 100.0 * hits / n > 10.0 AND 2 * ranged < hits)"""
+
+
+def _temporal(value: str) -> str:
+    """Readings against the mean and deviation of the raw values of the seven days before."""
+    return f"""WITH {READINGS}, r AS (SELECT * REPLACE ({value} AS value) FROM readings),
+        days AS (SELECT DISTINCT sensor_id, reading_type, CAST("timestamp" AS DATE) AS date FROM r),
+        b AS (SELECT d.sensor_id, d.reading_type, d.date, avg(c.value) AS a, stddev_samp(c.value) AS sd
+          FROM days d JOIN r c ON c.sensor_id = d.sensor_id AND c.reading_type = d.reading_type
+            AND c."timestamp" >= d.date - INTERVAL 7 DAY AND c."timestamp" < d.date GROUP BY ALL)
+        SELECT r.id, coalesce(abs(r.value - b.a) > 3.0 * b.sd AND b.sd > 0, false) AS is_temporal
+        FROM r LEFT JOIN b ON b.sensor_id = r.sensor_id AND b.reading_type = r.reading_type AND b.date = CAST(r."timestamp" AS DATE)"""
+
+
 def _profile() -> str:
     parts = []
-    kinds = (("id", "bigint"), ("sensor_id", "string"), ("reading_type", "string"), ("field", "string"), ("battery_level", "int"))
+    kinds = (
+        ("id", "bigint"), ("sensor_id", "string"), ("timestamp", "string"), ("reading_type", "string"), ("value", "decimal(20,6)"), ("field", "string"), ("battery_level", "int")
+    )
     for name, kind in kinds:
         parts.append(
             f"""SELECT '{name}' AS column_name, '{kind}' AS column_type, count(*) AS "rows", count(*) - count({name}) AS nulls,
             count(DISTINCT {name}) AS distinct_values, CAST(min({name}) AS VARCHAR) AS min_value,
             CAST(max({name}) AS VARCHAR) AS max_value FROM dirty"""
         )
-    return f"WITH {DIRTY} " + " UNION ALL ".join(parts)
+    shown = """strftime("timestamp", '%Y-%m-%d %H:%M:%S.%f') AS "timestamp", CAST(value AS DECIMAL(20, 6)) AS value"""
+    return f"WITH {DIRTY.replace('dirty AS (', 'plain AS (')}, dirty AS (SELECT * REPLACE ({shown}) FROM plain) " + " UNION ALL ".join(parts)
 
 
 ORACLE = {
@@ -330,6 +359,10 @@ ORACLE = {
     "page_totals": f"""WITH {READINGS} SELECT CAST(3 AS BIGINT) AS page, CAST(128 AS BIGINT) AS "limit", count(*) AS total,
         CAST(ceil(count(*) / 128.0) AS BIGINT) AS pages FROM readings""",
     "deep_page": ALL + ' ORDER BY "timestamp" DESC, id LIMIT 1000 OFFSET 8000',
+    "deep_page_stored": ALL + ' ORDER BY "timestamp", id LIMIT 1000 OFFSET 8000',
+    "deep_page_by_rank": ALL + " ORDER BY value ASC NULLS LAST, id LIMIT 1000 OFFSET 8000",
+    "page_after_key": f"""WITH {READINGS}, k AS (SELECT "timestamp" AS t, id AS i FROM readings WHERE id = 500)
+        SELECT {BASE} FROM readings, k WHERE "timestamp" < t OR ("timestamp" = t AND id > i) ORDER BY "timestamp" DESC, id LIMIT 1000""",
     "offset_page": ALL + ' ORDER BY "timestamp" DESC, id LIMIT 700 OFFSET 150',
     "offset_totals": f"""WITH {READINGS} SELECT count(*) AS total, CAST(1000 AS BIGINT) AS "limit", CAST(500 AS BIGINT) AS "offset",
         1500 < count(*) AS has_more FROM readings""",
@@ -392,6 +425,18 @@ ORACLE = {
         max(CAST(date_diff('hour', lo, hi) + 1 AS BIGINT)) AS expected_readings,
         floor(100.0::DOUBLE * count(*) / max(date_diff('hour', lo, hi) + 1) * 10 + 0.5) / 10 AS coverage_percentage
         FROM hours, span GROUP BY 1, 2""",
+    "coverage_by_mask": f"""WITH {HOURS} SELECT sensor_id, reading_type, count(*) AS actual_readings,
+        CAST(date_diff('hour', min(hour), max(hour)) + 1 AS BIGINT) AS expected_readings,
+        floor(100.0::DOUBLE * count(*) / (date_diff('hour', min(hour), max(hour)) + 1) * 10 + 0.5) / 10 AS coverage_percentage
+        FROM hours GROUP BY 1, 2""",
+    "gaps_by_mask": f"""WITH {HOURS}, s AS (SELECT *, lag(hour) OVER (PARTITION BY sensor_id, reading_type ORDER BY hour) AS prev FROM hours)
+        SELECT sensor_id, reading_type, prev + INTERVAL 1 HOUR AS gap_start, CAST(date_diff('hour', prev, hour) - 1 AS BIGINT) AS hours
+        FROM s WHERE date_diff('hour', prev, hour) > 1""",
+    "profile_from_loads": f"""WITH {DIRTY} """
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(*) AS "rows", count(*) - count("{c}") AS nulls, true AS distinct_close, true AS median_close FROM dirty"""
+        for c in ("id", "sensor_id", "timestamp", "reading_type", "value", "field", "battery_level")
+    ),
     "coverage_in_range": f"""WITH {HOURS} SELECT sensor_id, reading_type, count(*) AS actual_readings,
         CAST(240 AS BIGINT) AS expected_readings, floor(100.0::DOUBLE * count(*) / 240 * 10 + 0.5) / 10 AS coverage_percentage
         FROM hours WHERE hour BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-14 23:00:00' GROUP BY 1, 2""",
@@ -431,17 +476,8 @@ ORACLE = {
           FROM readings GROUP BY 1, 2)
         SELECT id, sensor_id, reading_type, {ZED} FROM readings LEFT JOIN s USING (sensor_id, reading_type)""",
     "rolling_average": f"WITH {DIRTY}, {_rolling('dirty')}",
-    "temporal_anomalies": f"""WITH {READINGS}, daily AS (
-          SELECT sensor_id, reading_type, CAST("timestamp" AS DATE) AS date, count(value) AS n, sum(value) AS s, sum(value * value) AS q
-          FROM readings GROUP BY ALL),
-        base AS (SELECT sensor_id, reading_type, date, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM daily
-          WINDOW w AS (PARTITION BY sensor_id, reading_type ORDER BY date
-                       RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)),
-        b AS (SELECT sensor_id, reading_type, date, s / n AS a,
-          CASE WHEN n > 1 THEN sqrt(greatest(q - s * s / n, 0.0) / (n - 1)) END AS sd FROM base)
-        SELECT r.id, coalesce(abs(r.value - b.a) > 3.0 * b.sd AND b.sd > 0, false) AS is_temporal
-        FROM readings r LEFT JOIN b ON b.sensor_id = r.sensor_id AND b.reading_type = r.reading_type
-          AND b.date = CAST(r."timestamp" AS DATE)""",
+    "temporal_anomalies": _temporal("value"),
+    "temporal_anomalies_shifted": _temporal("value + 1e7"),
     "gaps": f"WITH {STEPS} SELECT sensor_id, reading_type, gap_start, gap_end, gap_hours FROM gap",
     "longest_gaps": f"""WITH {STEPS} SELECT sensor_id, reading_type, count(*) AS gap_count, max(gap_hours) AS longest_gap_hours
         FROM gap WHERE gap_end > gap_start + INTERVAL 24 HOUR GROUP BY 1, 2""",
@@ -509,15 +545,45 @@ ORACLE = {
         FROM dirty WHERE value IS NULL
         UNION ALL SELECT id, 'outlier', sensor_id, reading_type, value, '0-100', "timestamp" FROM dirty WHERE value > 100
         UNION ALL SELECT id, 'missing_sensor_id', sensor_id, reading_type, NULL, '', "timestamp" FROM dirty WHERE sensor_id = ''""",
-    "recommendations": f"""WITH {PERCENT}, b AS (SELECT *, metric = 'missing_percentage' AS lost, value > 2 * "limit" AS hot FROM breaches)
-        SELECT sensor_id, reading_type,
-          CASE WHEN lost THEN 'connectivity' WHEN hot THEN 'calibration' ELSE 'validation' END AS category,
-          CASE WHEN lost THEN 'high' WHEN hot THEN 'medium' ELSE 'low' END AS priority,
-          CASE WHEN lost THEN 'Check the connection of sensor ' || sensor_id
-               WHEN hot THEN 'Calibrate the ' || reading_type || ' sensor ' || sensor_id
-               ELSE 'Review the value rules of sensor ' || sensor_id END AS description,
-          CASE WHEN lost THEN 'Inspect power, wiring and network' WHEN hot THEN 'Run the calibration procedure'
-               ELSE 'Update the validation limits' END AS action FROM b""",
+    "recommendations": f"""WITH {_advice(DIRTY, "coalesce(value < min_value OR value > max_value, false) OR coalesce(abs((value - m) / sd) > 1.5, false)")}
+        SELECT * FROM advice""",
+    "anomaly_report": f"""WITH {CLASSES}, odd AS (SELECT * FROM classes WHERE anomaly_class IS NOT NULL)
+        SELECT 'totals' AS section, '' AS "key", CAST(count(*) AS DOUBLE) AS value FROM odd
+        UNION ALL SELECT 'breakdown', anomaly_class || '/' || severity, count(*) FROM odd GROUP BY anomaly_class, severity
+        UNION ALL SELECT 'sensors', sensor_id, count(*) FROM odd GROUP BY sensor_id
+        UNION ALL SELECT 'top_anomalies', id || '/' || severity, round(zscore, 6)
+          FROM (SELECT * FROM odd ORDER BY abs(zscore) DESC NULLS LAST, id LIMIT 10)""",
+    "coverage_report": f"""WITH {STEPS}, hours AS (SELECT DISTINCT sensor_id, reading_type, date_trunc('hour', "timestamp") AS hour FROM readings),
+        span AS (SELECT date_diff('hour', min(hour), max(hour)) + 1 AS h FROM hours)
+        SELECT 'coverage' AS section, sensor_id || '/' || reading_type AS "key",
+          floor(100.0::DOUBLE * count(*) / max(h) * 10 + 0.5) / 10 AS value FROM hours, span GROUP BY sensor_id, reading_type
+        UNION ALL SELECT 'gaps', sensor_id || '/' || reading_type || '/' || rtrim(rtrim(strftime(gap_end, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.'), gap_hours FROM gap
+        UNION ALL SELECT 'summary', count(DISTINCT sensor_id) || '/' || count(*), max(gap_hours) FROM gap""",
+    "analytics_report": f"""WITH {CLASSES},
+        t AS (SELECT sensor_id, reading_type, regr_slope(value, {HOUR_NUMBER}) AS s FROM classes GROUP BY 1, 2),
+        h AS (SELECT field, date_trunc('hour', "timestamp") AS hour, avg(value) FILTER (reading_type = 'temperature') AS t,
+          avg(value) FILTER (reading_type = 'humidity') AS u FROM classes GROUP BY 1, 2),
+        k AS (SELECT reading_type, regr_slope(value, {HOUR_NUMBER}) AS s, corr(value, {HOUR_NUMBER}) AS c,
+          count(*) FILTER (NOT is_range) / count(*) AS inside, count(anomaly_class) / count(*) AS odd FROM classes GROUP BY 1)
+        SELECT 'statistics' AS section, CAST(count(value) AS VARCHAR) AS "key", round(median(value), 6) AS value FROM classes
+        UNION ALL SELECT 'trends', sensor_id || '/' || reading_type || CASE WHEN s > 0 THEN '/increasing' WHEN s < 0 THEN '/decreasing'
+          WHEN s = 0 THEN '/stable' ELSE '' END, round(s, 6) FROM t
+        UNION ALL SELECT 'correlations', 'temperature_humidity', round(corr(t, u), 6) FROM h
+        UNION ALL SELECT 'insights', reading_type || '/trend/' || CASE WHEN s = 0 THEN 'neutral' ELSE 'positive' END, round(abs(c), 6) FROM k
+        UNION ALL SELECT 'insights', reading_type || '/pattern/neutral', round(inside, 6) FROM k
+        UNION ALL SELECT 'insights', reading_type || '/anomaly/' || CASE WHEN odd > 0 THEN 'negative' ELSE 'positive' END, round(1 - odd, 6) FROM k""",
+    "quality_report": f"""WITH {PERCENT}, gap_src AS (
+          SELECT sensor_id, reading_type, "timestamp" AS gap_end, lag("timestamp") OVER (PARTITION BY sensor_id, reading_type ORDER BY "timestamp", id) AS gap_start FROM flags),
+        gap AS (SELECT *, CAST(floor(epoch_us(gap_end - gap_start) / 3600000000.0) AS BIGINT) AS gap_hours FROM gap_src WHERE gap_end > gap_start + INTERVAL 1 HOUR),
+        {_advice("", "is_range", "flags")}
+        SELECT 'quality_metrics' AS section, count(*) FILTER (value IS NULL) || '/' || count(*) FILTER (value > 100) AS "key",
+          round(count(value) / count(*), 6) AS value FROM flags
+        UNION ALL SELECT 'metrics', metric || '/' || sensor_id || '/' || reading_type, round(value, 6) FROM qrows
+        UNION ALL SELECT 'metrics', 'gap_hours/' || sensor_id || '/' || reading_type, max(gap_hours) FROM gap GROUP BY sensor_id, reading_type
+        UNION ALL SELECT 'issues', id || '/missing_value', id FROM flags WHERE value IS NULL
+        UNION ALL SELECT 'issues', id || '/outlier', id FROM flags WHERE value > 100
+        UNION ALL SELECT 'issues', id || '/missing_sensor_id', id FROM flags WHERE sensor_id = ''
+        UNION ALL SELECT 'recommendations', sensor_id || '/' || reading_type || '/' || category, 1 FROM advice""",
     "alerts": f"""WITH {PERCENT}
         SELECT 'warning' AS level, CASE WHEN metric = 'missing_percentage' THEN 'high' ELSE 'medium' END AS severity,
           CASE WHEN metric = 'missing_percentage' THEN 'missing_data' ELSE 'anomaly' END AS type,

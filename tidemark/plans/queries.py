@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.validity import RULE_SETS, split_valid, validity, with_errors
 from ..operators import aggregates as A
-from ..operators import anomaly, cleaning, filters
+from ..operators import anomaly, cleaning, filters, masks, pages, sketches
 from ..operators import timeseries as TS
 from ..operators.lookup import with_rules
 from ..schema import require_columns
@@ -385,8 +385,31 @@ def page_totals(spark, d):
 
 @query
 def deep_page(spark, d):
-    """A page cut by rank from a sorted table."""
-    return filters.page(V.readings(spark, d), 9, 1000, top_k_rows=0)
+    """A deep page in time order: rows per hour say where it lies, only its hours are ordered."""
+    return pages.page_by_hours(V.readings(spark, d), 1000, 8000)
+
+
+@query
+def deep_page_stored(spark, d):
+    """The same from a stored table with its stored hour counts, oldest first."""
+    path, index = _table(spark, d), scratch_dir(spark, "hours")
+    table = R.read_readings(spark, path)
+    pages.refresh_hour_counts(spark, table, index)
+    return pages.page_by_hours(table, 1000, 8000, pages.read_hour_counts(spark, index), newest_first=False).select(*BASE)
+
+
+@query
+def deep_page_by_rank(spark, d):
+    """A page cut by rank from a sorted table, for orders without an index."""
+    return filters.page(V.readings(spark, d), 9, 1000, "value", "asc", top_k_rows=0)
+
+
+@query
+def page_after_key(spark, d):
+    """The page behind the reading with id 500: no count and no offset."""
+    rows = V.readings(spark, d)
+    last = rows.where("id = 500").first()
+    return pages.rows_after(rows, 1000, last["timestamp"], last["id"])
 
 
 @query
@@ -495,7 +518,7 @@ def statistics_by_type(spark, d):
 
 @query
 def median_by_rank(spark, d):
-    """Exact medians looked up by rank in a sorted table."""
+    """Exact medians by counts over narrowing ranges."""
     return r6(A.median(V.readings_dirty(spark, d), ["sensor_id", "reading_type"], max_rows=0), "median")
 
 
@@ -541,6 +564,30 @@ def coverage_summary(spark, d):
     return TS.coverage_summary(V.readings(spark, d))
 
 
+def _stored_masks(spark, d):
+    """Hour masks of a table that is loaded in two steps, the second of which adds hours to days of the first."""
+    path, index, rows = scratch_dir(spark, "table"), scratch_dir(spark, "masks"), V.readings(spark, d)
+    first = F.col("id") % 2 == 0
+    K.append_readings(rows.where(first), path)
+    masks.refresh_masks(spark, R.read_readings(spark, path), index)
+    K.append_readings(rows.where(~first), path)
+    dates = load.touched_dates(rows.where(~first))
+    masks.refresh_masks(spark, R.read_readings(spark, path), index, dates)
+    return masks.read_masks(spark, index)
+
+
+@query
+def coverage_by_mask(spark, d):
+    """Coverage of each series over its own span."""
+    return masks.mask_coverage(_stored_masks(spark, d))
+
+
+@query
+def gaps_by_mask(spark, d):
+    """Runs of hours without a reading, within the span of their series."""
+    return masks.mask_gaps(_stored_masks(spark, d))
+
+
 @query
 def anomaly_totals(spark, d):
     return r6(anomaly.anomaly_totals(anomaly.classify(cleaned(spark, d))), "anomaly_percentage")
@@ -576,10 +623,36 @@ def custom_report_by_sensor(spark, d):
 
 @query
 def data_profile(spark, d):
-    rows = V.readings_dirty(spark, d).select("id", "sensor_id", "reading_type", "field", "battery_level")
+    """All columns; numbers with decimals and times as text of a fixed form."""
+    rows = V.readings_dirty(spark, d).withColumns(
+        {"timestamp": F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "value": F.col("value").cast("decimal(20,6)")}
+    )
     return A.profile(rows, exact=True)
 
 
+@query
+def profile_from_loads(spark, d):
+    """Profile merged from the daily sketches of two loads: rows and nulls exact, the estimates within 5 % of the true figures."""
+    rows = V.readings_dirty(spark, d)
+    columns = ["id", "sensor_id", "reading_type", "value", "field", "battery_level"]
+    parts = [sketches.daily_sketches(rows.where(c), [*columns, "timestamp"]) for c in (F.col("timestamp") < HALF, F.col("timestamp") >= HALF)]
+    found = written(sketches.merged_profile(written(parts[0].unionByName(parts[1]), "sketches")), "profile")
+    at = {r["column_name"]: r for r in found.collect()}  # a row per column
+    exact = rows.agg(
+        *[F.count_distinct(F.col(c)).alias(c) for c in at],
+        *[f(F.col(c) <= F.lit(at[c]["q50"])).alias(f"{c}.upto") for c in ("id", "value", "battery_level") for f in (F.count_if,)],
+        *[F.count_if(F.col(c) < F.lit(at[c]["q50"])).alias(f"{c}.below") for c in ("id", "value", "battery_level")],
+        *[F.count(c).alias(f"{c}.n") for c in ("id", "value", "battery_level")],
+    ).first()
+    checks = []
+    for c, r in at.items():
+        near = abs(r["distinct_values"] - exact[c]) <= max(1, 0.05 * exact[c])
+        middle = f"{c}.n" not in exact or (exact[f"{c}.upto"] >= 0.45 * exact[f"{c}.n"] and exact[f"{c}.below"] <= 0.55 * exact[f"{c}.n"])
+        checks.append((c, near, middle))
+    verdicts = spark.createDataFrame(checks, "column_name string, distinct_close boolean, median_close boolean")
+    return found.select("column_name", "rows", "nulls").join(F.broadcast(verdicts), "column_name")
+
+
 @query
 def data_profile_sketch(spark, d):
     return A.profile(V.readings_dirty(spark, d))
@@ -608,6 +681,13 @@ def temporal_anomalies(spark, d):
     return anomaly.with_temporal_flag(V.readings(spark, d)).select("id", "is_temporal")
 
 
+@query
+def temporal_anomalies_shifted(spark, d):
+    """Values around ten million with the same small spread: the flags must not change."""
+    rows = V.readings(spark, d).withColumn("value", F.col("value") + 1e7)
+    return anomaly.with_temporal_flag(rows).select("id", "is_temporal")
+
+
 @query
 def gaps(spark, d):
     return TS.gaps(V.readings(spark, d))
@@ -801,7 +881,47 @@ def issue_rows(spark, d):
 
 @query
 def recommendations(spark, d):
-    return reports.recommendations(flags(spark, d))
+    """Advice from range violations and z-score outliers; some sensors breach by the one, some by the other."""
+    rows = anomaly.with_range_flag(anomaly.with_zscore(V.readings_dirty(spark, d), threshold=1.5))
+    return reports.recommendations(rows.withColumn("anomalous_reading", F.col("is_range") | F.col("is_statistical")))
+
+
+def _classified(spark, d):
+    return anomaly.classify(cleaned(spark, d))
+
+
+def _sections(parts: dict[str, DataFrame], shapes: dict[str, list]) -> DataFrame:
+    """Sections of a report as rows: section, key and value, for comparison with another engine."""
+    found = [parts[name].select(F.lit(name).alias("section"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("key"), F.round(F.col(value).cast("double"), 6).alias("value")) for name, (keys, value) in shapes.items()]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query
+def anomaly_report(spark, d):
+    parts = reports.anomaly_report(_classified(spark, d))
+    return _sections(parts, {"totals": ([], "total_anomalies"), "breakdown": (["anomaly_class", "severity"], "anomalies"), "sensors": (["sensor_id"], "anomalies"), "top_anomalies": (["id", "severity"], "zscore")})
+
+
+@query
+def coverage_report(spark, d):
+    parts = reports.coverage_report(V.readings(spark, d))
+    return _sections(parts, {"coverage": (["sensor_id", "reading_type"], "coverage_percentage"), "gaps": (["sensor_id", "reading_type", "gap_end"], "gap_hours"), "summary": (["sensors_with_gaps", "total_gaps"], "longest_gap_hours")})
+
+
+@query
+def analytics_report(spark, d):
+    parts = reports.analytics_report(_classified(spark, d), [("temperature", "humidity")])
+    return _sections(parts, {"statistics": (["count"], "median"), "trends": (["sensor_id", "reading_type", "direction"], "slope"), "correlations": (["pair"], "correlation"), "insights": (["reading_type", "type", "impact"], "confidence")})
+
+
+@query
+def quality_report(spark, d):
+    parts = reports.quality_report(flags(spark, d))
+    parts["recommendations"] = parts["recommendations"].withColumn("one", F.lit(1))
+    return _sections(parts, {"quality_metrics": (["missing_values", "outliers"], "completeness"), "metrics": (["metric", "sensor_id", "reading_type"], "value"), "issues": (["id", "type"], "id"), "recommendations": (["sensor_id", "reading_type", "category"], "one")})
 
 
 @query

@@ -128,26 +128,40 @@ def issue_rows(df: DataFrame, outlier_value: float = OUTLIER_VALUE) -> DataFrame
     )
 
 
-def recommendations(df: DataFrame, flag: str = "anomalous_reading") -> DataFrame:
-    """One recommendation per breached series."""
-    lost = F.col("metric") == "missing_percentage"
-    hot = F.col("value") > 2 * F.col("limit")
-    category = F.when(lost, "connectivity").when(hot, "calibration").otherwise("validation")
-    name = F.col("sensor_id")
-    return threshold_breaches(df, flag).select(
-        "sensor_id",
-        "reading_type",
-        category.alias("category"),
-        F.when(lost, "high").when(hot, "medium").otherwise("low").alias("priority"),
-        F.when(lost, F.concat(F.lit("Check the connection of sensor "), name))
-        .when(hot, F.concat(F.lit("Calibrate the "), F.col("reading_type"), F.lit(" sensor "), name))
-        .otherwise(F.concat(F.lit("Review the value rules of sensor "), name))
-        .alias("description"),
-        F.when(lost, "Inspect power, wiring and network")
-        .when(hot, "Run the calibration procedure")
-        .otherwise("Update the validation limits")
-        .alias("action"),
+def recommendations(
+    df: DataFrame, flag: str = "anomalous_reading", max_missing=MAX_MISSING_PCT, max_anomaly=MAX_ANOMALY_PCT
+) -> DataFrame:
+    """One recommendation per breach of a series.
+
+    Too many missing values ask for a look at the connection. Too many anomalies ask for calibration if at least half of them are
+    outside the range of their type, else (outliers within the range) for a review of the rules.
+    """
+    ranged = df if "is_range" in df.columns else anomaly.with_range_flag(df)
+    hit = F.coalesce(F.col(flag), F.lit(False))
+    series = ranged.groupBy("sensor_id", "reading_type").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("value").isNull()).alias("missing"),
+        F.count_if(hit).alias("anomalous"),
+        F.count_if(hit & F.col("is_range")).alias("outside"),
+    )
+    name, kind = F.col("sensor_id"), F.col("reading_type")
+
+    def advice(category, priority, description, action):
+        parts = (F.lit(category), F.lit(priority), description, F.lit(action))
+        return F.struct(*[c.alias(n) for c, n in zip(parts, ("category", "priority", "description", "action"), strict=True)])
+
+    lost = F.when(
+        F.lit(100.0) * F.col("missing") / F.col("n") > max_missing,
+        advice("connectivity", "high", F.concat(F.lit("Check the connection of sensor "), name), "Inspect power, wiring and network"),
+    )
+    odd = F.when(
+        F.lit(100.0) * F.col("anomalous") / F.col("n") > max_anomaly,
+        F.when(
+            2 * F.col("outside") >= F.col("anomalous"),
+            advice("calibration", "medium", F.concat(F.lit("Calibrate the "), kind, F.lit(" sensor "), name), "Run the calibration procedure"),
+        ).otherwise(advice("validation", "low", F.concat(F.lit("Review the value rules of sensor "), name), "Update the validation limits")),
     )
+    return series.select("sensor_id", "reading_type", F.explode(F.array_compact(F.array(lost, odd))).alias("a")).select("sensor_id", "reading_type", "a.*")
 
 
 def alerts(df: DataFrame, flag: str = "anomalous_reading") -> DataFrame:

@@ -51,14 +51,41 @@ def scratch_dir(spark: SparkSession, label: str = "stage") -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+# Scratch tables that this process wrote and has not removed.
+_tables: list[str] = []
+
+
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """``df`` as a table in the scratch folder: short lineage, known size, safe when executors are lost."""
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *still_read: DataFrame) -> None:
+    """Remove the scratch tables written so far, but for those that the given frames read.
+
+    For flows of several steps, each of which is stored before the next one starts.
+    """
+    names = {name.split("/")[-2] for df in still_read for name in df.inputFiles()}
+    for path in [p for p in _tables if p.split("/")[-1] not in names]:
+        _tables.remove(path)
+        remove_path(spark, path)
+
+
+def _located(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether the file system of ``path`` has it; no job and no failing read."""
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+    files, found = _located(spark, path)
+    return files.exists(found)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all it holds, by one call of its file system; an absent one is no error."""
+    files, found = _located(spark, path)
+    files.delete(found, True)

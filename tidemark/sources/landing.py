@@ -116,7 +116,9 @@ def parquet_groups(spark: SparkSession, path: str | list[str]) -> tuple[list[tup
     one origin stand side by side, so the number of jobs grows with the changes of type along the list. The driver holds the names of
     the files, as Spark's own listing does.
     """
-    paths = [path] if isinstance(path, str) else list(path)
+    paths = [path] if isinstance(path, str) else [p for p in path if p.endswith(".parquet")]
+    if not paths:
+        return [], {}
     schema, _ = _common_schema(spark, paths)
     if schema is not None:
         return ([(schema, paths)] if schema.fields else []), {}

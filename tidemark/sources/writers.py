@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import flatten_location, now_ntz, report_type
 from ..operators.lookup import measured
 from ..schema import ERROR_EXPORT, EXPORT_FORMATS, METRICS, READINGS
+from ..session import remove_path, written
 from .readers import HEADER, read_readings, read_report
 
 # Text sinks cut times to milliseconds unless told otherwise.
@@ -98,11 +99,12 @@ def update_readings(spark: SparkSession, path: str, updates: DataFrame, partitio
     """Set the columns of ``updates`` on rows with the same id; a null keeps the old value.
 
     Only the date partitions that hold such rows are rewritten. The ids of
-    ``updates`` must be unique. Returns the number of rows changed.
+    ``updates`` must be unique; the frame is evaluated once. Returns the number of rows changed.
     """
     fixed = {"timestamp", *partition_by} & set(updates.columns)
     if fixed:
         raise ValueError(f"{sorted(fixed)} decide the partition: delete and append instead")
+    updates = written(updates, "updates")
     if updates.groupBy("id").count().where("count > 1").take(1):
         raise ValueError("several updates have the same id")
     keys = list(partition_by)
@@ -135,8 +137,8 @@ def delete_readings(spark: SparkSession, path: str, ids: DataFrame, partition_by
         kept = touched.join(measured(doomed), "id", "left_anti")
         write_readings(kept, path, partition_by=keys, overwrite_dates=True)
     for folder in emptied:
-        # A partition without rows is not part of a dynamic overwrite.
-        table.drop(*keys).limit(0).write.mode("overwrite").parquet(folder)
+        # A partition without rows is not part of a dynamic overwrite; removing it takes no job.
+        remove_path(spark, folder)
     return sum(hits.values())
 
 
