@@ -34,3 +34,16 @@ def test_written_tables_keep_rows_and_types(spark):
     df = spark.range(10).selectExpr("id", "cast(id AS string) AS s", "timestamp_ntz'2024-01-01 00:00:00' AS t")
     back = written(df)
     assert back.schema.simpleString() == df.schema.simpleString() and sorted(back.collect()) == sorted(df.collect())
+
+
+def test_scratch_tables_are_released_but_for_those_still_read(spark):
+    from tidemark import session
+
+    held = session.scratch_tables()
+    one, two = session.written(spark.range(3), "one"), session.written(spark.range(4), "two")
+    own = [p for p in session.scratch_tables() if p not in held]
+    session.release(spark, own, two.where("id > 1"))
+    assert two.count() == 4 and not session.path_exists(spark, own[0]) and session.path_exists(spark, own[1])
+    session.release(spark, own)
+    assert not session.path_exists(spark, own[1]) and session.scratch_tables() == held
+    del one

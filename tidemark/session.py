@@ -63,15 +63,21 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *still_read: DataFrame) -> None:
-    """Remove the scratch tables written so far, but for those that the given frames read.
+def scratch_tables() -> list[str]:
+    """Paths of the scratch tables that this process holds."""
+    return list(_tables)
+
+
+def release(spark: SparkSession, paths: list[str], *still_read: DataFrame) -> None:
+    """Remove scratch tables, but for those that the given frames read.
 
     For flows of several steps, each of which is stored before the next one starts.
     """
     names = {name.split("/")[-2] for df in still_read for name in df.inputFiles()}
-    for path in [p for p in _tables if p.split("/")[-1] not in names]:
-        _tables.remove(path)
-        remove_path(spark, path)
+    for path in set(paths) & set(_tables):
+        if path.split("/")[-1] not in names:
+            _tables.remove(path)
+            remove_path(spark, path)
 
 
 def _located(spark: SparkSession, path: str):
