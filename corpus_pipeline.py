@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, jaccard, language, postings, secrets
 from tidemark.llm.tables import table
-from tidemark.session import written
+from tidemark.session import release, scratch_tables, written
 
 ORACLE_SQL = None
 
@@ -43,12 +45,29 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_texts(docs, bpe.vocabulary_path()), "doc_id", "lang", "source")
 
 
+_left: list[str] = []
+
+
+def tidy(stage):
+    """``stage`` after removing the scratch tables of the stage before it, whose result is stored by then."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left, docs)
+        held = set(scratch_tables())
+        out = stage(spark, docs, sf_dir)
+        _left[:] = [path for path in scratch_tables() if path not in held]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("language", identify_language),
-    ("near_copies", join_near_copies),
-    ("benchmark", remove_leaks),
-    ("secrets", redact_secrets),
-    ("tokens", encode),
+    ("language", tidy(identify_language)),
+    ("near_copies", tidy(join_near_copies)),
+    ("benchmark", tidy(remove_leaks)),
+    ("secrets", tidy(redact_secrets)),
+    ("tokens", tidy(encode)),
 ]
 
 

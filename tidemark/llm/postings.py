@@ -99,26 +99,37 @@ def index(docs: DataFrame, terms: set[bytes], id_col: str = "doc_id", text_col:
 
 
 def deciding_terms(found: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """(window, length, term, offset, rank): of each window that can occur at all, its rarest terms."""
-    each = found.select("window").distinct().select("window", F.posexplode(F.split("window", " ")).alias("offset", "term"))
+    """(window, number, length, term, offset, rank): of each window that can occur at all, its rarest terms.
+
+    Windows are numbered in a written table, so that the lists carry 8 bytes instead of the words.
+    """
+    numbered = written(found.select("window").distinct().withColumn("number", F.monotonically_increasing_id()), "numbered")
+    each = numbered.select("window", "number", F.posexplode(F.split("window", " ")).alias("offset", "term"))
     rank = Window.partitionBy("window").orderBy("n", "offset")
     length = F.count(F.lit(1)).over(Window.partitionBy("window"))
     ranked = each.join(counts, "term").select(
-        "window", "term", "offset", F.row_number().over(rank).alias("rank"), length.alias("present")
+        "window", "number", "term", "offset", F.row_number().over(rank).alias("rank"), length.alias("present")
     )
     return ranked.withColumn("length", F.size(F.split("window", " "))).where("present = length").where(F.col("rank") <= rarest).drop("present")
 
 
 def phrase_matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, start, length, window): each place where all words of a window follow each other."""
-    lists = postings.where("term is not null").join(terms, "term")
-    start = (F.col("at") - F.col("offset")).alias("start")
-    wanted = F.least(F.col("length"), F.lit(RAREST))
+    lists = postings.where("term is not null").join(terms, "term").where(F.col("at") >= F.col("offset"))
     begin = F.col("before") - F.col("offset") + 1
     same = F.array_join(F.slice(F.split("context", " "), F.greatest(begin, F.lit(1)), F.col("length")), " ") == F.col("window")
-    exact = F.max((F.col("rank") == 1) & (begin >= 1) & same)
-    shifted = lists.where(F.col("at") >= F.col("offset")).groupBy("doc_id", start, "length", "window")
-    return shifted.agg(F.count_distinct("rank").alias("lists"), exact.alias("exact")).where(F.col("lists") == wanted).where("exact").drop("lists", "exact")
+    # The words around the rarest posting are compared where they are read; only numbers meet.
+    shifted = lists.select(
+        "doc_id",
+        (F.col("at") - F.col("offset")).alias("start"),
+        "number",
+        F.call_function("shiftleft", F.lit(1), F.col("rank") - 1).alias("list"),
+        ((F.col("rank") == 1) & (begin >= 1) & same).alias("exact"),
+        F.least(F.col("length"), F.lit(RAREST)).alias("wanted"),
+    )
+    met = shifted.groupBy("doc_id", "start", "number").agg(F.bit_or("list").alias("lists"), F.max("exact").alias("exact"), F.max("wanted").alias("wanted"))
+    full = met.where(F.col("exact") & (F.bit_count("lists") == F.col("wanted")))
+    return full.join(terms.where("rank = 1").select("number", "length", "window"), "number").select("doc_id", "start", "length", "window")
 
 
 def proximity_matches(postings: DataFrame, queries: DataFrame, within: int) -> DataFrame:
