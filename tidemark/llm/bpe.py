@@ -23,7 +23,7 @@ from tokenizers import Regex, models, normalizers
 LEAF = 48
 BLANK = re.compile("[\t\n\v\f\r]")
 WINDOW = 4
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 
 
 def byte_letters() -> list[str]:

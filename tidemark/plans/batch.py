@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.scalar import is_blank
 from ..functions.validity import split_valid, timestamp_parses, validity
-from ..operators import cleaning
+from ..operators import anomaly, cleaning
 from ..operators.aggregates import validation_counters
 from ..session import written
 from ..sources.landing import CORRUPT, short_files
@@ -20,7 +20,7 @@ from ..streaming.incremental import load_new_files
 from .load import calibrate, merge_load, state_home
 from .runs import Run
 
-__all__ = ["calibrate", "clean", "load_files", "process_and_store", "process_records", "processing_report", "run_batch", "run_incremental"]
+__all__ = ["calibrate", "clean", "enrich", "load_files", "process_and_store", "process_records", "processing_report", "run_batch", "run_incremental"]
 
 
 def transform_records(df: DataFrame) -> DataFrame:
@@ -75,6 +75,13 @@ def clean(df: DataFrame, fill: str = "drop") -> DataFrame:
     raise ValueError(f"Unknown fill policy: {fill}")
 
 
+def enrich(df: DataFrame, profile: str = "config") -> DataFrame:
+    """Calibrated value, quality score and the range and z-score flags of cleaned rows, within this frame."""
+    scored = calibrate(df, profile).withColumn("quality_score", S.quality_score())
+    flagged = anomaly.with_range_flag(anomaly.with_zscore(scored))
+    return flagged.withColumn("anomalous_reading", F.col("is_range") | F.col("is_statistical"))
+
+
 def load_files(
     spark: SparkSession,
     path: str | list[str],
