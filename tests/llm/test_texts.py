@@ -84,6 +84,15 @@ def test_bpe_query_and_odd_texts(spark):
     assert bpe.encode_texts(frame(spark, ODD).limit(0), bpe.vocabulary_path()).count() == 0
 
 
+def test_bpe_of_batches_longer_than_a_slice(spark):
+    library, n = Tokenizer.from_file(bpe.vocabulary_path()), 2 * bpe.TEXTS_AT_ONCE + 3
+    texts = [None if i % 7 == 0 else f"Token number {i} é " * (i % 5) for i in range(n)]
+    got = {r.doc_id: r.bpe for r in bpe.encode_texts(frame(spark, texts).coalesce(1), bpe.vocabulary_path()).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i].ids == ids and got[i].decoded == library.decode(ids, skip_special_tokens=False)
+
+
 def test_language_on_held_out_documents(spark):
     truth = {d["doc_id"]: d["lang"] for d in brute.rows("documents")}
     found = language.op7_language_id(spark, brute.DATA).collect()

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -23,7 +24,8 @@ from tokenizers import Regex, models, normalizers
 LEAF = 48
 BLANK = re.compile("[\t\n\v\f\r]")
 WINDOW = 4
-CACHED_WORDS = 120_000
+CACHED_WORDS = 60_000
+TEXTS_AT_ONCE = 256  # a task holds the ids of so many texts, whatever the size of a batch
 
 
 def byte_letters() -> list[str]:
@@ -162,8 +164,7 @@ def encode_texts(df: DataFrame, file: str, text_col: str = "text", out_col: str
     """
     model = WordBpe(file)
 
-    @F.arrow_udf(ENCODED)
-    def run(texts: pa.Array) -> pa.Array:
+    def encoded(texts: pa.Array) -> pa.Array:
         parts, decoded, ends = [], [], [0]
         for t in texts:
             ids = model.encode(t.as_py())
@@ -174,6 +175,12 @@ def encode_texts(df: DataFrame, file: str, text_col: str = "text", out_col: str
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
         return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
 
+    @F.arrow_udf(ENCODED)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for at in range(0, len(texts), TEXTS_AT_ONCE):
+                yield encoded(texts.slice(at, TEXTS_AT_ONCE))
+
     return df.withColumn(out_col, run(F.col(text_col)))
 
 
