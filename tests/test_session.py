@@ -3,8 +3,9 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.session import scratch_dir, written
+from tidemark.session import CLEANUP, scratch_dir, written
 
 
 def fake(master, folder=None):
@@ -47,3 +48,12 @@ def test_scratch_tables_are_released_but_for_those_still_read(spark):
     session.release(spark, own)
     assert not session.path_exists(spark, own[1]) and session.scratch_tables() == held
     del one
+
+
+def test_written_keeps_the_cleanup_setting_and_its_tables_can_be_read_again(spark):
+    before = spark.conf.get(CLEANUP, None)
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "counted")
+    assert sorted(r.n for r in table.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    assert spark.conf.get(CLEANUP, None) == before
+    again = written(table.join(table.withColumnRenamed("n", "m"), "k"), "joined")
+    assert again.count() == 7 and again.where("n = m").count() == 7

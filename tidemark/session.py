@@ -51,16 +51,31 @@ def scratch_dir(spark: SparkSession, label: str = "stage") -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+# Removes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Scratch tables that this process wrote and has not removed.
 _tables: list[str] = []
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
-    """``df`` as a table in the scratch folder: short lineage, known size, safe when executors are lost."""
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    """``df`` as a table in the scratch folder: short lineage, known size, safe when executors are lost.
+
+    The shuffle files of the write go once it has ended; nothing reads them again, as later steps read the table.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     _tables.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_tables() -> list[str]:
