@@ -168,16 +168,67 @@ def test_language_model(spark):
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)
         assert abs(base - r.base_score) < 1e-6 * abs(base) and r.train_tokens == n and r.n_tokens == len(own)
         assert r.n_known == sum(counts[w] > 0 for w in own) and r.score < 0
-    model = katz.fit(docs(spark, [r["text"] for r in rows]))
-    # Every history's distribution over classes sums to one, and so do the words.
-    classes = np.arange(len(model.lower))
-    width = len(model.lower) + 1
-    for h in (*range(0, width, 7), width - 1):
-        at, known = katz.places(model.bigram, (h * width + classes).astype(np.uint64))
-        p = np.where(known, 10.0 ** model.seen[at], 10.0 ** (model.backoff[h] + model.lower))
-        assert abs(p.sum() - 1) < 1e-9
-    words = np.array([x.n for x in model.unigrams.collect()])
-    assert abs(model.one(words).sum() + model.unseen - 1) < 1e-9
+
+
+class Katz:
+    """Plain Katz bigrams over lists of words."""
+
+    def __init__(self, texts):
+        self.uni = Counter(w for t in texts for w in t)
+        self.pairs = Counter(p for t in texts for p in zip([0, *t], t))
+        self.total = sum(self.uni.values())
+        self.du, self.dp = (katz.good_turing(Counter(c.values())) for c in (self.uni, self.pairs))
+        mass = sum(self.kept(n, self.du) for n in self.uni.values()) / self.total
+        self.unseen, self.scale = (1 - mass, 1) if mass < 1 - 1e-12 else (1 / (self.total + 1), self.total / (self.total + 1) / mass)
+        self.after = {}
+        for (h, w), n in self.pairs.items():
+            self.after.setdefault(h, {})[w] = n
+
+    def kept(self, n, ratios):
+        return n * (ratios[n] if n <= katz.DISCOUNTED else 1)
+
+    def one(self, w):
+        return self.kept(self.uni[w], self.du) / self.total * self.scale if w in self.uni else self.unseen
+
+    def two(self, h, w):
+        seen = self.after.get(h)
+        if not seen:
+            return self.one(w)
+        total, given, covered = sum(seen.values()), sum(self.kept(n, self.dp) for n in seen.values()), sum(map(self.one, seen))
+        part = given / total if given / total <= 1 - 1e-6 else 1 - 1 / (total + 1)
+        return self.kept(seen[w], self.dp) * part / given if w in seen else (1 - part) / (1 - covered) * self.one(w)
+
+
+def test_language_model_scores_every_word_by_katz_backoff(spark, monkeypatch):
+    rows = brute.rows("documents")
+    words = {r["doc_id"]: [*r["text"].encode().lower().split(), None] for r in rows}
+    plain = Katz([own for k, own in words.items() if brute.bucket(k, 5) != 1])
+    # Every history's distribution over words sums to one.
+    for h in (0, *list(plain.after)[:40], b"never seen"):
+        assert abs(sum(plain.two(h, w) for w in plain.uni) + plain.two(h, b"another") - 1) < 1e-9
+    want = {k: sum(math.log10(plain.two(h, w)) for h, w in zip([0, *own], own)) for k, own in words.items()}
+    got = {r.doc_id: r for r in katz.op6_katz(spark, brute.DATA).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k].score - want[k]) < 1e-6 * abs(want[k]) for k in want)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    # Many buckets, hot words spread over several of them, slices of few texts.
+    monkeypatch.setattr(katz, "SHARE", 8000)
+    monkeypatch.setattr(katz, "HELD", 3000)
+    split = {r.doc_id: r for r in katz.op6_katz(spark, brute.DATA).collect()}
+    assert split.keys() == got.keys()
+    for k, r in split.items():
+        assert abs(r.score - want[k]) < 1e-6 * abs(want[k]) and abs(r.base_score - got[k].base_score) < 1e-6 * abs(r.base_score) and r.n_known == got[k].n_known
+
+
+def test_language_model_scores_far_more_texts_than_it_learned_from(spark):
+    texts = ["a b c d", "a b x", "b c", None]
+    plain = Katz([[*(t or "").split(), None] for t in texts])
+    frame = docs(spark, [f"a b c {i} " * 200 for i in range(60)] + texts)
+    got = {r.doc_id: r.score for r in katz.score(frame, katz.fit(docs(spark, texts))).collect()}
+    for i, t in [(r.doc_id, r.text) for r in frame.collect()]:
+        own = [*(t or "").split(), None]
+        want = sum(math.log10(plain.two(h, w)) for h, w in zip([0, *own], own))
+        assert abs(got[i] - want) < 1e-6 * abs(want)
 
 
 def test_language_model_without_training_and_with_repeated_rows(spark):
@@ -200,7 +251,7 @@ def test_language_model_knows_pairs_of_rare_words(spark, monkeypatch):
     model = katz.fit(docs(spark, texts))
     got = {r.doc_id: r.score for r in katz.score(frame, model).collect()}
     assert all(got[i] > got[20 + i] + 5 for i in range(20))
-    monkeypatch.setattr(katz, "KNOWN", katz.HISTORY)  # all pairs and histories are joined
+    monkeypatch.setattr(katz, "SHARE", 1500)  # pairs and histories in many buckets
     joined = {r.doc_id: r.score for r in katz.score(frame, katz.fit(docs(spark, texts))).collect()}
     assert joined.keys() == got.keys() and all(abs(joined[k] - got[k]) < 1e-6 for k in got)
 

@@ -1,56 +1,64 @@
 """Katz backoff language model over words, and scores of whole texts.
 
-Words are told apart by 64-bit hashes. Unigram and bigram counts cover all words and training tokens; they are written tables that
-grow with the corpus. A pair of words that was not seen backs off to the bigrams of classes: one for each word that makes up at
-least 1/HISTORY of all tokens (so at most HISTORY of them), one for the text end, and one for all other words, inside which
-the unigram distribution decides. Good-Turing discounts free probability, which each history hands to the lower order
-with a weight that makes its distribution sum to one exactly; words never seen share one type.
+Words are told apart by 64-bit hashes; each text ends in one end token and each first token has the start of text as its history.
+Bigrams of all words and all training tokens are counted. Good-Turing discounts free probability, which each history hands to
+the unigrams with a weight that makes its distribution sum to one exactly; words never seen share one type.
+
+The pairs are kept in a table dealt and bucketed by history, SHARE training tokens a bucket; a history with more tokens is spread
+over several buckets by its successors. A row holds many pairs as packed arrays, so shuffles move few large rows. Texts send their
+pairs to the buckets, which look them up and send back one sum per text.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import bucket_of, table
 from tidemark.llm.wordhash import MIX, folded, mixed, word_hashes
-from tidemark.session import written
+from tidemark.session import release, scratch_dir, scratch_tables, written
 
-HISTORY = 2048
-KNOWN = 1 << 18  # words and pairs whose figures go to the tasks: at most so many, each over 1/KNOWN of all tokens; others are joined
 DISCOUNTED = 5  # counts up to this are discounted
-HELD = 4_000_000
+HELD = 500_000  # tokens that a task holds before it sends them on
+SHARE = 1_000_000  # training tokens a bucket
+TEXTS = 1 << 16  # a slice of texts has at most so many, so that a place in it takes two bytes
 END = np.uint64(0xE0D)  # hash of the end token
 START = np.uint64(0x57A)  # history of the first token
-HISTORIES = 64  # partitions of the bigram table
+TINY = 1e-300
 
 
 def text_tokens(text: str | None) -> np.ndarray:
     return np.append(word_hashes(folded(text)), END)
 
 
-def summed(docs: DataFrame, text_col: str, of) -> DataFrame:
-    """(key, n): keys of all texts, counted inside each task over HELD keys at a time, then added up."""
+def held_tokens(batches, column: int):
+    """Lists of the token arrays of about HELD tokens."""
+    held, size = [], 0
+    for batch in batches:
+        for text in batch.column(column):
+            held.append(text_tokens(text.as_py()))
+            size += len(held[-1])
+            if size >= HELD:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
-    def count(batches):
-        held, size = [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                held.append(of(text_tokens(text.as_py())))
-                size += len(held[-1])
-                if size >= HELD:
-                    yield out(held)
-                    held, size = [], 0
-        if held:
-            yield out(held)
 
-    def out(held):
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+def summed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, n): tokens of all texts, counted inside each task over HELD tokens at a time, then added up."""
+
+    def count(batches):
+        for held in held_tokens(batches, 0):
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
     return docs.select(text_col).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -60,34 +68,47 @@ def pairs_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.array([START], dtype=np.uint64), tokens[:-1]]), tokens
 
 
-def distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((second, first))
-    first, second = first[order], second[order]
-    at = np.flatnonzero(np.concatenate([np.ones(min(len(first), 1), bool), (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
-    return first[at], second[at], np.diff(np.append(at, len(first)))
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of sorted keys begins."""
+    change = np.ones(len(keys[0]), dtype=bool)
+    change[1:] = False
+    for k in keys:
+        change[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(change)
 
 
-def summed_pairs(docs: DataFrame, text_col: str) -> DataFrame:
-    """(history, word, n): all bigrams of all texts, counted as in ``summed``."""
+def places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
 
-    def count(batches):
-        held, size = [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                held.append(pairs_of(text_tokens(text.as_py())))
-                size += len(held[-1][1])
-                if size >= HELD:
-                    yield out(held)
-                    held, size = [], 0
-        if held:
-            yield out(held)
 
-    def out(held):
-        history, word, n = distinct_pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array(history.view(np.int64)), pa.array(word.view(np.int64)), pa.array(n)], ["history", "word", "n"])
+def pair_code(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(h * MIX ^ w)
+
+
+def binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` between neighbouring cuts."""
+    offsets = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def numbers(column, kind) -> np.ndarray:
+    """All values of a packed column."""
+    return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), dtype=kind)
+
 
-    found = docs.select(text_col).mapInArrow(count, "history long, word long, n long")
-    return found.groupBy("history", "word").agg(F.sum("n").alias("n"))
+def packed(bucket: np.ndarray, key: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """One row per bucket: its number, its different keys, how often each stands, and the other columns. Sorted by bucket and key."""
+    row, first = starts_of(bucket), starts_of(bucket, key)
+    cuts, key_cuts = np.append(row, len(key)), np.append(np.searchsorted(first, row), len(first))
+    runs = np.diff(np.append(first, len(key))).astype(np.uint32)
+    return [pa.array(bucket[row]), binary(key[first], key_cuts), binary(runs, key_cuts), *[binary(c, cuts) for c in columns]]
+
+
+def unpacked(rows: pa.Table) -> np.ndarray:
+    """The key of each entry."""
+    return np.repeat(numbers(rows.column("keys"), np.uint64), numbers(rows.column("runs"), np.uint32))
 
 
 def good_turing(counts_of_counts: dict[int, int]) -> np.ndarray:
@@ -105,288 +126,310 @@ def good_turing(counts_of_counts: dict[int, int]) -> np.ndarray:
     return out
 
 
-def counts_of_counts(df: DataFrame) -> dict[int, int]:
-    rows = df.where(F.col("n") <= DISCOUNTED + 1).groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()
-    return {r.n: r.words for r in rows}
+def discounted(n: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    return n * np.where(n <= DISCOUNTED, ratios[np.minimum(n, DISCOUNTED)], 1.0)
 
 
 @dataclass
 class Model:
     tokens: int
     types: int
-    unigrams: DataFrame  # (key, n), all words
-    discount: np.ndarray
+    size: int  # bytes of the training texts
+    ends: int  # training texts
+    discount: np.ndarray  # of unigrams
     unseen: float  # probability of the type of unseen words
     scale: float
-    keys: np.ndarray  # frequent words, sorted
-    counts: np.ndarray
-    history: np.ndarray  # class of a frequent word: its number, or that of the class of other words
-    bigram: np.ndarray  # sorted codes of seen bigrams
-    seen: np.ndarray  # their log10 probabilities
-    backoff: np.ndarray  # log10 weight of each history
-    lower: np.ndarray  # log10 unigram probability of each class
-    pairs: DataFrame | None = None  # (history, word, n, bonus): log10 of what a seen pair has over its backoff
-    weights: DataFrame | None = None  # (history, total, weight): log10 of the backoff weight
-    top_pairs: tuple[np.ndarray, ...] = ()  # code, history, word, bonus of the frequent pairs, by code
-    top_weights: tuple[np.ndarray, ...] = ()  # history and weight of the frequent ones
+    buckets: int
+    hot: np.ndarray  # words with over SHARE tokens, sorted; at most as many as buckets
+    hot_counts: np.ndarray
+    pair_discount: np.ndarray
+    hot_given: np.ndarray  # what discounted counts leave of the tokens after each hot word
+    hot_covered: np.ndarray  # unigram probability of the words seen after it
+    pairs: DataFrame | None = None  # the bucketed table of packed pairs
 
     def one(self, n: np.ndarray) -> np.ndarray:
         """Unigram probability of words with these training counts."""
         if not self.tokens:
             return np.ones(len(n))
-        small = np.minimum(n, DISCOUNTED)
-        share = n * np.where(n <= DISCOUNTED, self.discount[small], 1.0) / self.tokens * self.scale
-        return np.where(n > 0, share, self.unseen)
+        return np.where(n > 0, discounted(n, self.discount) / self.tokens * self.scale, self.unseen)
+
+    def bucket(self, owner: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Bucket of each pair by one of its words; pairs of a hot word are spread by the other one."""
+        at, known = places(self.hot, owner)
+        spread = np.ones(len(owner), dtype=np.uint64)
+        spread[known] = -(-self.hot_counts[at[known]] * self.buckets // self.tokens)
+        return (mixed(mixed(owner) + mixed(other) % spread) % np.uint64(self.buckets)).astype(np.int32)
+
+    def units(self, total: np.ndarray, given: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Factor of a history's discounted counts and its backoff weight, which together make it sum to one."""
+        full, share = covered > 1 - 1e-12, given / np.maximum(total, 1)
+        # A history without discounted counts still owes something to words that it was not seen with; one seen with all owes nothing.
+        part = np.where(full, 1.0, np.where(share > 1 - 1e-6, 1 - 1 / (total + 1), share))
+        return part / np.maximum(given, TINY), np.where(full, TINY, np.maximum((1 - part) / np.maximum(1 - covered, TINY), TINY))
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count all texts of ``docs``; the count tables are written, the bounded parts come to the driver."""
-    unigrams = written(summed(docs, text_col, lambda t: t), "unigrams")
-    total, types = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    classes = counts_of_counts(unigrams)
+    """Count all texts of ``docs``; null counts as the empty text, repeated rows count repeatedly.
+
+    Counts of counts and the words with over SHARE tokens come to the driver, the pairs stay in a table. Without texts the model
+    gives every text the score 0.
+    """
+    spark, before = docs.sparkSession, scratch_tables()
+    unigrams = written(summed(docs, text_col), "unigrams")
+    total, types, ends = unigrams.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("key") == int(END), F.col("n"))), F.lit(0))
+    ).first()
+    rows = unigrams.where(F.col("n") <= DISCOUNTED + 1).groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()
+    classes = {r.n: r.words for r in rows}
+    buckets = max(1, -(-total // SHARE))
+    top = {r.key: r.n for r in unigrams.where(F.col("n") * buckets > total).collect()}  # fewer than buckets
+    release(spark, list(set(scratch_tables()) - set(before)))
+    if int(END) in top:
+        top[int(START)] = top[int(END)]
+    hot = np.array(list(top), dtype=np.int64).view(np.uint64)
+    order = np.argsort(hot)
     discount = good_turing(classes)
-    mass = sum(r * c * discount[r] for r, c in classes.items() if r <= DISCOUNTED)
-    mass = (mass + total - sum(r * c for r, c in classes.items() if r <= DISCOUNTED)) / max(total, 1)
+    few = {r: c for r, c in classes.items() if r <= DISCOUNTED}
+    mass = (sum(r * c * discount[r] for r, c in few.items()) + total - sum(r * c for r, c in few.items())) / max(total, 1)
     # Without singletons nothing is freed: then unseen words get as much as one token.
-    unseen, scale = (1 - mass, 1.0) if mass < 1 - 1e-12 else (1 / (total + 1), total / (total + 1) / max(mass, 1e-300))
-    top = unigrams.where(F.col("n") * KNOWN >= total).toPandas()
-    keys = top["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    keys, counts = keys[order], top["n"].to_numpy(np.int64)[order]
-    model = Model(total, types, unigrams, discount, unseen, scale, keys, counts, np.zeros(0, np.int64), *[np.zeros(0)] * 4)
-    if not total:
-        return model
-    chosen = (counts * HISTORY >= total) | (keys == END)
-    other = int(chosen.sum())  # the class of all other words; start of text comes after it
-    model.history = np.where(chosen, np.cumsum(chosen) - 1, other)
-    width = np.uint64(other + 2)
-
-    history, all_keys = model.history, model.keys
-    pairs = written(summed_pairs(docs, text_col), "pairs")
-
-    def codes(batches):
-        for batch in batches:
-            own = [batch.column(c).to_numpy().view(np.uint64) for c in range(2)]
-            key = history_class(own[0], all_keys, history, other) * width + class_of(own[1], all_keys, history, other)
-            key, at = np.unique(key, return_inverse=True)
-            n = np.zeros(len(key), dtype=np.int64)
-            np.add.at(n, at, batch.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
-
-    table_ = pairs.mapInArrow(codes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    table_ = table_.withColumn("history", F.expr(f"key div {int(width)}"))
-    bigrams = written(table_.repartition(HISTORIES, "history").sortWithinPartitions("key"), "bigrams")
-    d = good_turing(counts_of_counts(bigrams))
-    rows = bigrams.select("key", "n").toPandas()  # at most (HISTORY + 2) squared
-    code = rows["key"].to_numpy(np.int64)
-    order = np.argsort(code)
-    code, n = code[order], rows["n"].to_numpy(np.int64)[order]
-    h, w = code // int(width), code % int(width)
-    lower = np.zeros(other + 1)
-    lower[model.history[chosen]] = model.one(counts[chosen])
-    lower[other] = max(1 - lower[:other].sum(), 1e-300)
-    of_history = np.bincount(h, weights=n, minlength=other + 2)
-    seen = n * np.where(n <= DISCOUNTED, d[np.minimum(n, DISCOUNTED)], 1.0) / of_history[h]
-    given = np.bincount(h, weights=seen, minlength=other + 2)
-    covered = np.bincount(h, weights=lower[w], minlength=other + 2)
-    full = np.bincount(h, minlength=other + 2) == other + 1
-    # A history without discounted counts still owes something to classes that it was not seen with; one seen with all owes nothing.
-    keep = np.where(full, 1.0, np.where(given > 1 - 1e-6, 1 - 1 / (of_history + 1), given)) / np.maximum(given, 1e-300)
-    seen *= keep[h]
-    rest = np.where(full, 0.0, 1 - given * keep)
-    with np.errstate(divide="ignore"):
-        model.backoff = np.log10(np.where(of_history > 0, rest / np.maximum(1 - covered, 1e-300), 1.0))
-        model.lower = np.log10(lower)
-        model.seen = np.log10(seen)
-    model.bigram = code.astype(np.uint64)
-    weigh_pairs(model, pairs)
+    unseen, scale = (1 - mass, 1.0) if mass < 1 - 1e-12 else (1 / (total + 1), total / (total + 1) / max(mass, TINY))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    none = np.ones(DISCOUNTED + 1)
+    counts = np.array(list(top.values()), dtype=np.int64)[order]
+    model = Model(total, types, size, ends, discount, unseen, scale, buckets, hot[order], counts, none, np.zeros(len(top)), np.zeros(len(top)))
+    if total:
+        count_pairs(model, docs, text_col)
     return model
 
 
-def share_of_count(model: Model, n):
-    """Unigram probability as a column, as in ``Model.one``."""
-    if not model.tokens:
-        return F.lit(1.0)
-    small = F.array(*[F.lit(float(x)) for x in model.discount])
-    ratio = F.when(n <= DISCOUNTED, F.element_at(small, (F.least(n, F.lit(DISCOUNTED)) + 1).cast("int"))).otherwise(1.0)
-    return F.when(n > 0, n * ratio * (model.scale / model.tokens)).otherwise(F.lit(model.unseen))
-
-
-def weigh_pairs(model: Model, pairs: DataFrame) -> None:
-    """Discounts of the pairs and the weight of each history; the tables are written, the frequent parts come to the driver."""
-    bare, other = replace(model, unigrams=None), len(model.lower) - 1
-    own = model.one(model.counts)
-
-    def grade(batches):
-        """``lower``: probability by classes; of words that tasks do not know, still without the unigram one."""
-        for batch in batches:
-            h, w = (batch.column(c).to_numpy().view(np.uint64) for c in range(2))
-            at, known = places(bare.keys, w)
-            classes = np.where(known, bare.history[at], other).astype(np.uint64)
-            lower = log_pair(bare, history_class(h, bare.keys, bare.history, other), classes)
-            inside = classes == other
-            lower = 10.0 ** (lower - np.where(inside, bare.lower[other], 0.0)) * np.where(inside & known, own[at], 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lower), pa.array(known)], ["history", "word", "n", "lower", "known"])
-
-    graded = pairs.mapInArrow(grade, "history long, word long, n long, lower double, known boolean")
-    rare = graded.where("not known").join(model.unigrams.select(F.col("key").alias("word"), F.col("n").alias("own")), "word")
-    rare = rare.select("history", "word", "n", (F.col("lower") * share_of_count(model, F.col("own"))).alias("lower"))
-    graded = written(graded.where("known").drop("known").unionByName(rare), "graded")
-    small = F.array(*[F.lit(float(x)) for x in good_turing(counts_of_counts(pairs))])
-    kept = F.col("n") * F.when(F.col("n") <= DISCOUNTED, F.element_at(small, (F.least("n", F.lit(DISCOUNTED)) + 1).cast("int"))).otherwise(1.0)
-    sums = graded.groupBy("history").agg(F.sum("n").alias("total"), F.sum(kept).alias("kept"), F.sum("lower").alias("covered"))
-    given, full = F.col("kept") / F.col("total"), F.col("covered") > 1 - 1e-12
-    # A history without discounted counts still owes something to words that it was not seen with; one seen with all owes nothing.
-    part = F.when(full, 1.0).when(given > 1 - 1e-6, 1 - 1 / (F.col("total") + 1)).otherwise(given)
-    weight = F.when(full, 1e-300).otherwise(F.greatest((1 - part) / (1 - F.col("covered")), F.lit(1e-300)))
-    weights = written(sums.select("history", "total", (part / F.col("kept")).alias("unit"), F.log10(weight).alias("weight")), "weights")
-    bonus = F.log10(kept * F.col("unit")) - F.log10(F.greatest("lower", F.lit(1e-300))) - F.col("weight")
-    model.pairs = written(graded.join(weights, "history").select("history", "word", "n", bonus.alias("bonus")), "pairs")
-    model.weights = weights.drop("unit")
-    top = model.pairs.where(F.col("n") * KNOWN >= model.tokens).toPandas()
-    h, w = (top[c].to_numpy(np.int64).view(np.uint64) for c in ("history", "word"))
-    order = np.argsort(pair_code(h, w))
-    model.top_pairs = pair_code(h, w)[order], h[order], w[order], top["bonus"].to_numpy(float)[order]
-    top = model.weights.where(F.col("total") * KNOWN >= model.tokens).toPandas()
-    h = top["history"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    model.top_weights = h[order], top["weight"].to_numpy(float)[order]
-
-
-def pair_code(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mixed(h * MIX ^ w)
-
-
-def places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
-
-
-def class_of(tokens: np.ndarray, keys: np.ndarray, history: np.ndarray, other: int) -> np.ndarray:
-    at, known = places(keys, tokens)
-    return np.where(known, history[at], other).astype(np.uint64)
-
-
-def history_class(tokens: np.ndarray, keys: np.ndarray, history: np.ndarray, other: int) -> np.ndarray:
-    return np.where(tokens == START, np.uint64(other + 1), class_of(tokens, keys, history, other))
-
-
-def log_class(model: Model, classes: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each class after the one before it: the bigram if seen, else backoff times unigram."""
-    other = len(model.lower) - 1
-    return log_pair(model, np.concatenate([np.array([other + 1], dtype=np.uint64), classes[:-1]]), classes)
-
-
-def log_pair(model: Model, before: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    at, known = places(model.bigram, before * np.uint64(len(model.lower) + 1) + classes)
-    lower = model.backoff[before.astype(np.int64)] + model.lower[classes.astype(np.int64)]
-    return np.where(known, model.seen[at], lower)
+STATS = "history long, counts array<long>, covered double"
+
+
+def count_pairs(model: Model, docs: DataFrame, text_col: str) -> None:
+    """Count all bigrams. They meet by word, where the counts of the words are known, then by history, where they are stored."""
+    bare = replace(model)
+
+    def send(batches):
+        for held in held_tokens(batches, 0):
+            history, word = (np.concatenate(x) for x in zip(*map(pairs_of, held), strict=True))
+            for at in range(0, len(word), 2 * HELD):
+                h, w = history[at : at + 2 * HELD], word[at : at + 2 * HELD]
+                bucket = bare.bucket(w, h)
+                order = np.lexsort((h, w, bucket))
+                h, w, bucket = h[order], w[order], bucket[order]
+                first = starts_of(w, h)
+                n = np.diff(np.append(first, len(w))).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays(packed(bucket[first], w[first], h[first], n), ["bucket", "keys", "runs", "histories", "n"])
+
+    def by_word(group: pa.Table) -> pa.Table:
+        w, h, n = unpacked(group), numbers(group.column("histories"), np.uint64), numbers(group.column("n"), np.uint32)
+        order = np.lexsort((h, w))
+        w, h, n = w[order], h[order], n[order].astype(np.int64)
+        first = starts_of(w, h)
+        w, h, n = w[first], h[first], np.add.reduceat(n, first)
+        at = starts_of(w)
+        own = np.repeat(np.add.reduceat(n, at), np.diff(np.append(at, len(w))))
+        place, known = places(bare.hot, w)
+        own[known] = bare.hot_counts[place[known]]  # only a part of a hot word's pairs is here
+        bucket = bare.bucket(h, w)
+        order = np.lexsort((w, h, bucket))
+        rows = packed(bucket[order], h[order], w[order], n[order].astype(np.uint32), own[order])
+        # Counts of counts over all pairs and, of hot histories, over theirs, with the probability of their words.
+        place, known = places(bare.hot, h)
+        which = np.where(known, place + 1, 0)
+        small = np.minimum(n, DISCOUNTED + 2) - 1
+        table_ = np.zeros((len(bare.hot) + 1, DISCOUNTED + 2), dtype=np.int64)
+        np.add.at(table_, (which, small), 1)
+        covered = np.bincount(which, weights=bare.one(own), minlength=len(table_))
+        met = np.flatnonzero(table_.any(axis=1)[1:]) + 1
+        history = [None, *bare.hot[met - 1].view(np.int64).tolist()]
+        counts = [table_.sum(axis=0).tolist(), *table_[met].tolist()]
+        stats = [pa.array(history, pa.int64()), pa.array(counts, pa.list_(pa.int64())), pa.array([0.0, *covered[met].tolist()])]
+        here, more = len(rows[0]), len(history)
+        buckets = pa.concat_arrays([rows[0], pa.array(np.arange(more, dtype=np.int32) % np.int32(bare.buckets))])
+        packs = [pa.concat_arrays([x, pa.nulls(more, pa.binary())]) for x in rows[1:]]
+        extra = [pa.concat_arrays([pa.nulls(here, x.type), x]) for x in stats]
+        return pa.Table.from_arrays([buckets, *packs, *extra], ["bucket", "keys", "runs", "words", "n", "own", "history", "counts", "covered"])
+
+    def by_history(group: pa.Table) -> pa.Table:
+        """The pairs of a bucket in one row, and its other rows as they are."""
+        h, w = unpacked(group), numbers(group.column("words"), np.uint64)
+        n, own = numbers(group.column("n"), np.uint32), numbers(group.column("own"), np.int64)
+        order = np.lexsort((w, h))
+        number = group.column("bucket")[:1].combine_chunks().to_numpy()
+        stats = group.filter(pc.is_null(group.column("keys")))
+        if not len(h):
+            return stats
+        rows = packed(np.repeat(number, len(h)), h[order], w[order], n[order], own[order])
+        one = pa.Table.from_arrays([*rows, *[pa.nulls(1, f.type) for f in stats.schema][6:]], stats.schema.names)
+        return pa.concat_tables([one, stats])
+
+    shape = "bucket int, keys binary, runs binary, words binary, n binary, own binary, " + STATS
+    sent = docs.select(text_col).mapInArrow(send, "bucket int, keys binary, runs binary, histories binary, n binary")
+    counted = sent.groupBy("bucket").applyInArrow(by_word, shape)
+    stored = bucketed(counted.groupBy("bucket").applyInArrow(by_history, shape), model.buckets)
+    sums = [F.sum(F.col("counts")[i]).alias(f"n{i + 1}") for i in range(DISCOUNTED + 1)]
+    rows = stored.where("keys is null").groupBy("history").agg(*sums, F.sum("covered").alias("covered")).collect()
+    found = {r.history: r for r in rows}
+    model.pair_discount = good_turing({i: found[None][f"n{i}"] for i in range(1, DISCOUNTED + 2)})
+    for i, h in enumerate(model.hot.view(np.int64).tolist()):
+        if h in found:
+            lost = sum(r * found[h][f"n{r}"] * (1 - model.pair_discount[r]) for r in range(1, DISCOUNTED + 1))
+            model.hot_given[i], model.hot_covered[i] = model.hot_counts[i] - lost, found[h]["covered"]
+    model.pairs = stored.where("keys is not null").select("bucket", "keys", "runs", "words", "n", "own")
+
+
+def bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """``df`` as a scratch table bucketed by its column ``bucket``, so that a join by it moves only the other side."""
+    spark, name = df.sparkSession, f"pairs_{uuid.uuid4().hex}"
+    files = min(buckets, 100_000)
+    rows = df.repartition(files, "bucket")
+    rows.write.bucketBy(files, "bucket").option("path", scratch_dir(spark, "pairs")).saveAsTable(name)
+    return spark.table(name)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; log10 probabilities.
 
-    Null counts as the empty text, which is one end token. Figures of words, histories and pairs too rare for the tasks' tables are
-    joined to their occurrences. Repeated rows give repeated results. Without training texts both scores are 0.
+    Null counts as the empty text, which is one end token. Repeated rows give repeated results, ids may be null. Without training
+    texts both scores are 0. Rows must come in an order that a repeated task finds again, as those of a table do.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    unigrams, pairs, weights = model.unigrams, model.pairs, model.weights
-    model = replace(model, unigrams=None, pairs=None, weights=None)
-    log_count = np.log10(model.counts + 0.5)
-    other, log_own = len(model.lower) - 1, np.log10(np.maximum(model.one(model.counts), 1e-300))
-    norm = float(np.log10(model.tokens + 0.5 * (model.types + 1)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    bare = replace(model, pairs=None)
+    names = ["bucket", "slice", "keys", "runs", "words", "at", "ids", "tokens"]
+
+    def ask(batches):
+        """Pairs of a slice of texts, by bucket, and one row with its ids and sizes."""
+        part, number = TaskContext.get().partitionId(), 0
+        ids, held, size, id_type = [], [], 0, None
+
+        def out():
+            own = (part << 33) + number
+            if bare.tokens:
+                history, word = (np.concatenate(x) for x in zip(*map(pairs_of, held), strict=True))
+                place = np.repeat(np.arange(len(held), dtype=np.uint16), [len(t) for t in held])
+                for a in range(0, len(word), 2 * HELD):
+                    h, w, at = (x[a : a + 2 * HELD] for x in (history, word, place))
+                    bucket = bare.bucket(h, w)
+                    order = np.lexsort((h, bucket))
+                    cells = packed(bucket[order], h[order], w[order], at[order])
+                    n = len(cells[0])
+                    none = [pa.nulls(n, pa.list_(id_type)), pa.nulls(n, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([cells[0], pa.array(np.full(n, own)), *cells[1:], *none], names)
+            sizes = np.array([len(t) for t in held], dtype=np.int64).tobytes()
+            bucket = pa.array([own % bare.buckets], pa.int32())
+            none = [pa.nulls(1, pa.binary())] * 4
+            yield pa.RecordBatch.from_arrays([bucket, pa.array([own]), *none, pa.array([ids], pa.list_(id_type)), pa.array([sizes])], names)
 
-    def run(batches):
         for batch in batches:
-            marks, sums = [], []
-            rare, owner, times = [], [], []
-            met, left = [], []
-            for i, text in enumerate(batch.column(1)):
-                own = text_tokens(text.as_py())
-                at, known = places(model.keys, own)
-                base = float(log_count[at[known]].sum())
-                total = 0.0
-                if model.tokens:
-                    classes = np.where(known, model.history[at], other).astype(np.uint64)
-                    total = float(log_class(model, classes).sum())
-                    inside = classes == other
-                    total += float(log_own[at[known & inside]].sum()) - float(model.lower[other]) * int(inside.sum())
-                    h, w, n = distinct_pairs(*pairs_of(own))
-                    code, top_h, top_w, bonus = model.top_pairs
-                    at, there = places(code, pair_code(h, w))
-                    there[there] = (top_h[at[there]] == h[there]) & (top_w[at[there]] == w[there])
-                    total += float((bonus[at[there]] * n[there]).sum())
-                    met.append((h[~there], w[~there], n[~there], np.full(int((~there).sum()), i)))
-                    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                    h, n = h[first], np.add.reduceat(n, first)
-                    at, there = places(model.top_weights[0], h)
-                    total += float((model.top_weights[1][at[there]] * n[there]).sum())
-                    left.append((h[~there], n[~there], np.full(int((~there).sum()), i)))
-                    at, known = places(model.keys, own)
-                words, n = np.unique(own[~known], return_counts=True)
-                rare.append(words)
-                times.append(n)
-                owner.append(np.full(len(words), i))
-                sums.append((len(own), int(known.sum()), base, total))
-                marks.append(int(np.bitwise_xor.reduce(own * np.arange(1, 2 * len(own), 2, dtype=np.uint64)).view(np.int64)))
-            if not sums:
-                continue
-            none = pa.nulls(len(sums), pa.int64())
-            cells = list(zip(*sums, strict=True))
-            numbers = [pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            mark = pa.array(marks, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), mark, *numbers, none, none, none, none], names)
-            word, who, n = (np.concatenate(c) for c in (rare, owner, times))
-            yield from joined(batch, mark, numbers, who, n, key=word)
-            if met:
-                h, w, n, who = (np.concatenate(c) for c in zip(*met, strict=True))
-                yield from joined(batch, mark, numbers, who, n, history=h, word=w)
-                h, n, who = (np.concatenate(c) for c in zip(*left, strict=True))
-                yield from joined(batch, mark, numbers, who, n, history=h)
-
-    def joined(batch, mark, numbers, who, n, **keys):
-        """Rows whose figures are joined to the texts."""
-        if len(who):
-            who = pa.array(who)
-            empty = [pa.nulls(len(who), x.type) for x in numbers]
-            own = [pa.array(keys[k].view(np.int64)) if k in keys else pa.nulls(len(who), pa.int64()) for k in ("key", "history", "word")]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), mark.take(who), *empty, own[0], pa.array(n.astype(np.int64)), *own[1:]], names)
-
-    names = ["doc_id", "mark", "n_tokens", "n_known", "base", "total", "key", "times", "history", "word"]
-    shape = f"doc_id {kind}, mark long, n_tokens long, n_known long, base double, total double, key long, times long, history long, word long"
-    parts = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, shape), "scores")
-    rows = parts.where("times is null").drop("key", "times", "history", "word")
-    found = parts.where("key is not null").select("doc_id", "mark", "key", "times").join(unigrams, "key", "left")
-    n = F.coalesce("n", F.lit(0))
-    more = found.select(
-        "doc_id",
-        "mark",
-        (F.col("times") * F.log10(n + 0.5)).alias("base"),
-        (F.col("times") * F.log10(share_of_count(model, n))).alias("total"),
-        F.when(n > 0, F.col("times")).otherwise(0).alias("known"),
-    )
-    if pairs is not None:
-        gain = lambda c: ("doc_id", "mark", F.lit(0.0).alias("base"), (F.col("times") * F.col(c)).alias("total"), F.lit(0).cast("long").alias("known"))
-        asked = parts.where("history is not null").select("doc_id", "mark", "history", "word", "times")
-        more = more.unionByName(asked.where("word is not null").join(pairs.drop("n"), ["history", "word"]).select(*gain("bonus")))
-        more = more.unionByName(asked.where("word is null").drop("word").join(weights.drop("total"), "history").select(*gain("weight")))
-    sums = more.groupBy("doc_id", "mark").agg(
-        F.sum("base").alias("more_base"), F.sum("total").alias("more_total"), F.sum("known").alias("more_known")
-    )
-    # Rows with one id and text brought their rare words several times.
-    copies = rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    keyed = rows.join(sums.withColumnsRenamed({"doc_id": "d", "mark": "m"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").drop("d", "m")
-    keyed = keyed.join(copies.withColumnsRenamed({"doc_id": "d", "mark": "m"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
-    share_of = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.coalesce("copies", F.lit(1))
-    return keyed.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + share_of("more_known")).cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + share_of("more_base") - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("total") + share_of("more_total")).alias("score"),
-    )
+            id_type = batch.schema.field(0).type
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(key)
+                held.append(text_tokens(text.as_py()))
+                size += len(held[-1])
+                if size >= HELD or len(held) == TEXTS:
+                    yield from out()
+                    ids, held, size, number = [], [], 0, number + 1
+        if held:
+            yield from out()
+
+    def look_up(asked: pa.Table, pairs: pa.Table) -> pa.Table:
+        """Sums of the asked pairs per slice and text; rows with ids pass."""
+        lists = asked.filter(pc.is_valid(asked.column("keys")))
+        through = asked.filter(pc.is_null(asked.column("keys")))
+        through = through.select(["slice", "ids", "tokens"])
+        for name in ("at", "known", "base", "score"):
+            through = through.append_column(name, pa.nulls(len(through), pa.binary()))
+        if not len(lists):
+            return through
+        h, w, at = unpacked(lists), numbers(lists.column("words"), np.uint64), numbers(lists.column("at"), np.uint16)
+        per_row = [len(x) // 2 for x in lists.column("at").to_pylist()]
+        of_slice = np.repeat(lists.column("slice").to_numpy(), per_row)
+        known, base, logs = values(h, w, pairs)
+        order = np.lexsort((at, of_slice))
+        at, of_slice = at[order], of_slice[order]
+        first = starts_of(of_slice, at)
+        sums = [np.add.reduceat(x[order], first, dtype=x.dtype) for x in (known, base, logs)]
+        row = starts_of(of_slice[first])
+        cuts = np.append(row, len(first))
+        cells = [pa.array(of_slice[first][row]), pa.nulls(len(row), through.schema.field("ids").type), pa.nulls(len(row), pa.binary())]
+        cells += [binary(at[first], cuts), *[binary(x, cuts) for x in sums]]
+        return pa.concat_tables([through, pa.Table.from_arrays(cells, through.schema.names)])
+
+    def values(h, w, pairs: pa.Table):
+        """Of each asked pair (history, word): what its history adds as a word, its backoff weight and the pair's gain over it."""
+        own_h, own_w = unpacked(pairs), numbers(pairs.column("words"), np.uint64)
+        n, own = numbers(pairs.column("n"), np.uint32).astype(np.int64), numbers(pairs.column("own"), np.int64)
+        lower, kept = bare.one(own), discounted(n, bare.pair_discount)
+        # Histories stand in sorted order in the one row of the bucket.
+        first = starts_of(own_h)
+        if len(first):
+            total, given, covered = (np.add.reduceat(x, first) for x in (n, kept, lower))
+        else:
+            total, given, covered = (np.zeros(0) for _ in range(3))
+        mine = own_h[first]
+        place, hot = places(bare.hot, mine)
+        total[hot], given[hot], covered[hot] = bare.hot_counts[place[hot]], bare.hot_given[place[hot]], bare.hot_covered[place[hot]]
+        unit, weight = bare.units(total, given, covered)
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(own_h))))
+        gain = np.log10(np.maximum(kept * unit[of], TINY)) - np.log10(np.maximum(lower, TINY)) - np.log10(weight[of])
+        place, known = places(mine, h)
+        count, logs = np.zeros(len(h), dtype=np.int64), np.zeros(len(h))
+        count[known], logs[known] = total[place[known]], np.log10(weight)[place[known]]
+        # A hot history may be unknown to this bucket but not to others.
+        place, hot = places(bare.hot, h)
+        lone = hot & ~known
+        _, far = bare.units(bare.hot_counts.astype(float), bare.hot_given, bare.hot_covered)
+        count[lone], logs[lone] = bare.hot_counts[place[lone]], np.log10(far)[place[lone]]
+        word = h != START  # the start of text is no token
+        logs += np.where(word, np.log10(np.maximum(bare.one(count), TINY)), 0.0)
+        code = pair_code(own_h, own_w)
+        order = np.argsort(code)
+        place, met = places(code[order], pair_code(h, w))
+        place = order[place] if len(order) else place
+        met[met] = (own_h[place[met]] == h[met]) & (own_w[place[met]] == w[met])
+        logs[met] += gain[place[met]]
+        return (word & (count > 0)).astype(np.int32), np.where(word, np.log10(count + 0.5), 0.0), logs
+
+    norm = float(np.log10(model.tokens + 0.5 * (model.types + 1)))
+    end_base = float(np.log10(model.ends + 0.5))
+    end_score = float(np.log10(max(model.one(np.array([model.ends]))[0], TINY)))
+
+    def add_up(group: pa.Table) -> pa.Table:
+        """The texts of a slice. The end token is no history, so its own probability is added here."""
+        head = group.filter(pc.is_valid(group.column("tokens")))
+        ids, sizes = head.column("ids").combine_chunks().flatten(), numbers(head.column("tokens"), np.int64)
+        at = numbers(group.column("at"), np.uint16)
+        sums = [
+            np.bincount(at, weights=numbers(group.column(c), t), minlength=len(sizes))
+            for c, t in (("known", np.int32), ("base", np.float64), ("score", np.float64))
+        ]
+        if not bare.tokens:
+            zero = np.zeros(len(sizes))
+            return pa.Table.from_arrays([ids, pa.array(sizes), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], result)
+        known = sums[0].astype(np.int64) + (bare.ends > 0)
+        base = sums[1] + end_base - sizes * norm
+        return pa.Table.from_arrays([ids, pa.array(sizes), pa.array(known), pa.array(base), pa.array(sums[2] + end_score)], result)
+
+    result = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    asked = rows.mapInArrow(ask, f"bucket int, slice long, keys binary, runs binary, words binary, at binary, ids array<{kind}>, tokens binary")
+    shape = f"slice long, ids array<{kind}>, tokens binary, at binary, known binary, base binary, score binary"
+    if model.pairs is None:
+        sums = asked.select("slice", "ids", "tokens", *[F.lit(None).cast("binary").alias(c) for c in ("at", "known", "base", "score")])
+    else:
+        # Texts of many times the training texts' size meet each bucket in several parts.
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = 1 + size // max(4 * model.size, 4096)
+        keys, pairs = ["bucket"], model.pairs
+        if parts > 1:
+            keys = ["bucket", "part"]
+            asked = asked.withColumn("part", F.pmod(F.hash("slice"), F.lit(parts)))
+            pairs = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+            pairs = pairs.withColumn("part", F.col("part").cast(asked.schema["part"].dataType))
+        sums = asked.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInArrow(look_up, shape)
+    out = sums.groupBy("slice").applyInArrow(add_up, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_katz(spark, sf_dir: str) -> DataFrame:
