@@ -28,6 +28,7 @@ from tidemark.session import release, scratch_dir, scratch_tables, written
 DISCOUNTED = 5  # counts up to this are discounted
 HELD = 500_000  # tokens that a task holds before it sends them on
 SHARE = 1_000_000  # training tokens a bucket
+FILES = 100_000  # file buckets of the table of pairs; more buckets share them
 TEXTS = 1 << 16  # a slice of texts has at most so many, so that a place in it takes two bytes
 END = np.uint64(0xE0D)  # hash of the end token
 START = np.uint64(0x57A)  # history of the first token
@@ -266,8 +267,11 @@ def count_pairs(model: Model, docs: DataFrame, text_col: str) -> None:
 
     shape = "bucket int, keys binary, runs binary, words binary, n binary, own binary, " + STATS
     sent = docs.select(text_col).mapInArrow(send, "bucket int, keys binary, runs binary, histories binary, n binary")
-    counted = sent.groupBy("bucket").applyInArrow(by_word, shape)
-    stored = bucketed(counted.groupBy("bucket").applyInArrow(by_history, shape), model.buckets)
+    before = scratch_tables()
+    counted = written(sent.groupBy("bucket").applyInArrow(by_word, shape), "counted")
+    files = min(model.buckets, FILES)
+    stored = bucketed(counted.repartition(files, "bucket").groupBy("bucket").applyInArrow(by_history, shape), files)
+    release(docs.sparkSession, list(set(scratch_tables()) - set(before)))
     sums = [F.sum(F.col("counts")[i]).alias(f"n{i + 1}") for i in range(DISCOUNTED + 1)]
     rows = stored.where("keys is null").groupBy("history").agg(*sums, F.sum("covered").alias("covered")).collect()
     found = {r.history: r for r in rows}
@@ -279,12 +283,10 @@ def count_pairs(model: Model, docs: DataFrame, text_col: str) -> None:
     model.pairs = stored.where("keys is not null").select("bucket", "keys", "runs", "words", "n", "own")
 
 
-def bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    """``df`` as a scratch table bucketed by its column ``bucket``, so that a join by it moves only the other side."""
+def bucketed(df: DataFrame, files: int) -> DataFrame:
+    """``df``, dealt by its column ``bucket``, as a scratch table bucketed by it, so that a join by it moves only the other side."""
     spark, name = df.sparkSession, f"pairs_{uuid.uuid4().hex}"
-    files = min(buckets, 100_000)
-    rows = df.repartition(files, "bucket")
-    rows.write.bucketBy(files, "bucket").option("path", scratch_dir(spark, "pairs")).saveAsTable(name)
+    df.write.bucketBy(files, "bucket").option("path", scratch_dir(spark, "pairs")).saveAsTable(name)
     return spark.table(name)
 
 
