@@ -26,7 +26,7 @@ from tidemark.llm.wordhash import MIX, folded, mixed, word_hashes
 from tidemark.session import release, scratch_dir, scratch_tables, written
 
 DISCOUNTED = 5  # counts up to this are discounted
-HELD = 500_000  # tokens that a task holds before it sends them on
+HELD = 1_000_000  # tokens that a task holds before it sends them on
 SHARE = 1_000_000  # training tokens a bucket
 FILES = 100_000  # file buckets of the table of pairs; more buckets share them
 TEXTS = 1 << 16  # a slice of texts has at most so many, so that a place in it takes two bytes
@@ -314,7 +314,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 for a in range(0, len(word), 2 * HELD):
                     h, w, at = (x[a : a + 2 * HELD] for x in (history, word, place))
                     bucket = bare.bucket(h, w)
-                    order = np.lexsort((h, bucket))
+                    order = np.lexsort((w, h, bucket))
                     cells = packed(bucket[order], h[order], w[order], at[order])
                     n = len(cells[0])
                     none = [pa.nulls(n, pa.list_(id_type)), pa.nulls(n, pa.binary())]
