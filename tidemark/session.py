@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,22 +59,29 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _tables: list[str] = []
 
 
-def written(df: DataFrame, label: str = "stage") -> DataFrame:
-    """``df`` as a table in the scratch folder: short lineage, known size, safe when executors are lost.
-
-    The shuffle files of the write go once it has ended; nothing reads them again, as later steps read the table.
-    """
-    spark = df.sparkSession
-    path = scratch_dir(spark, label)
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries that end inside leave no shuffle files; for writes, whose result is read from the table afterwards."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame, label: str = "stage") -> DataFrame:
+    """``df`` as a table in the scratch folder: short lineage, known size, safe when executors are lost.
+
+    The shuffle files of the write go once it has ended; nothing reads them again, as later steps read the table.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
