@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tables import bucket_of, table
 from tidemark.llm.wordhash import MIX, folded, mixed, word_hashes
-from tidemark.session import release, scratch_dir, scratch_tables, written
+from tidemark.session import release, scratch_dir, scratch_tables, shuffles_dropped, written
 
 DISCOUNTED = 5  # counts up to this are discounted
 HELD = 500_000  # tokens that a task holds before it sends them on
@@ -286,7 +286,8 @@ def count_pairs(model: Model, docs: DataFrame, text_col: str) -> None:
 def bucketed(df: DataFrame, files: int) -> DataFrame:
     """``df``, dealt by its column ``bucket``, as a scratch table bucketed by it, so that a join by it moves only the other side."""
     spark, name = df.sparkSession, f"pairs_{uuid.uuid4().hex}"
-    df.write.bucketBy(files, "bucket").option("path", scratch_dir(spark, "pairs")).saveAsTable(name)
+    with shuffles_dropped(spark):
+        df.write.bucketBy(files, "bucket").option("compression", "zstd").option("path", scratch_dir(spark, "pairs")).saveAsTable(name)
     return spark.table(name)
 
 
