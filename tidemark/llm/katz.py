@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ DISCOUNTED = 5  # counts up to this are discounted
 HELD = 500_000  # tokens that a task holds before it sends them on
 SHARE = 1_000_000  # training tokens a bucket
 FILES = 100_000  # file buckets of the table of pairs; more buckets share them
+PASSES = 2  # texts are scored in so many passes, so that the pairs of a part of them lie on disk at a time
 TEXTS = 1 << 16  # a slice of texts has at most so many, so that a place in it takes two bytes
 END = np.uint64(0xE0D)  # hash of the end token
 START = np.uint64(0x57A)  # history of the first token
@@ -291,12 +293,19 @@ def bucketed(df: DataFrame, files: int) -> DataFrame:
     return spark.table(name)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; log10 probabilities.
 
     Null counts as the empty text, which is one end token. Repeated rows give repeated results, ids may be null. Without training
-    texts both scores are 0. Rows must come in an order that a repeated task finds again, as those of a table do.
+    texts both scores are 0. Rows are dealt to the passes by id; the scores of a pass are stored before the next one starts.
     """
+    own = F.pmod(F.xxhash64(id_col), F.lit(passes))
+    done = [written(scored(docs.where(own == k), model, id_col, text_col), "scores") for k in range(passes)]
+    return reduce(DataFrame.unionByName, done)
+
+
+def scored(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """The scores of one pass. Rows must come in an order that a repeated task finds again, as those of a table do."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     bare = replace(model, pairs=None)
