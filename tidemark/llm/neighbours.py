@@ -1,10 +1,12 @@
 """Near-duplicate vectors by NN-descent: a neighbour graph, refined through neighbours of neighbours.
 
 Start: random hyperplanes deal the vectors of a label into buckets, several times over; a vector meets those next to it in a
-bucket. Rounds compare the neighbours of every vector with each other and keep the best, until no new edge at the threshold
-appears. Edges at the threshold make components. A list that is full of such edges is enlarged to its whole component, in blocks,
-so all direct links are counted exactly. An audit compares queries of different components with all rows; while any of them misses
-a link, another start with longer lists follows, and after the last one an exact comparison of all components.
+bucket. Edges at the threshold make components. Rounds compare the neighbours of every vector with each other and keep the best,
+until no more components merge: pairs inside a component are never stored, so a large group of near copies costs no more edges than
+other vectors. A list that is full of edges at the threshold gets as many places beside them for neighbours of other components, and
+is enlarged to its whole component, in blocks, at the end, so all direct links are counted exactly. An audit compares queries of
+different components with all rows; while any of them misses a link, another start with longer lists follows, and after the last one
+an exact comparison of all components.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.tables import table
-from tidemark.session import written
+from tidemark.session import release, scratch_tables, written
 
 THRESHOLD = 0.98
 NEIGHBOURS = 8
@@ -129,36 +131,54 @@ def best(edges: DataFrame, k: int) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
-def refine(edges: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """One round: the k best neighbours of each vector are compared with each other; new edges at the threshold or better than
-    what a vector has join the old ones."""
-    lists = best(edges, k)
-    worst = lists.groupBy(F.col("w").alias("id")).agg(F.when(F.count(F.lit(1)) == k, F.min("cosine")).otherwise(F.lit(-1.0)).alias("floor"))
+def between(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(u, v): different components that an edge at the threshold joins."""
+    ends = edges.where(F.col("cosine") >= THRESHOLD).select("u", "v")
+    for end in ("u", "v"):
+        ends = ends.join(members.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end)
+    return ends.where("of_u <> of_v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v")).distinct()
+
+
+def merged(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` after the components that ``links`` join have become one."""
+    roots = components(links).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return members.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+
+
+def refine(edges: DataFrame, vectors: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """One round: each vector keeps its k best edges at the threshold and its k best below it, and these neighbours are compared with
+    each other. New edges between different components, at the threshold or better than what a vector has below it, join the old."""
+    beyond = best(edges.where(F.col("cosine") < THRESHOLD), k)
+    lists = best(edges.where(F.col("cosine") >= THRESHOLD), k).unionByName(beyond)
+    worst = beyond.groupBy(F.col("w").alias("id")).agg(F.when(F.count(F.lit(1)) == k, F.min("cosine")).otherwise(F.lit(-1.0)).alias("floor"))
     kind = vectors.schema["id"].dataType.simpleString()
-    known = vectors.select("id", "vec").join(worst, "id")
-    rows = lists.select("w", "id").join(known, "id").select("w", "id", "floor", "vec").repartition("w").sortWithinPartitions("w", "id")
+    own = members.withColumnRenamed("node", "id")
+    known = vectors.select("id", "vec").join(own, "id").join(worst, "id", "left").fillna(-1.0, ["floor"])
+    rows = lists.select("w", "id").join(known, "id").select("w", "id", "component", "floor", "vec").repartition("w").sortWithinPartitions("w", "id")
 
     def join(batches):
         for group in grouped(batches, 1):
             if len(group) < 2:
                 continue
             ids, floor = group.column("id").to_numpy(), group.column("floor").to_numpy()
-            x = matrix(group.column("vec").chunk(0))
+            x, component = matrix(group.column("vec").chunk(0)), group.column("component").to_numpy()
             cosine = x @ x.T
             a, b = np.triu_indices(len(ids), 1)
             c = cosine[a, b]
-            good = (c > np.minimum(floor[a], floor[b])) | (c >= THRESHOLD)
+            good = (component[a] != component[b]) & ((c > np.minimum(floor[a], floor[b])) | (c >= THRESHOLD))
             yield pa.RecordBatch.from_arrays([pa.array(ids[a[good]]), pa.array(ids[b[good]]), pa.array(c[good])], ["u", "v", "cosine"])
 
     new = rows.mapInArrow(join, f"u {kind}, v {kind}, cosine double")
-    return edges.unionByName(new).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "cosine").groupBy("u", "v").agg(F.max("cosine").alias("cosine"))
+    kept = lists.select(F.col("w").alias("u"), F.col("id").alias("v"), "cosine")
+    return kept.unionByName(new).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "cosine").groupBy("u", "v").agg(F.max("cosine").alias("cosine"))
 
 
 def links_in_components(vectors: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, links): copies of all other vectors of the component at the threshold. Components are compared in blocks of about
-    BLOCK vectors; a pair of blocks is the work of one group, and only sums leave it."""
+    """(id, links): copies of all other vectors of the component at the threshold, of components with more than one vector.
+    They are compared in blocks of about BLOCK vectors; a pair of blocks is the work of one group, and only sums leave it."""
     own = vectors.join(members.withColumnRenamed("node", "id"), "id")
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    n = F.count(F.lit(1))
+    sizes = members.groupBy("component").agg(n.alias("n"), F.ceil(n / BLOCK).cast("int").alias("blocks")).where("n > 1").drop("n")
     placed = own.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = placed.withColumn("other", other).select(
@@ -250,26 +270,26 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     neither. Equal vectors of one label are linked. Rows that repeat an id are one vector. A null id has no links and a null
     component; it is kept.
     """
+    before = scratch_tables()
     vectors = written(unit_vectors(df, id_col, vec_col, label_col), "vectors")
-    count = vectors.count()
-    edges = None
+    count, members, edges = vectors.count(), vectors.select(F.col("id").alias("node"), F.col("id").alias("component")), None
     for seed in range(STARTS):
         fresh = start_edges(vectors, count, seed)
         edges = written(fresh if edges is None else edges.unionByName(fresh).groupBy("u", "v").agg(F.max("cosine").alias("cosine")), "graph")
-        k, before, now = NEIGHBOURS << seed, -1, edges.where(F.col("cosine") >= THRESHOLD).count()
-        while now != before:
-            # Edges below the threshold only lead the search: each vector keeps its best.
-            wide = edges.where(F.col("cosine") >= THRESHOLD)
-            narrow = best(edges.where(F.col("cosine") < THRESHOLD), k).select(F.least("w", "id").alias("u"), F.greatest("w", "id").alias("v"), "cosine").distinct()
-            edges = written(refine(wide.unionByName(narrow), vectors, k), "graph")
-            before, now = now, edges.where(F.col("cosine") >= THRESHOLD).count()
-        links = edges.where(F.col("cosine") >= THRESHOLD).select("u", "v")
-        members = written(components(links), "members")
+        rounds = 0
+        while True:
+            links = written(between(edges, members), "between")
+            if not links.isEmpty():
+                members = written(merged(members, links), "members")
+            elif rounds:
+                break
+            edges, rounds = written(refine(edges, vectors, members, NEIGHBOURS << seed), "graph"), rounds + 1
+            release(df.sparkSession, list(set(scratch_tables()) - set(before)), vectors, members, edges)
         counted = written(links_in_components(vectors, members), "links")
         if not audit(vectors, members, counted, seed):
             break
     else:
-        members = written(components(links.unionByName(links_between(vectors, members))), "members")
+        members = written(merged(members, links_between(vectors, members)), "members")
         counted = written(links_in_components(vectors, members), "links")
     per_class = (
         vectors.select("id", "copies", "space")
