@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import moments
 from tidemark.plans import adapters, batch, load, runs
+from tidemark.session import written
 from tidemark.sources import landing
 from tidemark.sources import readers as R
 from tidemark.sources import writers as K
@@ -147,6 +148,26 @@ def test_a_late_reading_is_carried_into_later_days(spark, tmp_path):
     assert [got[i][0] for i in (2, 6, 3, 4)] == [7.0, 9.0, 9.0, 9.0]
 
 
+def test_a_fill_reads_its_rows_once(spark, tmp_path, monkeypatch):
+    seen, fill_days = spark.sparkContext.accumulator(0), load.fill_days
+
+    @F.udf("double")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    def fill_counted(rows, *rest):
+        return fill_days(rows.withColumn("value", counted.asNondeterministic()("value")), *rest)
+
+    monkeypatch.setattr(load, "fill_days", fill_counted)
+    values = {1: 5.0, 2: None, 3: None, 4: 6.0, 5: None}
+    rows = [("S", f"2025-07-0{d}T01:00:00", "temperature", v) for d, v in values.items()] + [(None, "2025-07-02T01:00:00", "temperature", None)]
+    load.merge_load(written(readings(spark, rows)), str(tmp_path / "table"), fill="forward")
+    got = {(r.sensor_id, r.timestamp.day): r.value for r in R.read_readings(spark, str(tmp_path / "table")).collect()}
+    assert got == {("S", 1): 5.0, ("S", 2): 5.0, ("S", 3): 5.0, ("S", 4): 6.0, ("S", 5): 6.0, (None, 2): None}
+    assert seen.value == len(rows)
+
+
 def test_new_values_move_the_limits_of_stored_ones(spark, tmp_path):
     table = str(tmp_path / "table")
     first = [(i, "S", at(f"2025-07-01T00:{i:02}:00"), "odd", float(i % 5), "f", 50) for i in range(40)] + [(90, "S", at("2025-07-02T00:00:00"), "odd", 40.0, "f", 50)]

@@ -97,12 +97,17 @@ def _stored(spark: SparkSession, table_path: str, home: str, dates: list) -> Dat
     return _same(table, missing, DEDUP_KEY, "left_anti").withColumns({**marked, FRESH: F.lit(False)}).unionByName(missing.withColumns(marked))
 
 
-def daily_last(rows: DataFrame) -> DataFrame:
-    """Last measured value per series and day."""
-    there = rows.where(F.col("value").isNotNull())
-    return there.groupBy(*SERIES, F.to_date("timestamp").alias("date")).agg(
-        F.max_by("value", F.struct("timestamp", "id")).alias("last_value")
-    ).select(*LAST.names)
+def daily_ends(rows: DataFrame) -> DataFrame:
+    """Per series and day: its last measured value, and ``open``, whether its first row came without one."""
+    at, there = F.struct("timestamp", "id"), F.col("value").isNotNull()
+    return rows.groupBy(*SERIES, F.to_date("timestamp").alias("date")).agg(
+        F.max_by("value", F.when(there, at)).alias("last_value"), F.min_by(~there, at).alias("open")
+    )
+
+
+def daily_last(ends: DataFrame) -> DataFrame:
+    """Last measured value per series and day, from ``daily_ends``."""
+    return ends.where(F.col("last_value").isNotNull()).select(*LAST.names)
 
 
 def carried(points: DataFrame, last: DataFrame) -> DataFrame:
@@ -116,15 +121,15 @@ def carried(points: DataFrame, last: DataFrame) -> DataFrame:
     return with_carry.where(F.col("_kind") == 0).select(*points.columns, "carry")
 
 
-def fill_days(rows: DataFrame, last: DataFrame) -> DataFrame:
+def fill_days(rows: DataFrame, last: DataFrame, ends: DataFrame) -> DataFrame:
     """Forward fill within each day of a series, and from ``last`` at its start; adds ``fill`` and ``leading``.
 
-    A window holds one day of one series, however long the series is.
+    A window holds one day of one series, however long the series is. ``ends`` are the ``daily_ends`` of ``rows``: they tell which
+    days start without a value, so the window is computed once, for the rows themselves.
     """
     day = W.partitionBy(*SERIES, DAY).orderBy("timestamp", "id").rowsBetween(W.unboundedPreceding, 0)
     local = rows.withColumn(DAY, F.to_date("timestamp")).withColumn("fill", F.last("value", ignorenulls=True).over(day))
-    starts = local.where(F.col("fill").isNull()).select(*SERIES, F.col(DAY).alias("date")).distinct()
-    carry = carried(starts, last).withColumnRenamed("date", DAY)
+    carry = written(carried(ends.where("open").select(*SERIES, "date"), last), "carry").withColumnRenamed("date", DAY)
     out = null_safe_join(local, measured(carry), [*SERIES, DAY]).withColumn("leading", F.col("fill").isNull())
     return out.withColumn("fill", F.coalesce("fill", "carry")).drop("carry", DAY)
 
@@ -147,7 +152,7 @@ def ensure_state(spark: SparkSession, table_path: str, home: str, fill: str, pro
     for name, wanted, make in (("moments", profile is not None, daily_moments), ("last_values", fill == "forward", daily_last)):
         if wanted and not path_exists(spark, f"{home}/{name}"):
             table = table if table is not None else read_readings(spark, table_path)
-            rows = _same(table, _known(spark, home), DEDUP_KEY, "left_anti") if name == "last_values" else table
+            rows = daily_ends(_same(table, _known(spark, home), DEDUP_KEY, "left_anti")) if name == "last_values" else table
             found = written(make(rows), name)
             _write_state(found, home, name, sorted(r["date"] for r in found.select("date").distinct().collect()))
 
@@ -234,12 +239,14 @@ def merge_load(
     merged = written(drop_duplicates(new.unionByName(_stored(spark, table_path, home, dates)), order=KEEP[keep]), "merged")
     day, again = F.to_date("timestamp").alias("date"), []
     if fill == "forward":
-        latest = written(daily_last(merged), "last")
+        ends = written(daily_ends(merged), "ends")
+        latest = daily_last(ends)
         last = read_state(spark, home, "last_values", LAST).where(~_on(dates)).unionByName(latest)
-        again = refill_dates(spark, home, merged, last, dates)
+        again = refill_dates(spark, home, ends, last, dates)
         if again:
-            merged = merged.unionByName(_stored(spark, table_path, home, again))
-        filled = written(fill_days(merged, last), "filled")
+            more = _stored(spark, table_path, home, again)
+            merged, ends = merged.unionByName(more), ends.unionByName(daily_ends(more))
+        filled = written(fill_days(merged, last, ends), "filled")
         missing = filled.where(F.col("value").isNull()).select(*READINGS.names, "fill", "leading", day)
         kept = filled.withColumn("value", F.coalesce("value", "fill")).drop("fill", "leading")
         _write_state(latest, home, "last_values", dates)
