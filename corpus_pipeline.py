@@ -47,12 +47,20 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 _left: list[str] = []
 
+# Texts are long: at Spark's 64 MB a batch, each task and its Python worker hold some hundred MB of them.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 
 def tidy(stage):
-    """``stage`` after removing the scratch tables of the stage before it, whose result is stored by then."""
+    """``stage`` after removing the scratch tables of the stage before it, whose result is stored by then.
+
+    Its batches of texts are small. The result is computed after the call, so the setting stays with the session.
+    """
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH, BATCH_BYTES)
         release(spark, _left, docs)
         held = set(scratch_tables())
         out = stage(spark, docs, sf_dir)

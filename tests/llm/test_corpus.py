@@ -6,6 +6,8 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import components, jaccard, katz, neighbours, suffixes, toxicity, urls
@@ -297,3 +299,19 @@ def test_pipeline(spark):
     first = [r for i, r in enumerate(rows) if brute.components(len(rows), links)[i] == i]
     leaks = brute.leaks(first, brute.rows("benchmark"))
     assert kept == {r["doc_id"] for r in first if not leaks[r["doc_id"]][1]}
+
+
+def test_pipeline_stages_hold_few_texts_at_once(spark):
+    docs = spark.range(200, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('abcdefgh ', 10000)").alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "size"])
+
+    size = spark.conf.get(corpus_pipeline.BATCH)
+    spark.conf.set(corpus_pipeline.BATCH, 64 << 20)
+    try:
+        seen = corpus_pipeline.tidy(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "rows long, size long"))(spark, docs, "").collect()
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, size)
+    assert sum(r.rows for r in seen) == 200 and max(r["size"] for r in seen) < 8 << 20
